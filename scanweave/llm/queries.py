@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scanweave.llm import oracles
+from scanweave.llm.mixing import op3_mix
+from scanweave.llm.packing import op5_best_fit
 from scanweave.llm.secrets import op2_secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_secrets": op2_secrets}
+    return {"op2_secrets": op2_secrets, "op3_mix": op3_mix, "op5_best_fit": op5_best_fit}
 
 
 def oracle_sql() -> dict[str, str]:
