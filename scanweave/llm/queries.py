@@ -10,10 +10,12 @@ from scanweave.llm import oracles
 from scanweave.llm.mixing import op3_mix
 from scanweave.llm.packing import op5_best_fit
 from scanweave.llm.secrets import op2_secrets
+from scanweave.llm.separators import op4_token_counts
+from scanweave.llm.wavelet import op6_wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_secrets": op2_secrets, "op3_mix": op3_mix, "op5_best_fit": op5_best_fit}
+    return {"op2_secrets": op2_secrets, "op3_mix": op3_mix, "op4_token_counts": op4_token_counts, "op5_best_fit": op5_best_fit, "op6_wavelet": op6_wavelet}
 
 
 def oracle_sql() -> dict[str, str]:
