@@ -96,11 +96,12 @@ def scan_unseen(versions: DataFrame, path: str = "path", content: str = "content
         known = ledger.filter(F.col("rule_version") == rule_version).select("blob")
         new = new.join(known, "blob", "left_anti")
     # one version of each blob is read; rows are dealt by path, so the copies of one text don't meet in one task
-    chosen = new.select("blob", F.col("at.path").alias("path"))
     texts = versions.select(F.col(path).alias("path"), F.coalesce(F.col(content), F.lit("")).alias("content")).withColumn("blob", F.sha2(F.col("content").cast("binary"), 256))
     same = [F.col("blob") == F.col("at_blob"), F.col("path").eqNullSafe(F.col("at_path"))]
-    contents = texts.join(chosen.select(F.col("path").alias("at_path"), F.col("blob").alias("at_blob")), same, "left_semi")
-    found = scan(contents.select("blob", "content"), rules)
+    chosen = new.select(F.col("at.path").alias("at_path"), F.col("at.no_path").alias("chosen"), F.col("blob").alias("at_blob"))
+    # content now depends on the other side, so no scan is moved in front of the join
+    contents = texts.join(chosen, same).select("blob", F.when(F.col("chosen").isNotNull(), F.col("content")).alias("content"))
+    found = scan(contents, rules)
     return new.select("blob").join(found, "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), F.coalesce("spans", F.array().cast("array<struct<start:long,kind_no:int,kind:string,end:long>>")).alias("spans"))
 
 
