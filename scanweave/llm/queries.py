@@ -7,15 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scanweave.llm import oracles
+from scanweave.llm.classifier import op7_classifier
 from scanweave.llm.mixing import op3_mix
 from scanweave.llm.packing import op5_best_fit
+from scanweave.llm.rules import op8_quality_rules
 from scanweave.llm.secrets import op2_secrets
 from scanweave.llm.separators import op4_token_counts
 from scanweave.llm.wavelet import op6_wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_secrets": op2_secrets, "op3_mix": op3_mix, "op4_token_counts": op4_token_counts, "op5_best_fit": op5_best_fit, "op6_wavelet": op6_wavelet}
+    return {"op2_secrets": op2_secrets, "op3_mix": op3_mix, "op4_token_counts": op4_token_counts, "op5_best_fit": op5_best_fit, "op6_wavelet": op6_wavelet, "op7_classifier": op7_classifier, "op8_quality_rules": op8_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
