@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from scanweave.llm.licenses import COPYRIGHT_LINE, KNOWN, SPELLINGS
 from scanweave.llm.secrets import BASE, RULES
 
 
@@ -30,3 +31,32 @@ def _secrets() -> str:
 
 
 OP2 = _secrets()
+
+
+def _canonical(text: str) -> str:
+    t = f"regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE}', ' ', 'g')"
+    for spelling, same in SPELLINGS:
+        t = f"regexp_replace({t}, '{spelling}', '{same}', 'g')"
+    return rf"trim(regexp_replace({t}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g'))"
+
+
+def _licenses() -> str:
+    known = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in KNOWN)
+    return f"""
+    WITH known AS (SELECT sha256({_canonical("t")}) AS digest, min(license) AS license FROM (VALUES {known}) AS v(license, t) GROUP BY 1),
+    lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+    named AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
+              FROM (SELECT doc_id, sha256({_canonical("line")}) AS digest FROM lines WHERE regexp_matches(line, '[A-Za-z0-9]')) JOIN known USING (digest) GROUP BY 1)
+    SELECT d.doc_id, sha256({_canonical("text")}) AS digest, k.license, coalesce(n.notices, '') AS notices
+    FROM documents d LEFT JOIN known k ON k.digest = sha256({_canonical("text")}) LEFT JOIN named n ON n.doc_id = d.doc_id"""
+
+
+OP9 = _licenses()
+
+OP10 = """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+               WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+          FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id != q.vec_id AND len(q.v) = len(c.v))
+    SELECT query_id, rank::INT AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
