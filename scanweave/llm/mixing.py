@@ -135,7 +135,8 @@ def slots(spark: SparkSession, known: list[dict], seed: int = SEED) -> DataFrame
                         block[round_ == r] = permuted(n[round_ == r], blocks[no], ((seed * 1_000_003 + no) * 64 + int(r)))
                     yield pd.DataFrame({"shard": shard, "no": no, "slot": slot, "round": round_, "block": block})
 
-    return shards(spark, known, seed).mapInPandas(read, "shard long, no int, slot long, round int, block long")
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return shards(spark, known, seed).repartition(spread, "shard", "no").mapInPandas(read, "shard long, no int, slot long, round int, block long")
 
 
 def streams(sized: DataFrame, known: list[dict]) -> DataFrame:
