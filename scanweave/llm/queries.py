@@ -10,6 +10,7 @@ from scanweave.llm import oracles
 from scanweave.llm.classifier import op7_classifier
 from scanweave.llm.licenses import op9_licenses
 from scanweave.llm.mixing import op3_mix
+from scanweave.llm.neardup import op1_minhash
 from scanweave.llm.packing import op5_best_fit
 from scanweave.llm.rules import op8_quality_rules
 from scanweave.llm.secrets import op2_secrets
@@ -19,8 +20,8 @@ from scanweave.llm.wavelet import op6_wavelet
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_secrets": op2_secrets, "op3_mix": op3_mix, "op4_token_counts": op4_token_counts, "op5_best_fit": op5_best_fit, "op6_wavelet": op6_wavelet, "op7_classifier": op7_classifier, "op8_quality_rules": op8_quality_rules, "op9_licenses": op9_licenses, "op10_topk": op10_topk}
+    return {"op1_minhash": op1_minhash, "op2_secrets": op2_secrets, "op3_mix": op3_mix, "op4_token_counts": op4_token_counts, "op5_best_fit": op5_best_fit, "op6_wavelet": op6_wavelet, "op7_classifier": op7_classifier, "op8_quality_rules": op8_quality_rules, "op9_licenses": op9_licenses, "op10_topk": op10_topk}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": oracles.OP2, "op9_licenses": oracles.OP9, "op10_topk": oracles.OP10}
+    return {"op1_minhash": op1_minhash, "op2_secrets": oracles.OP2, "op9_licenses": oracles.OP9, "op10_topk": oracles.OP10}
