@@ -125,19 +125,34 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """(key, stratum, COUNTS, base_failed, kept) of every document."""
-    spark = docs.sparkSession
-    seen = written(counted(docs.select(F.col(text).alias("text"), F.col(key).alias("key"), F.col(stratum).alias("stratum"))), "counts")
-    marked = labels.filter("quality IS NOT NULL").groupBy(F.col("doc_id").alias("key")).agg(F.min("quality").alias("quality"))
-    known = cutoffs(seen.join(marked, "key"), "stratum", "quality")
+def _limited(seen: DataFrame, known: dict[str | None, dict[str, float]]) -> DataFrame:
+    """seen (with stratum and COUNTS) with base_failed and kept."""
     rows = [(s, *(cuts.get(name) for name in rules())) for s, cuts in known.items()]
-    limits = F.broadcast(spark.createDataFrame(rows, "limit_of string, " + ", ".join(f"max_{n} double" for n in rules())))  # at most MAX_STRATA rows
+    limits = F.broadcast(seen.sparkSession.createDataFrame(rows, "limit_of string, " + ", ".join(f"max_{n} double" for n in rules())))  # at most MAX_STRATA rows
     bad = F.lit(False)
     for name, (value, _) in rules().items():
         bad = bad | F.coalesce(value > F.col(f"max_{name}"), F.lit(False))
     with_limits = seen.join(limits, F.col("stratum").cast("string").eqNullSafe(F.col("limit_of")), "left")
-    return with_limits.select("key", "stratum", *COUNTS, base_failed().alias("base_failed"), (~base_failed() & ~bad).alias("kept"))
+    return with_limits.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & ~bad)
+
+
+def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
+    """(key, stratum, COUNTS, base_failed, kept) of every document."""
+    seen = written(counted(docs.select(F.col(text).alias("text"), F.col(key).alias("key"), F.col(stratum).alias("stratum"))), "counts")
+    marked = labels.filter("quality IS NOT NULL").groupBy(F.col("doc_id").alias("key")).agg(F.min("quality").alias("quality"))
+    return _limited(seen, cutoffs(seen.join(marked, "key"), "stratum", "quality")).select("key", "stratum", *COUNTS, "base_failed", "kept")
+
+
+def filtered(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
+    """The rows of docs that are kept, with all their columns as they are.
+
+    Labelled texts are counted first, for the cutoffs; then each row goes
+    through the rules as one struct, so its columns can't clash with COUNTS.
+    """
+    marked = labels.filter("quality IS NOT NULL").groupBy(F.col("doc_id").alias("key")).agg(F.min("quality").alias("quality"))
+    known = cutoffs(counted(docs.select(F.col(text).alias("text"), F.col(key).alias("key"), F.col(stratum).alias("stratum")).join(marked, "key")), "stratum", "quality")
+    rows = counted(docs.select(F.col(text).alias("text"), F.col(stratum).alias("stratum"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")))
+    return _limited(rows, known).filter("kept").select("row.*")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
