@@ -152,7 +152,7 @@ def streams(sized: DataFrame, known: list[dict]) -> DataFrame:
     ranges = dealt.groupBy("no", "range").agg(F.sum("size").alias("n"))
     ranges = ranges.select("no", "range", F.coalesce(F.sum("n").over(before().orderBy("range")), F.lit(0)).alias("base"))
     inside = dealt.withColumn("begin", F.coalesce(F.sum("size").over(before("range").orderBy("doc_id", "size", "tie")), F.lit(0)))
-    return inside.join(ranges, ["no", "range"]).withColumn("begin", F.col("begin") + F.col("base")).drop("base", "range", "tie")
+    return inside.join(ranges.hint("merge"), ["no", "range"]).withColumn("begin", F.col("begin") + F.col("base")).drop("base", "range", "tie")
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = SEED, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -167,7 +167,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
     first = F.greatest(F.col("begin"), F.col("block") * block)
     drawn = parts.join(times, ["no", "block"]).select(F.col("no").alias("_no"), F.col("begin").alias("_begin"), F.struct((first - F.col("begin")).alias("from"), (F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - first).alias("words"), "times").alias("draw"))
     drawn = drawn.groupBy("_no", "_begin").agg(F.sort_array(F.collect_list("draw")).alias("draws"))
-    hits = placed.join(drawn, (F.col("no") == F.col("_no")) & (F.col("begin") == F.col("_begin")) & (F.col("size") > 0), "left")
+    hits = placed.join(drawn.hint("merge"), (F.col("no") == F.col("_no")) & (F.col("begin") == F.col("_begin")) & (F.col("size") > 0), "left")
     return hits.select("doc_id", "size", "source_size", "target", "no", "begin", "draws")
 
 
@@ -185,7 +185,7 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     got = got.withColumn("_tie", F.row_number().over(Window.partitionBy("_key", "size").orderBy("no", "begin")))
     own = docs.withColumn("_n", n_words(F.col("text")))
     own = own.withColumn("_tie", F.row_number().over(Window.partitionBy("doc_id", "_n").orderBy(F.col("source").asc_nulls_last(), F.xxhash64("doc_id", "text"))))
-    both = own.join(got, [own["doc_id"].eqNullSafe(got["_key"]), own["_n"] == got["size"], own["_tie"] == got["_tie"]]).drop(got["_tie"])
+    both = own.join(got.hint("merge"), [own["doc_id"].eqNullSafe(got["_key"]), own["_n"] == got["size"], own["_tie"] == got["_tie"]]).drop(got["_tie"])
     rounds = both.withColumn("_round", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("draws", lambda d: d["times"])))))
     read = F.filter("draws", lambda d: d["times"] >= F.col("_round"))
     whole = F.aggregate(read, F.lit(0).cast("long"), lambda a, d: a + d["words"]) == F.col("_n")
