@@ -33,7 +33,8 @@ SPELLINGS = (
     (r"&", " and "),
     (r"https?://", ""),
 )
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|all rights reserved)\b?[^\n]*$"
+#: A line that starts by naming a holder: the word alone may start a line of a wrapped licence text.
+COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright *(\(c\)|[0-9©])|\(c\) *[0-9]|© *[0-9]|all rights reserved)[^\n]*$"
 
 # Texts of known licences and the one-line notices that name them.
 KNOWN = (
