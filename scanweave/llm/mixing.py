@@ -57,7 +57,7 @@ def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[
     free.sort(key=lambda i: most * sizes[i] / weights[i])  # those that reach their bound first come first
     left, weight = total, sum(weights[i] for i in free)
     for i in free:
-        out[i] = min(most * sizes[i], left * weights[i] / weight)
+        out[i] = min(float(most * sizes[i]), left * weights[i] / weight)
         left, weight = left - out[i], weight - weights[i]
     return out
 
