@@ -181,19 +181,24 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     A document read whole once stays as it is; one read whole twice is there
     twice; one that is not read at all is gone.
     """
-    got = mixed(docs, **options).filter("draws IS NOT NULL").select(F.col("doc_id").alias("_key"), "size", "no", "begin", "draws")
-    got = got.withColumn("_tie", F.row_number().over(Window.partitionBy("_key", "size").orderBy("no", "begin")))
-    own = docs.withColumn("_n", n_words(F.col("text")))
-    own = own.withColumn("_tie", F.row_number().over(Window.partitionBy("doc_id", "_n").orderBy(F.col("source").asc_nulls_last(), F.xxhash64("doc_id", "text"))))
-    both = own.join(got.hint("merge"), [own["doc_id"].eqNullSafe(got["_key"]), own["_n"] == got["size"], own["_tie"] == got["_tie"]]).drop(got["_tie"])
-    rounds = both.withColumn("_round", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("draws", lambda d: d["times"])))))
-    read = F.filter("draws", lambda d: d["times"] >= F.col("_round"))
-    whole = F.aggregate(read, F.lit(0).cast("long"), lambda a, d: a + d["words"]) == F.col("_n")
-    pieces = F.split("text", f"(?<={BLANK_CLASS})(?=[^\\x20\\x09-\\x0D])", -1)
-    lead = F.when(F.col("text").rlike(f"^{BLANK_CLASS}"), 1).otherwise(0)
-    cut = F.array_join(F.flatten(F.transform(read, lambda d: F.slice(F.col("_pieces"), (d["from"] + 1 + F.col("_lead")).cast("int"), d["words"].cast("int")))), "")
-    rounds = rounds.withColumn("_whole", whole).withColumn("_pieces", F.when(~F.col("_whole"), pieces)).withColumn("_lead", lead)
-    return rounds.withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(cut)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    got = mixed(docs, **options).filter("draws IS NOT NULL").select(F.col("doc_id").alias("key"), "size", "no", "begin", "draws")
+    got = got.withColumn("tie", F.row_number().over(Window.partitionBy("key", "size").orderBy("no", "begin")))
+    # each row is one struct here, so that its columns can't clash with ours
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), n_words(F.col("text")).alias("n"))
+    own = own.withColumn("place", F.row_number().over(Window.partitionBy("id", "n").orderBy(F.col("row.source").asc_nulls_last(), F.xxhash64("row.text"))))
+    same = F.col("id").eqNullSafe(F.col("key")) & (F.col("n") == F.col("size")) & (F.col("place") == F.col("tie"))
+    both = own.join(got.hint("merge"), same)
+    rounds = both.withColumn("round", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("draws", lambda d: d["times"])))))
+    rounds = rounds.withColumn("read", F.filter("draws", lambda d: d["times"] >= F.col("round")))
+    whole = F.aggregate("read", F.lit(0).cast("long"), lambda a, d: a + d["words"]) == F.col("n")
+    # words with the white space after them; the first piece is white space alone where the text starts with it
+    pieces = F.split("row.text", f"(?<={BLANK_CLASS})(?=[^\\x20\\x09-\\x0D])", -1)
+    lead = F.when(F.col("row.text").rlike(f"^{BLANK_CLASS}"), 1).otherwise(0)
+    rounds = rounds.withColumn("whole", whole).withColumn("pieces", F.when(~F.col("whole"), pieces)).withColumn("lead", lead)
+    cut = F.array_join(F.flatten(F.transform("read", lambda d: F.slice("pieces", (d["from"] + 1 + F.col("lead")).cast("int"), d["words"].cast("int")))), "")
+    rounds = rounds.withColumn("cut", F.when(F.col("whole"), F.col("row.text")).otherwise(cut))
+    new = {"text": F.col("cut"), "n_chars": F.length("cut").cast("long")}
+    return rounds.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

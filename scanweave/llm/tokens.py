@@ -20,7 +20,7 @@ from functools import cache
 import numpy as np
 
 #: Pieces that one worker remembers; beyond that it forgets those that the texts at hand don't use.
-MEMO_PIECES = 600_000
+MEMO_PIECES = 1_000_000
 
 #: Pieces encoded as one text.
 RUN = 256
@@ -29,6 +29,10 @@ RUN = 256
 _RARE = frozenset(c for c in map(chr, range(0x3001)) if c not in " \n" and (c.isspace() or c < " "))
 
 
+#: Marks that may follow a word; both pre-tokenizers cut between letters and these.
+_AFTER = ".,!?;:"
+
+
 def _unsure(text: str) -> bool:
     """Is there white space that is not one lone blank or line end between other characters?"""
     return (
@@ -107,7 +111,11 @@ class Encoder:
         # the first piece of a text has no blank in front, so it can't stand in a run
         first = {p for p in missing if p[:1] != " "} if self.leading else set()
         self.memo.update((p, self.whole(p).tobytes()) for p in first)
-        self._learn(list(missing - first))
+        # ids of letters don't depend on a mark that follows, so one word serves all its marks
+        heads = {p: h for p in missing - first if len(h := p.rstrip(_AFTER)) < len(p) and h and h[-1].isalpha()}
+        self._learn(list((missing - first).difference(heads) | set(heads.values()).difference(self.memo)))
+        tails = {t: self.whole(t).tobytes() for t in {p[len(h) :] for p, h in heads.items()}}
+        self.memo.update((p, self.memo[h] + tails[p[len(h) :]]) for p, h in heads.items())
         get = self.memo.__getitem__
         for i, pieces in cuts.items():
             out[i] = np.frombuffer(b"".join(map(get, pieces)), self.dtype)

@@ -53,8 +53,9 @@ def build(ids: np.ndarray, docs: np.ndarray, lengths: np.ndarray, bits: int | No
         one = (x >> level & 1).astype(bool)
         zero = ~one
         packed = np.packbits(one, bitorder="little")
-        per_block = np.add.reduceat(one, np.arange(0, len(one), RANK_BLOCK), dtype=np.uint32) if len(one) else np.zeros(0, np.uint32)
-        before = np.concatenate([np.zeros(1, np.uint32), np.cumsum(per_block, dtype=np.uint32)])
+        counts = np.zeros(-(-len(one) // RANK_BLOCK) * (RANK_BLOCK // 8), np.uint8)
+        counts[: len(packed)] = np.bitwise_count(packed)
+        before = np.concatenate([np.zeros(1, np.uint32), np.cumsum(counts.reshape(-1, RANK_BLOCK // 8).sum(1, dtype=np.uint32), dtype=np.uint32)])
         x = np.concatenate([x[zero], x[one]])
         out += [struct.pack("<Q", int(zero.sum())), before.astype("<u4").tobytes(), packed.tobytes()]
     return b"".join(out)
