@@ -141,7 +141,7 @@ def csc709(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rgb(spark, sf_dir).filter("b IS NOT NULL").select("img", "x", "y", *(F.round(c, 9).alias(n) for c, n in zip(out, ("red", "green", "blue"), strict=True)))
 
 
-@query(f"WITH {PX} SELECT vec_id, x::INT AS x, y::INT AS y, round(sign(v) * CASE WHEN abs(v * 5) <= 1 THEN pow(abs(v * 5), 2.2) ELSE pow(pow(2.7182818, 2.2), abs(v * 5) - 1) END, 8) AS v FROM px")
+@query(f"WITH {PX} SELECT vec_id, x::INT AS x, y::INT AS y, round(sign(v) * CASE WHEN abs(v * 5) <= 1 THEN pow(abs(v * 5), 2.2) ELSE pow(pow(2.7182818, 2.2), abs(v * 5) - 1) END, 8) + 0.0 AS v FROM px")
 def dwa_to_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).select("vec_id", "x", "y", F.round(P.to_linear(F.col("v") * 5), 8).alias("v"))
 
