@@ -20,7 +20,7 @@ from functools import cache
 import numpy as np
 
 #: Pieces that one worker remembers; beyond that it forgets those that the texts at hand don't use.
-MEMO_PIECES = 1_000_000
+MEMO_PIECES = 250_000
 
 #: Pieces encoded as one text.
 RUN = 256
