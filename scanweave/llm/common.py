@@ -30,6 +30,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows and bytes of the batches that whole texts go to Python in, at most; a longer text is a batch by itself.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds of texts at once, in this session (Spark's own bound is 10,000 rows)."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
+
+
 def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

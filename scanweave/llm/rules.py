@@ -27,8 +27,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanweave.llm.common import table, written
-from scanweave.llm.textstats import COUNTS, COUNTS_SCHEMA, add_counts
+from scanweave.llm.common import small_batches, table, written
+from scanweave.llm.textstats import COUNTS, COUNTS_SCHEMA, add_counts, with_counts
 
 RISK = 0.03
 LEVEL = 0.05
@@ -94,11 +94,13 @@ def certified(good: int, false: np.ndarray, caught: np.ndarray, limit: float, le
     return int(np.flatnonzero(caught >= enough * caught[passed])[0])
 
 
-def counted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without its text, but with COUNTS."""
-    kept = [f for f in docs.schema.fields if f.name != text and f.name not in COUNTS]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), COUNTS_SCHEMA])
-    return docs.select(F.col(text), *(F.col(f"`{f.name}`") for f in kept)).mapInArrow(add_counts, schema)
+def counted(docs: DataFrame, text: str = "text", keep: bool = False) -> DataFrame:
+    """docs with COUNTS; without its text unless that is to be kept."""
+    small_batches(docs.sparkSession)
+    own = [f for f in docs.schema.fields if f.name != text and f.name not in COUNTS]
+    read = docs.select(F.col(text), *(F.col(f"`{f.name}`") for f in own))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[0 if keep else 1 :]), COUNTS_SCHEMA])
+    return read.mapInArrow(with_counts if keep else add_counts, schema)
 
 
 def cutoffs(labelled: DataFrame, stratum: str = "lang", label: str = "quality", risk: float = RISK, level: float = LEVEL) -> dict[str | None, dict[str, float]]:
@@ -147,12 +149,14 @@ def filtered(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """The rows of docs that are kept, with all their columns as they are.
 
     Labelled texts are counted first, for the cutoffs; then each row goes
-    through the rules as one struct, so its columns can't clash with COUNTS.
+    through the rules as its text and one struct of its other columns, which
+    can't clash with COUNTS.
     """
     marked = labels.filter("quality IS NOT NULL").groupBy(F.col("doc_id").alias("key")).agg(F.min("quality").alias("quality"))
     known = cutoffs(counted(docs.select(F.col(text).alias("text"), F.col(key).alias("key"), F.col(stratum).alias("stratum")).join(marked, "key")), "stratum", "quality")
-    rows = counted(docs.select(F.col(text).alias("text"), F.col(stratum).alias("stratum"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")))
-    return _limited(rows, known).filter("kept").select("row.*")
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("row")
+    rows = counted(docs.select(F.col(text).alias("text"), F.col(stratum).alias("stratum"), others), keep=True)
+    return _limited(rows, known).filter("kept").select(*(F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

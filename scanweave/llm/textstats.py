@@ -180,10 +180,15 @@ def counts(texts: list[str | None]) -> dict[str, np.ndarray]:
     return {c: np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64) for c in COUNTS}
 
 
-def add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: the first column becomes COUNTS, the others stay."""
+def add_counts(batches: Iterator[pa.RecordBatch], first: int = 1) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: COUNTS of the texts in the first column come after the columns from number `first` on."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             some = batch.slice(at, 1000)
             got = counts(some.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*some.columns[1:], *(pa.array(got[c], pa.int64()) for c in COUNTS)], names=[*some.schema.names[1:], *COUNTS])
+            yield pa.RecordBatch.from_arrays([*some.columns[first:], *(pa.array(got[c], pa.int64()) for c in COUNTS)], names=[*some.schema.names[first:], *COUNTS])
+
+
+def with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same with the texts kept."""
+    return add_counts(batches, 0)
