@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanweave.llm.common import table
+from scanweave.llm.common import small_batches, table
 from scanweave.llm.textstats import COUNTS, COUNTS_SCHEMA, add_counts, counts
 
 #: Labelled texts that the model is fitted on, at most.
@@ -136,6 +136,7 @@ def held_out(key: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on the labelled rows that are not held out, at most `sample` of them."""
+    small_batches(docs.sparkSession)
     marked = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("text", "doc_id").join(F.broadcast(chosen), "doc_id").select("text", "quality")  # at most `sample` rows
@@ -153,6 +154,7 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
                 s = model.score(features(counts(some.column(1).to_pylist())))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(s, pa.float64())], names=["key", "score"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, score double")
 

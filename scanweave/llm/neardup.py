@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanweave.llm.common import mix64, shared_folder, table, written
+from scanweave.llm.common import mix64, shared_folder, small_batches, table, written
 from scanweave.llm.textstats import Text, chunks
 
 BANDS, ROWS = 48, 8
@@ -324,6 +324,7 @@ LINKS = "a long, b long"
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", cluster: int = CLUSTER) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document, from links of 100 * intersection >= percent * union of k-word shingles."""
     spark = docs.sparkSession
+    small_batches(spark)
     spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sketches = written(sketched(docs, k, key, text), "sketches")
     firsts = sketches.filter("n > 0").groupBy("words").agg(F.min("doc_id").alias("rep"))

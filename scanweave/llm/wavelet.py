@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanweave.llm.common import table, written
+from scanweave.llm.common import small_batches, table, written
 from scanweave.llm.tokens import encoder
 
 MAGIC = b"SWWM0001"
@@ -154,6 +154,7 @@ class Shard:
 def encode_shards(docs: DataFrame, file: str, key: str = "doc_id", text: str = "text", end: int = END, shard_ids: int = SHARD_IDS) -> DataFrame:
     """(part, shard, first_doc, n_ids, image) of all documents, parts and shards in ascending document order."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
 
