@@ -49,6 +49,11 @@ def exr_roundtrip_pxr24_uint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decoded(single_channel_files(_integers(spark, sf_dir, 65537, 2**31), "p_partkey", "v", 8, UINT, 5))
 
 
+@query(_part_sql("({v} + 0.0)::DOUBLE", 0, 1024))
+def exr_roundtrip_piz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decoded(single_channel_files(_integers(spark, sf_dir, 0, 1024), "p_partkey", "v", 8, HALF, 4))
+
+
 @query(_part_sql("({v} + 0.0)::DOUBLE", 0, 1024))
 def exr_roundtrip_b44(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decoded(single_channel_files(_integers(spark, sf_dir, 0, 1024), "p_partkey", "v", 8, HALF, 6))

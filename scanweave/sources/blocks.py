@@ -5,6 +5,7 @@ The registry can be extended: register() adds a scheme under its number.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from scanweave.sources.header import ExrError
+from scanweave.sources.piz import words as wavelet_words
 
 UINT, HALF, FLOAT = 0, 1, 2
 
@@ -110,6 +112,12 @@ def pxr24(payload: bytes, expected: int, planes: list[Plane]) -> bytes:
     return b"".join(out)
 
 
+def piz(payload: bytes, expected: int, planes: list[Plane]) -> bytes:
+    """Planes of 16-bit words, one after the other; a sample of four bytes is two words."""
+    data = wavelet_words(payload, [(len(p.ys), p.width, p.size // 2) for p in planes])
+    return by_lines(planes, data)
+
+
 def _log_table() -> np.ndarray:
     """Half bits of 8 * ln(x) for half bits of x, for channels marked as linear; negative and non-finite values become 0."""
     x = np.arange(1 << 16, dtype=np.uint16).view(np.float16).astype(np.float64)
@@ -179,7 +187,7 @@ SCHEMES: dict[int, Scheme] = {
     1: Scheme("RLE", 1, rle),
     2: Scheme("ZIPS", 1, zipped),
     3: Scheme("ZIP", 16, zipped),
-    4: Scheme("PIZ", 32, None),
+    4: Scheme("PIZ", 32, piz),
     5: Scheme("PXR24", 16, pxr24),
     6: Scheme("B44", 32, b44),
     7: Scheme("B44A", 32, b44),
@@ -201,5 +209,5 @@ def decoded(scheme: Scheme | None, payload: bytes, expected: int, planes: list[P
         raise ExrError("UNSUPPORTED_COMPRESSION", "no such scheme")
     try:
         return scheme.kernel(payload, expected, planes)
-    except (ValueError, zlib.error, IndexError) as e:
+    except (ValueError, zlib.error, IndexError, struct.error) as e:
         raise ExrError("DECOMPRESSION_FAILED", f"{scheme.name}: {e}") from e

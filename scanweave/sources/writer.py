@@ -1,7 +1,7 @@
 """A sink: rows of scanlines to image files, as content of one row a file.
 
 Lines are encoded by the schemes that lose nothing or little (none, RLE, ZIPS,
-ZIP, PXR24); flat B44 blocks too, for blocks of one value.
+ZIP, PIZ, PXR24); flat B44 blocks too, for blocks of one value.
 """
 
 from __future__ import annotations
@@ -74,6 +74,76 @@ def _b44_flat(lines: list[list[np.ndarray]], kinds: list[int]) -> bytes:
     return out
 
 
+def _waved(plane: np.ndarray, narrow: bool) -> np.ndarray:
+    """The wavelet of a plane of words, from the finest step up."""
+
+    def pair(a, b):
+        if narrow:
+            a, b = (((x + 0x8000) & 0xFFFF) - 0x8000 for x in (a, b))
+            return (a + b) >> 1 & 0xFFFF, (a - b) & 0xFFFF
+        a = (a + 0x8000) & 0xFFFF
+        mean, d = (a + b) >> 1, a - b
+        return np.where(d < 0, mean + 0x8000, mean) & 0xFFFF, d & 0xFFFF
+
+    (down, across), step = plane.shape, 1
+    while 2 * step <= min(down, across):
+        ys, xs = np.arange(0, down - 2 * step + 1, 2 * step), np.arange(0, across - 2 * step + 1, 2 * step)
+        y, x = ys[:, None], xs[None, :]
+        top, top_right = pair(plane[y, x], plane[y, x + step])
+        low, low_right = pair(plane[y + step, x], plane[y + step, x + step])
+        plane[y, x], plane[y + step, x] = pair(top, low)
+        plane[y, x + step], plane[y + step, x + step] = pair(top_right, low_right)
+        if across & step:
+            last = len(xs) * 2 * step
+            plane[ys, last], plane[ys + step, last] = pair(plane[ys, last], plane[ys + step, last])
+        if down & step:
+            last = len(ys) * 2 * step
+            plane[last, xs], plane[last, xs + step] = pair(plane[last, xs], plane[last, xs + step])
+        step *= 2
+    return plane
+
+
+def _huffed(words: np.ndarray) -> bytes:
+    """Codes of one length for all words that occur; repeats as runs."""
+    used = np.unique(words).tolist()
+    least, most = used[0], used[-1] + 1
+    code = {s: i for i, s in enumerate([*used, most])}
+    n = max(1, (len(code) - 1).bit_length())
+    table, at = "", least
+    for s in code:
+        while s - at >= 6:
+            gap = min(s - at, 261)
+            table, at = table + f"{63:06b}{gap - 6:08b}", at + gap
+        table, at = table + "0" * 6 * (s - at) + f"{n:06b}", s + 1
+    bits, edges = [], np.flatnonzero(np.diff(words.astype(int), prepend=-1, append=-1))
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        bits.append(f"{code[int(words[lo])]:0{n}b}")
+        for left in range(int(hi - lo) - 1, 0, -255):
+            bits.append(f"{code[most]:0{n}b}{min(left, 255):08b}")
+    packed = lambda s: int(s.ljust(-(-len(s) // 8) * 8, "0"), 2).to_bytes(-(-len(s) // 8), "big")
+    data = "".join(bits)
+    return struct.pack("<5I", least, most, 0, len(data), 0) + packed(table) + packed(data)
+
+
+def _piz(lines: list[list[np.ndarray]], kinds: list[int]) -> bytes:
+    planes = [np.stack([line[c] for line in lines]) for c in range(len(kinds))]
+    words = [p.view("<u2").astype(np.int64).reshape(*p.shape, -1) for p in planes]
+    present = np.union1d(np.concatenate([w.ravel() for w in words]), [0])
+    flags = np.zeros(1 << 16, bool)
+    flags[present[1:]] = True
+    bitmap = np.packbits(flags, bitorder="little")
+    filled = np.flatnonzero(bitmap)
+    least, most = (int(filled[0]), int(filled[-1])) if len(filled) else (8191, 0)
+    flat = []
+    for w in words:
+        w = np.searchsorted(present, w)
+        for k in range(w.shape[2]):
+            w[:, :, k] = _waved(w[:, :, k].copy(), len(present) - 1 < 1 << 14)
+        flat.append(w.ravel())
+    codes = _huffed(np.concatenate(flat).astype(np.uint16))
+    return struct.pack("<2H", least, most) + bitmap[least : most + 1].tobytes() + struct.pack("<I", len(codes)) + codes
+
+
 def encoded(planes: list[np.ndarray], kinds: list[int], names: list[str], compression: int, sampling: int = 1, size: tuple[int, int] | None = None, extra: bytes = b"") -> bytes:
     """A file of one part; planes are rows of samples of their kind ('<f2', '<f4' or '<u4')."""
     height, width = size or planes[0].shape
@@ -83,7 +153,7 @@ def encoded(planes: list[np.ndarray], kinds: list[int], names: list[str], compre
     for top in range(0, height, per):
         lines = [[p[y // sampling] for p in planes] for y in range(top, min(top + per, height)) if y % sampling == 0]
         raw = b"".join(v.tobytes() for line in lines for v in line)
-        small = {1: lambda: _runs(_predicted(raw)), 2: lambda: zlib.compress(_predicted(raw)), 3: lambda: zlib.compress(_predicted(raw)), 5: lambda: _pxr24(lines, kinds), 6: lambda: _b44_flat(lines, kinds), 7: lambda: _b44_flat(lines, kinds)}.get(compression, lambda: raw)() if raw else raw
+        small = {1: lambda: _runs(_predicted(raw)), 2: lambda: zlib.compress(_predicted(raw)), 3: lambda: zlib.compress(_predicted(raw)), 4: lambda: _piz(lines, kinds), 5: lambda: _pxr24(lines, kinds), 6: lambda: _b44_flat(lines, kinds), 7: lambda: _b44_flat(lines, kinds)}.get(compression, lambda: raw)() if raw else raw
         blocks.append(struct.pack("<ii", top, len(small)) + small if len(small) < len(raw) else struct.pack("<ii", top, len(raw)) + raw)
     at, table = len(head) + 8 * len(blocks), b""
     for b in blocks:

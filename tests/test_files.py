@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanweave.sources import blocks as B
-from scanweave.sources import exr
+from scanweave.sources import exr, writer
 from scanweave.sources import header as H
 from scanweave.sources.writer import encoded
 
@@ -43,6 +43,20 @@ def test_pxr24_keeps_24_bits_of_floats(spark):
     assert [got["F", y] for y in range(2)] == want.tolist()
 
 
+@pytest.mark.parametrize("distinct", [1, 40, 30_000])
+@pytest.mark.parametrize("shape", [(1, 300), (7, 5), (32, 33), (150, 131)])
+def test_piz_gives_back_all_words(shape, distinct):
+    rng = np.random.default_rng(distinct)
+    h = rng.integers(0, distinct, shape).astype("<u2").view("<f2")
+    f = (rng.integers(0, distinct, shape).astype("<u4") * 65_537).view("<f4")
+    planes = [B.Plane(B.HALF, 0, shape[1], tuple(range(shape[0]))), B.Plane(B.FLOAT, 0, shape[1], tuple(range(shape[0])))]
+    raw = b"".join(h[y].tobytes() + f[y].tobytes() for y in range(shape[0]))
+    coded = writer._piz([[h[y], f[y]] for y in range(shape[0])], [B.HALF, B.FLOAT])
+    assert B.piz(coded, len(raw), planes) == raw
+    with pytest.raises(H.ExrError, match="DECOMPRESSION_FAILED|PIZ"):
+        B.decoded(B.SCHEMES[4], coded[: len(coded) // 2], len(raw), planes)
+
+
 @pytest.mark.parametrize(("scheme", "value"), [(6, 1.0), (7, 0.5)])
 def test_b44_flat_blocks(spark, scheme, value):
     h, f = np.full((6, 5), value, "<f2"), np.arange(30, dtype="<f4").reshape(6, 5)
