@@ -20,9 +20,13 @@
 5. Large clusters.  A cluster of more than CLUSTER members is dealt into
    chunks, each with the cluster's HUBS members that share most buckets.
    Chunks are solved by themselves; the hubs join their large parts.  The
-   members outside the cluster's largest part after that (few, as a rule) are
-   then tested against the members of all chunks, in blocks.  The result is
-   the same as without chunks.
+   members outside the cluster's largest part after that, its fringe, meet the
+   members of other parts that they share a bucket with: first by registers
+   alone, bucket by bucket, in pieces of at most about SIDE members a side.
+   What the likelihood test leaves is verified on the texts, in groups of one
+   chunk and one block of about FRINGE fringe members, and only members that
+   it left are sent there.  So every pair that shares a bucket is tested, as
+   without chunks.
 
 Pairs of documents are never made; the links found are at most as many as the
 members, and connected parts are found by passing the least name on along the
@@ -57,8 +61,10 @@ BASE, TOP = 1.1, 8.0
 CLUSTER, HUBS = 2048, 8
 #: A chunk holds CLUSTER members of about so many shingles on average, or fewer larger ones.
 SHINGLES = 1024
-#: Fringe members that a block tests at once.
+#: Fringe members of a block, on average, and those that are tested at once.
 FRINGE = 512
+#: Members of each side that share a bucket and are compared by registers in one piece, on average.
+SIDE = 4096
 #: The likelihood test passes pairs whose estimate is this many standard errors below the limit.
 ERRORS = 5.0
 
@@ -129,18 +135,23 @@ def sketched(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -
     return docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_sketcher(k), SKETCH)
 
 
+def _buckets(regs: list[bytes]) -> np.ndarray:
+    """The bucket of each sketch in each band."""
+    words = np.frombuffer(b"".join(regs), "<u8").reshape(-1, BANDS, ROWS // 8)
+    key = np.broadcast_to(mix64(np.arange(1, BANDS + 1, dtype=np.uint64)), words.shape[:2])
+    for i in range(ROWS // 8):
+        key = mix64(key ^ mix64(words[:, :, i]))
+    return key.view(np.int64)
+
+
 def _bander(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, bucket) of every band."""
-    salt = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             some = batch.slice(at, 2000)
-            regs = np.frombuffer(b"".join(some.column(1).to_pylist()), "<u8").reshape(-1, BANDS, ROWS // 8)
-            key = np.broadcast_to(salt, regs.shape[:2])
-            for i in range(ROWS // 8):
-                key = mix64(key ^ mix64(regs[:, :, i]))
+            key = _buckets(some.column(1).to_pylist())
             ids = np.repeat(some.column(0).to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(key.reshape(-1).view(np.int64))], names=["doc_id", "bucket"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(key.reshape(-1))], names=["doc_id", "bucket"])
 
 
 def banded(reps: DataFrame) -> DataFrame:
@@ -293,7 +304,7 @@ def _solver(k: int, percent: int):
 
 
 def _fringe_solver(k: int, percent: int):
-    """(a, b) links of fringe members to the members of a chunk: for each, one link to each part of the chunk."""
+    """(a, b) links of a block of fringe members to members of a chunk: for each, one link to each part among these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (ids, texts, regs, roots, fringe) in _grouped(5)(batches):
@@ -318,10 +329,64 @@ def _fringe_solver(k: int, percent: int):
     return run
 
 
+def _meeting(percent: int):
+    """(doc_id, chunk, block, fringe) of the fringe members and members of other parts that share a bucket and pass the likelihood test."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket, _), (ids, n, regs, root, chunk, block, outer, fringe) in _grouped(8)(batches):
+            ids, n, root, is_fringe = np.array(ids), np.array(n, float), np.array(root), np.array(fringe, bool)
+            chunk, block, outer = np.array(chunk), np.array(block), np.array(outer, bool)
+            own, other = np.flatnonzero(~is_fringe), np.flatnonzero(is_fringe)
+            keys = _buckets(regs)
+            band = int(np.argmax(keys[0] == bucket))
+            regs = np.frombuffer(b"".join(regs), np.uint8).reshape(-1, REGISTERS)
+            seats: set[tuple[int, int, int, bool]] = set()
+            for i in other:
+                # a pair of two fringe members is tested once, and every pair in the first bucket that it shares
+                at = own[(root[own] != root[i]) & (~outer[own] | (ids[own] > ids[i]))]
+                at = at[~(keys[at, :band] == keys[i, :band]).any(1)]
+                hits = at[may_be_similar(regs[i], n[i], regs[at], n[at], percent / 100)]
+                seats.update((int(ids[i]), int(c), int(block[i]), True) for c in np.unique(chunk[hits]))
+                seats.update((int(ids[h]), int(chunk[h]), int(block[i]), False) for h in hits)
+            cols = list(zip(*seats, strict=True)) or [(), (), (), ()]
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "chunk", "block", "fringe"])
+
+    return run
+
+
+def _meetings(rooted: DataFrame, bands: DataFrame, reps: DataFrame, percent: int, fringe: int, spread: int) -> DataFrame:
+    """(cluster, place, doc_id, root, fringe): the groups of one chunk and one block in which the fringe of large clusters is verified.
+
+    rooted has (doc_id, cluster, root, chunk) of every member of a large cluster.
+    """
+    largest = rooted.groupBy("cluster", "root").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max_by("root", F.struct("c", -F.col("root"))).alias("main"))
+    facts = reps.select("doc_id", "n", "registers")
+    sided = rooted.join(largest, "cluster").withColumn("outer", F.col("root") != F.col("main")).join(facts.select("doc_id", "n"), "doc_id")
+    load = F.greatest(F.count("*") / fringe, F.sum("n") / (fringe * SHINGLES))
+    blocks = sided.filter("outer").groupBy("cluster").agg(F.ceil(load).cast("int").alias("n_blocks"))
+    block = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("n_blocks")).cast("int")
+    sided = written(sided.join(blocks, "cluster").withColumn("block", block).select("doc_id", "cluster", "root", "chunk", "outer", "n_blocks", "block"), "sided")
+
+    # buckets with fringe members and more than one part, each side dealt into pieces
+    held = written(bands.join(sided, "doc_id").select("bucket", "doc_id", "root", "chunk", "block", "outer"), "held")
+    many = held.groupBy("bucket").agg(F.count("*").alias("m"), F.count_if("outer").alias("f"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("f > 0 AND lo < hi")
+    pieces = [F.ceil(F.col(c) / SIDE).cast("int") for c in ("m", "f")]
+    dealt = held.join(many.select("bucket", pieces[0].alias("ms"), pieces[1].alias("fs")), "bucket").withColumn("deal", F.xxhash64("doc_id", F.lit("side")))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    inner = dealt.withColumn("fringe", F.lit(False)).withColumn("other", every("fs")).withColumn("piece", F.pmod("deal", "ms") * F.col("fs") + F.col("other"))
+    fringed = dealt.filter("outer").withColumn("fringe", F.lit(True)).withColumn("other", every("ms")).withColumn("piece", F.col("other") * F.col("fs") + F.pmod("deal", "fs"))
+    pairs = inner.unionByName(fringed).join(facts, "doc_id").select("bucket", "piece", "doc_id", "n", "registers", "root", "chunk", "block", "outer", "fringe")
+    pairs = pairs.repartition(spread, "bucket", "piece").sortWithinPartitions("bucket", "piece")
+    seats = written(pairs.mapInArrow(_meeting(percent), "doc_id long, chunk int, block int, fringe boolean"), "meetings").distinct()
+    place = F.col("chunk").cast("long") * F.col("n_blocks") + F.col("block")
+    return seats.join(sided.select("doc_id", "cluster", "root", "n_blocks"), "doc_id").select("cluster", place.alias("place"), "doc_id", "root", "fringe")
+
+
 LINKS = "a long, b long"
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", cluster: int = CLUSTER) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", cluster: int = CLUSTER, fringe: int = FRINGE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document, from links of 100 * intersection >= percent * union of k-word shingles."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -357,17 +422,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     placed = seated.select("cluster", "chunk", "doc_id", "text", "registers").repartition(spread, "cluster", "chunk").sortWithinPartitions("cluster", "chunk", "doc_id")
     links = written(placed.mapInArrow(_solver(k, percent), LINKS), "links")
 
-    # what is outside the largest part of a large cluster meets all its chunks
+    # what is outside the largest part of a large cluster meets the members of other parts that share a bucket
     wide = seats.filter("n_chunks > 1")
     if wide.limit(1).count():
         parts = components(links.join(wide.select(F.col("doc_id").alias("a")).distinct(), "a", "left_semi"))
         rooted = wide.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         rooted = written(rooted.withColumn("home", F.pmod(F.xxhash64("doc_id"), F.col("n_chunks")).cast("int")).filter("home = chunk"), "rooted")
-        largest = rooted.groupBy("cluster", "root").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max_by("root", F.struct("c", -F.col("root"))).alias("main"))
-        fringe = rooted.join(largest, "cluster").filter("root != main").select("doc_id", "cluster", "root", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"))
-        own = rooted.select("doc_id", "cluster", "root", "chunk").withColumn("fringe", F.lit(False))
-        met = own.unionByName(fringe.select("doc_id", "cluster", "root", "chunk", F.lit(True).alias("fringe"))).join(members, "doc_id")
-        met = met.select("cluster", "chunk", "doc_id", "text", "registers", "root", "fringe").repartition(spread, "cluster", "chunk").sortWithinPartitions("cluster", "chunk", "doc_id")
+        met = _meetings(rooted.select("doc_id", "cluster", "root", "chunk"), bands, reps, percent, fringe, spread).join(members, "doc_id")
+        met = met.select("cluster", "place", "doc_id", "text", "registers", "root", "fringe").repartition(spread, "cluster", "place").sortWithinPartitions("cluster", "place", "doc_id")
         links = links.unionByName(written(met.mapInArrow(_fringe_solver(k, percent), LINKS), "fringe"))
         roots = components(links)
     else:  # every cluster was solved in one piece: a link's end is the root

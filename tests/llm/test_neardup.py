@@ -1,3 +1,4 @@
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -79,3 +80,52 @@ def test_registers_estimate_similarity():
     assert may.all()
     far = N.registers(np.zeros(2000, int), np.sort(rng.integers(0, 1 << 63, 2000).astype(np.uint64)), 1)
     assert not N.may_be_similar(regs[0], 2000.0, far, np.array([2000.0]), 0.8).any()
+
+
+def templates(rng, n, own):
+    """Texts of one long passage with `own` words of their own at the end: pairs are somewhat similar, none is linked."""
+    passage = [f"p{i}" for i in range(200)]
+    return [(i, " ".join([*passage, *(f"x{v}" for v in rng.integers(0, 10**9, own))])) for i in range(n)]
+
+
+@pytest.mark.parametrize("own", [40, 80])
+def test_templates_without_links_send_no_texts_to_all_chunks(spark, monkeypatch, tmp_path, own):
+    """Templates at a similarity of about 0.7 and 0.55: one cluster by buckets, no links, so the whole cluster is fringe."""
+    rows = templates(np.random.default_rng(own), 300, own)
+    solver, folder = N._fringe_solver, str(tmp_path)
+
+    def watched(k, percent):
+        def run(batches):
+            def seen():
+                for b in batches:
+                    with open(f"{folder}/{os.getpid()}", "a") as f:
+                        f.writelines(f"{x} {y}\n" for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+                    yield b
+
+            yield from solver(k, percent)(seen())
+
+        return run
+
+    monkeypatch.setattr(N, "_fringe_solver", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = got(N.near_duplicates(docs, 3, 85, cluster=32))
+    assert found == brute(rows, 3, 85)
+    assert len({c for _, c in found.values()}) == 300
+    sent = Counter(line for p in tmp_path.iterdir() for line in p.read_text().splitlines())
+    assert sum(sent.values()) <= 300  # before: each text went to each of about ten chunks
+    assert max(sent.values(), default=0) <= 100  # and a task held all 300
+
+
+def test_fringe_in_small_blocks_and_pieces(spark, monkeypatch):
+    """Two large groups of near copies, chained by templates: the smaller group's links are found across blocks and pieces."""
+    monkeypatch.setattr(N, "SIDE", 5)
+    rng, rows = np.random.default_rng(9), []
+    for i, text in templates(rng, 40, 60):
+        rows.append((i, text))
+    for first, of in ((100, 3), (200, 7)):
+        for i in range(40):
+            words = rows[of][1].split()
+            words[int(rng.integers(260))] = f"new{first + i}"
+            rows.append((first + i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(N.near_duplicates(docs, 3, 85, cluster=8, fringe=3)) == brute(rows, 3, 85)
