@@ -1,18 +1,19 @@
 """Quality rules whose cutoffs are controlled for risk.
 
 A rule rejects a text whose value exceeds a cutoff.  Cutoffs come from labelled
-texts: of the good ones of a stratum (a language), a rule may reject a share of
-at most ``risk`` / number of rules, so all rules together reject at most
-``risk``.  For each stratum and rule the cutoffs of a fixed list are tested
-from the mildest on.  A cutoff is certified if, were the true share just at the
-limit, so few false rejections among so many good texts would have at most
-probability ``level`` / (strata x rules): an exact binomial (Clopper-Pearson)
-bound with Bonferroni's correction over strata and rules.  The list is tested
-in a fixed sequence that stops at the first failure, which needs no further
-correction.  With probability 1 - ``level`` all certified cutoffs hold the
-limit.  Of the certified cutoffs the mildest is taken that still rejects
-``enough`` of the bad texts that the strictest one rejects.  A stratum with too
-few labels has no cutoff, and its texts are kept.
+texts: of the good ones of a stratum (a language), all rules together may
+reject a share of at most ``risk``.  The cutoffs of all rules are steps of one
+fixed sequence (see ``steps``), each of which makes one rule stricter.  A step
+is certified if, were the true share of all that is rejected so far just at
+the limit, so few false rejections among so many good texts would have at most
+probability ``level`` / strata: an exact binomial (Clopper-Pearson) bound with
+Bonferroni's correction over strata.  The sequence stops at the first failure,
+so it needs no further correction, and the risk is spent once, not once a
+rule.  With probability 1 - ``level`` the rules hold the limit in all strata.
+Of the certified steps the first is taken that still rejects ``enough`` of the
+bad texts that the last one rejects.  A stratum with fewer good labels than
+``least_labels`` (144 of four strata) can have no cutoff, and its texts are
+kept.
 
 Defined results: a null text has no words; a null stratum is a stratum of its
 own; labels of texts that are not there are ignored; an empty table gives no
@@ -83,7 +84,7 @@ def _lower_tail(k: int, n: int, p: float) -> float:
 
 
 def certified(good: int, false: np.ndarray, caught: np.ndarray, limit: float, level: float, enough: float = ENOUGH) -> int | None:
-    """The cutoff to take, by number: false and caught are good and bad texts that each cutoff rejects, mildest first."""
+    """The step to take, by number: false and caught are good and bad texts that are rejected at each step, mildest first."""
     passed = -1
     for i, k in enumerate(false):
         if good == 0 or at_most(int(k), good, limit) > level:
@@ -94,6 +95,12 @@ def certified(good: int, false: np.ndarray, caught: np.ndarray, limit: float, le
     return int(np.flatnonzero(caught >= enough * caught[passed])[0])
 
 
+def steps() -> list[tuple[str, int]]:
+    """The fixed sequence of (rule, number of its cutoff): every rule's cutoffs in order, all rules from mild to strict at the same pace."""
+    every = [(i / len(cuts), place, name, i) for place, (name, (_, cuts)) in enumerate(rules().items()) for i in range(len(cuts))]
+    return [(name, i) for _, _, name, i in sorted(every)]
+
+
 def counted(docs: DataFrame, text: str = "text", keep: bool = False) -> DataFrame:
     """docs with COUNTS; without its text unless that is to be kept."""
     small_batches(docs.sparkSession)
@@ -105,8 +112,10 @@ def counted(docs: DataFrame, text: str = "text", keep: bool = False) -> DataFram
 
 def cutoffs(labelled: DataFrame, stratum: str = "lang", label: str = "quality", risk: float = RISK, level: float = LEVEL) -> dict[str | None, dict[str, float]]:
     """Certified cutoffs of each stratum, from labelled rows with COUNTS: one aggregation, whose result is small."""
-    own = rules()
-    tests = [F.sum((value > c).cast("long")).alias(f"{name}_{i}") for name, (value, cuts) in own.items() for i, c in enumerate(cuts)]
+    own, sequence = rules(), steps()
+    # the first step that rejects a text: from there on it is rejected
+    first = F.least(*(F.when(own[name][0] > own[name][1][i], t).otherwise(len(sequence)) for t, (name, i) in enumerate(sequence)))
+    tests = [F.sum((first <= t).cast("long")).alias(f"step_{t}") for t in range(len(sequence))]
     rows = labelled.groupBy(F.col(stratum).alias("stratum"), (F.col(label) == 1).alias("good")).agg(F.count("*").alias("n"), *tests).limit(2 * MAX_STRATA + 1).collect()
     if len(rows) > 2 * MAX_STRATA:
         raise ValueError(f"more than {MAX_STRATA} strata")
@@ -115,14 +124,18 @@ def cutoffs(labelled: DataFrame, stratum: str = "lang", label: str = "quality",
     out: dict[str | None, dict[str, float]] = {}
     for s in strata:
         good, bad = by.get((s, True)), by.get((s, False))
-        for name, (_, cuts) in own.items():
-            false, caught = (np.array([r[f"{name}_{i}"] if r else 0 for i in range(len(cuts))], np.int64) for r in (good, bad))
-            i = certified(good["n"] if good else 0, false, caught, risk / len(own), level / (len(strata) * len(own)))
-            if i is not None:
-                out.setdefault(s, {})[name] = cuts[i]
+        false, caught = (np.array([r[f"step_{t}"] if r else 0 for t in range(len(sequence))], np.int64) for r in (good, bad))
+        last = certified(good["n"] if good else 0, false, caught, risk, level / len(strata))
+        if last is not None:
+            out[s] = {name: own[name][1][i] for name, i in sequence[: last + 1]}
     return out
 
 
+def least_labels(strata: int, risk: float = RISK, level: float = LEVEL) -> int:
+    """Good texts that a stratum needs for its first step to be certified, with no false rejection."""
+    return math.ceil(math.log(level / strata) / math.log1p(-risk))
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 

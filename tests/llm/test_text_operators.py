@@ -136,3 +136,39 @@ def test_licenses(spark, odd, none):
     assert got == {1: ("MIT", ""), 2: (None, ""), 3: (None, "CC-BY-NC-4.0,MIT"), 4: (None, "")}
     assert L.found(odd, known).filter("key = 1").first().digest == hashlib.sha256(b"").hexdigest()
     assert L.found(odd, known).count() == odd.count() and L.found(none, known).count() == 0
+
+
+def test_few_labels_have_cutoffs_for_all_rules_together(spark):
+    """200 good labels of each of four languages: the risk is spent once, so their bad texts are rejected; 100 are too few."""
+    plain = " ".join(f"word{i}" for i in range(60))
+    rows = [(f"{lang}{i}", plain if i < n else " ".join(f"word{j}###########" for j in range(60)), lang, int(i < n)) for lang, n in (("a", 200), ("b", 200), ("c", 200), ("d", 100)) for i in range(n + 20)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id string, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id string, quality int")
+    kept = {r.key for r in R.judged(docs, labels).filter("kept").collect()}
+    assert kept == {r[0] for r in rows if r[3] or r[2] == "d"}
+    assert R.least_labels(4) == 144
+
+
+def test_union_of_rejections_is_what_is_certified(spark):
+    """Cutoffs are those of a plain run through the sequence, on counted texts that several rules reject."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(900):
+        bad = i % 6 == 0
+        words = [f"w{v}" for v in rng.integers(0, 400, 80)] + ["#$"] * int(rng.integers(0, 60 if bad else 4)) + ["LOUD"] * int(rng.integers(0, 50 if bad else 6))
+        rows.append((i, " ".join(words), "x" if i % 2 else None, int(not bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    counted = R.counted(docs).select("lang", "quality", *(v.alias(k) for k, (v, _) in R.rules().items())).collect()
+    want = {}
+    for s in ("x", None):
+        good, bad = ([r for r in counted if r.lang == s and r.quality == q] for q in (1, 0))
+        now, states = {}, []
+        for name, i in R.steps():
+            now = {**now, name: R.rules()[name][1][i]}
+            false, caught = (sum(any(r[k] > c for k, c in now.items()) for r in some) for some in (good, bad))
+            if R.at_most(false, len(good), R.RISK) > R.LEVEL / 2:
+                break
+            states.append((caught, now))
+        if states and states[-1][0]:
+            want[s] = next(state for caught, state in states if caught >= R.ENOUGH * states[-1][0])
+    assert want and R.cutoffs(R.counted(docs)) == want
