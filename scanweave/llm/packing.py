@@ -13,8 +13,11 @@ count a length, whatever the size of the corpus, and the plan is a table of
 runs, whose number also depends on the sequence length alone.  Each piece then
 finds its run by its rank among the pieces of its length.
 
-Defined results: a null text is empty; an empty document is its end id alone;
-repeated rows are packed once each; an empty table packs nothing.
+Defined results: a null text is empty; an empty document is its end id alone; a
+very long text is many pieces; which of equally long pieces comes first is
+open, as their places are alike; repeated rows, and rows without an id, are
+packed once each; an empty table packs nothing; no column but id and text is
+read, so other names can't clash.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanweave.llm.common import small_batches, table, written
-from scanweave.llm.tokens import encoder
+from scanweave.llm.tokens import encoder, with_end
 
 LENGTH = 2048
 END = 0
@@ -44,18 +47,22 @@ def tokenised(docs: DataFrame, file: str, length: int = LENGTH, end: int = END,
 
         part, seen, enc = TaskContext.get().partitionId(), np.zeros(length + 1, np.int64), encoder(file)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                rows: list[tuple] = []
-                for doc, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist()), strict=True):
-                    ids = np.append(ids, end).astype("<u4")
-                    for piece, start in enumerate(range(0, len(ids), length)):
-                        own = ids[start : start + length]
-                        rows.append((doc, piece, start, len(own), own.tobytes(), part, int(seen[len(own)])))
-                        seen[len(own)] += 1
-                cols = list(zip(*rows, strict=True)) or [()] * 7
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids", "part", "seq"])
+            flat, at = with_end(*enc.encode_column(batch.column(1)), end)
+            n = np.diff(at)
+            pieces = -(-n // length)
+            doc = np.repeat(np.arange(len(n)), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            size = np.minimum(length, n[doc] - piece * length)
+            # pieces of equal length are numbered on from those of earlier batches
+            order = np.argsort(size, kind="stable")
+            counts = np.bincount(size, minlength=length + 1)
+            seq = np.empty(len(size), np.int64)
+            seq[order] = np.arange(len(size)) - (np.cumsum(counts) - counts - seen)[size[order]]
+            seen += counts
+            ends = np.concatenate([[0], np.cumsum(4 * size)]).astype(np.int32)
+            ids = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(flat.astype("<u4"))])
+            cols = [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(piece * length), pa.array(size, pa.int32()), ids, pa.array(np.full(len(size), part), pa.int32()), pa.array(seq)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids", "part", "seq"])
 
     small_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
