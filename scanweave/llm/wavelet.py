@@ -9,9 +9,10 @@ k-th occurrence is, without being unpacked.
 
 A shard image (bytes, little-endian) is
 
-    8 bytes   magic "SWWM0001"
-    4 x u64   n ids, n documents, bits b, block size of the rank counts
-    n docs    u64 document ids, then u64 lengths
+    8 bytes   magic "SWWM0002"
+    5 x u64   n ids, n documents, documents without an id (they come first),
+              bits b, block size of the rank counts
+    n docs    i64 document ids (0 for none), then u64 lengths
     b planes  u64 number of zeros, u32 ones before each block, the bits
 
 Shards hold whole documents in ascending document order, at least SHARD_IDS
@@ -19,9 +20,11 @@ ids each but for the last of a task.  Images are written through Spark, as rows
 (part, shard, image) of Parquet files, so they can lie in any store that Spark
 reaches, and a lost task writes its shards again.
 
-Defined results: a null or empty text is its end id alone; repeated rows are
-kept; documents without an id come first, under document id 2**64-1 in the
-image; an empty table gives no shard.
+Defined results: a null or empty text is its end id alone; a very long text is
+one document of one shard, which is then longer than others; repeated rows are
+kept, one after the other in any order; documents without an id come first; an
+empty table gives no shard; no column but id and text is read, so other names
+can't clash.
 """
 
 from __future__ import annotations
@@ -35,19 +38,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanweave.llm.common import small_batches, table, written
-from scanweave.llm.tokens import encoder
+from scanweave.llm.tokens import encoder, with_end
 
-MAGIC = b"SWWM0001"
+MAGIC = b"SWWM0002"
 SHARD_IDS = 1 << 19
 RANK_BLOCK = 512
 END = 0
-NO_ID = np.uint64(0xFFFF_FFFF_FFFF_FFFF)
 
 
-def build(ids: np.ndarray, docs: np.ndarray, lengths: np.ndarray, bits: int | None = None) -> bytes:
-    """The image of one shard."""
+def build(ids: np.ndarray, docs: np.ndarray, lengths: np.ndarray, bits: int | None = None, without: int = 0) -> bytes:
+    """The image of one shard, whose first `without` documents have no id."""
     bits = bits or max(1, int(ids.max(initial=0)).bit_length())
-    out = [MAGIC, struct.pack("<4Q", len(ids), len(docs), bits, RANK_BLOCK), docs.astype("<u8").tobytes(), lengths.astype("<u8").tobytes()]
+    out = [MAGIC, struct.pack("<5Q", len(ids), len(docs), without, bits, RANK_BLOCK), docs.astype("<i8").tobytes(), lengths.astype("<u8").tobytes()]
     x = ids.astype(np.uint32 if bits > 16 else np.uint16)
     for level in range(bits - 1, -1, -1):
         one = (x >> level & 1).astype(bool)
@@ -67,9 +69,9 @@ class Shard:
     def __init__(self, image: bytes):
         if image[:8] != MAGIC:
             raise ValueError("not a shard")
-        self.n, n_docs, self.bits, self.block = struct.unpack_from("<4Q", image, 8)
-        at = 40
-        self.docs = np.frombuffer(image, "<u8", n_docs, at)
+        self.n, n_docs, self.without, self.bits, self.block = struct.unpack_from("<5Q", image, 8)
+        at = 48
+        self.docs = np.frombuffer(image, "<i8", n_docs, at)
         self.lengths = np.frombuffer(image, "<u8", n_docs, at + 8 * n_docs).astype(np.int64)
         at += 16 * n_docs
         self.zeros, self.before, self.plane = [], [], []
@@ -162,28 +164,33 @@ def encode_shards(docs: DataFrame, file: str, key: str = "doc_id", text: str = "
         from pyspark import TaskContext
 
         part, shard, enc = TaskContext.get().partitionId(), 0, encoder(file)
-        names: list[int | None] = []
+        names: list[pa.Array] = []
         held: list[np.ndarray] = []
-        size = 0
+        lengths: list[np.ndarray] = []
 
         def image() -> pa.RecordBatch:
-            marks = np.array([NO_ID if d is None else np.uint64(d % (1 << 64)) for d in names], np.uint64)
-            lengths = np.array([len(x) for x in held], np.int64)
-            one = build(np.concatenate(held), marks, lengths)
-            cols = ([part], [shard], [names[0]], [size], [one])
+            keys = pa.concat_arrays(names)
+            marks = keys.fill_null(0).to_numpy()
+            one = build(np.concatenate(held), marks, np.concatenate(lengths), without=keys.null_count)
+            cols = ([part], [shard], [keys[0].as_py()], [sum(map(len, held))], [one])
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["part", "shard", "first_doc", "n_ids", "image"])
 
+        size = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                for doc, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist()), strict=True):
-                    names.append(doc)
-                    held.append(np.append(ids, end).astype(np.uint32))
-                    size += len(ids) + 1
-                    if size >= shard_ids:
-                        yield image()
-                        names, held, size, shard = [], [], 0, shard + 1
+            flat, at = with_end(*enc.encode_column(batch.column(1)), end)
+            first = 0
+            while first < batch.num_rows:
+                # up to the document that fills the shard
+                last = min(int(np.searchsorted(at, at[first] + shard_ids - size)), batch.num_rows)
+                names.append(batch.column(0).slice(first, last - first))
+                held.append(flat[at[first] : at[last]])
+                lengths.append(np.diff(at[first : last + 1]))
+                size += int(at[last] - at[first])
+                first = last
+                if size >= shard_ids:
+                    yield image()
+                    names, held, lengths, size, shard = [], [], [], 0, shard + 1
         if names:
             yield image()
 
@@ -206,14 +213,16 @@ def decode_shards(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for part, shard, image in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 one = Shard(image)
-                ids, ends = one.ids().astype("<u4"), np.cumsum(one.lengths)
+                ids, ends = one.ids().astype("<u4", copy=False), np.cumsum(one.lengths)
                 begins = ends - one.lengths
-                docs = [None if d == NO_ID else int(d.astype(np.int64)) for d in one.docs]
+                docs = pa.array(one.docs, mask=np.arange(len(one.docs)) < one.without)
                 for at in range(0, len(docs), 1000):
                     to = min(at + 1000, len(docs))
-                    cols = ([part] * (to - at), [shard] * (to - at), docs[at:to], begins[at:to], [ids[b:e].tobytes() for b, e in zip(begins[at:to], ends[at:to], strict=True)])
-                    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["part", "shard", "doc_id", "begin", "ids"])
+                    base = int(begins[at])
+                    places = (4 * (np.append(begins[at:to], ends[to - 1]) - base)).astype(np.int32)
+                    own = pa.BinaryArray.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(places), pa.py_buffer(ids[base : ends[to - 1]])])
+                    cols = [pa.array(np.full(to - at, part), pa.int32()), pa.array(np.full(to - at, shard), pa.int32()), docs.slice(at, to - at), pa.array(begins[at:to]), own]
+                    yield pa.RecordBatch.from_arrays(cols, names=["part", "shard", "doc_id", "begin", "ids"])
 
     return shards.select("part", "shard", "image").mapInArrow(run, "part int, shard int, doc_id long, begin long, ids binary")
 
