@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scanweave.llm.licenses import COPYRIGHT_LINE, KNOWN, SPELLINGS
+from scanweave.llm.licenses import COPYRIGHT_LINE, GAPS, PARAGRAPHS, SPELLINGS, variants
 from scanweave.llm.secrets import BASE, RULES
 
 
@@ -36,17 +36,17 @@ OP2 = _secrets()
 def _canonical(text: str) -> str:
     t = f"regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE}', ' ', 'g')"
     for spelling, same in SPELLINGS:
-        t = f"regexp_replace({t}, '{spelling}', '{same}', 'g')"
-    return rf"trim(regexp_replace({t}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g'))"
+        t = f"replace({t}, '{spelling}', '{same}')"
+    return f"trim(regexp_replace({t}, '{GAPS}', ' ', 'g'))"
 
 
 def _licenses() -> str:
-    known = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in KNOWN)
+    known = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in variants())
     return f"""
     WITH known AS (SELECT sha256({_canonical("t")}) AS digest, min(license) AS license FROM (VALUES {known}) AS v(license, t) GROUP BY 1),
-    lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+    parts AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10)) || string_split_regex(text, '{PARAGRAPHS}')) AS part FROM documents),
     named AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
-              FROM (SELECT doc_id, sha256({_canonical("line")}) AS digest FROM lines WHERE regexp_matches(line, '[A-Za-z0-9]')) JOIN known USING (digest) GROUP BY 1)
+              FROM (SELECT doc_id, sha256({_canonical("part")}) AS digest FROM parts WHERE part != '') JOIN known USING (digest) GROUP BY 1)
     SELECT d.doc_id, sha256({_canonical("text")}) AS digest, k.license, coalesce(n.notices, '') AS notices
     FROM documents d LEFT JOIN known k ON k.digest = sha256({_canonical("text")}) LEFT JOIN named n ON n.doc_id = d.doc_id"""
 

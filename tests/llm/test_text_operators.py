@@ -129,15 +129,40 @@ def test_ledger_scans_unseen_blobs_only(spark, tmp_path):
 
 
 def test_licenses(spark, odd, none):
-    mit = L.KNOWN[0][1]
-    docs = spark.createDataFrame([(1, "Copyright (c) 2020 A\n\n" + mit.upper().replace("SUBLICENSE", "SUB-LICENCE").replace(" ", "\n")), (2, mit + " more"), (3, "text\nreleased under the MIT licence\nLicensed under CC BY-NC 4.0."), (4, None)], "doc_id long, text string")
+    texts = dict(reversed(L.KNOWN))
+    mit = texts["MIT"] = L.KNOWN[0][1]
+    wrapped = lambda t: "\n".join(t[i : i + 60] for i in range(0, len(t), 60))
+    wrap_words = lambda t: re.sub(r"((?:\S+ ){9})", r"\1\n", t)
+    curly = mit.replace('"Software"', "“Software”").replace('"AS IS"', "“AS IS”")
+    cases = [
+        ("Copyright (c) 2020 A\n\n" + mit.upper().replace("SUBLICENSE", "SUB-LICENCE").replace(" ", "\n"), "MIT", "MIT"),
+        (mit + " more", None, ""),
+        ("text\nreleased under the MIT licence\nLicensed under CC BY-NC 4.0.", None, "CC-BY-NC-4.0,MIT"),
+        (None, None, ""),
+        ("MIT License\n\nCopyright (c) 2021 Some Body\n\n" + wrap_words(mit), "MIT", "MIT"),
+        ("The MIT License (MIT)\n\n" + wrap_words(curly), "MIT", "MIT"),
+        (wrap_words(L._BSD_TERMS.replace("1. ", "* ").replace("2. ", "* ") + L._BSD_NAME.replace("3. ", "* ") + L._BSD_AS_IS), "BSD-3-Clause", "BSD-3-Clause"),
+        ("// code\n\n" + wrap_words(L._FREE.format("General Public License", "3")) + "\n\nmore", None, "GPL-3.0-or-later"),
+        (wrapped(mit) + ".", None, ""),  # words cut in two are other words
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id long, text string")
     known = L.known_licenses(spark)
     got = {r.key: (r.license, r.notices) for r in L.found(docs, known).collect()}
-    assert got == {1: ("MIT", ""), 2: (None, ""), 3: (None, "CC-BY-NC-4.0,MIT"), 4: (None, "")}
+    assert got == {i: (name, notices) for i, (_, name, notices) in enumerate(cases)}
     assert L.found(odd, known).filter("key = 1").first().digest == hashlib.sha256(b"").hexdigest()
     assert L.found(odd, known).count() == odd.count() and L.found(none, known).count() == 0
 
 
+def test_notices_of_one_id_with_two_texts(spark):
+    docs = spark.createDataFrame([(1, "Released under the MIT License."), (1, "x\nLicensed under CC BY 4.0."), (None, "x\nReleased under CC0 1.0.")], "doc_id long, text string")
+    assert sorted((str(r.key), r.notices) for r in L.found(docs, L.known_licenses(spark)).collect()) == [("1", "CC-BY-4.0"), ("1", "MIT"), ("None", "CC0-1.0")]
+
+
+def test_every_known_text_has_a_stem():
+    assert all(any(s in t.lower().replace("license", "licence") or s in t.lower() for s in L.stems(L.variants())) for _, t in L.variants())
+    assert "" not in L.stems(L.variants())
+
+
 def test_few_labels_have_cutoffs_for_all_rules_together(spark):
     """200 good labels of each of four languages: the risk is spent once, so their bad texts are rejected; 100 are too few."""
     plain = " ".join(f"word{i}" for i in range(60))
