@@ -13,8 +13,11 @@ Prefix scans run in two steps (groups of GROUP blocks, then inside a group), so
 a file of any length needs no single task for all its blocks.
 
 Defined results: ids after the last end of a file are an unended document,
-given with ended = false; two ends in a row are a document of one id; an empty
-file has no documents; blocks need not hold equally many ids.
+given with ended = false; two ends in a row are a document of one id, which is
+what a null or empty text is; a very long text spans many blocks; an empty file
+or table has no documents; repeated rows are documents of their own; blocks
+need not hold equally many ids; no column but id and text is read, so other
+names can't clash.
 """
 
 from __future__ import annotations
@@ -27,40 +30,56 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanweave.llm.common import small_batches, table, written
-from scanweave.llm.tokens import encoder
+from scanweave.llm.tokens import encoder, with_end
 
-END = 0xFFFF
 BLOCK_IDS = 1 << 18
 GROUP = 1024
 
 BLOCKS = "file int, block long, ids binary"
 
 
-def flat_files(docs: DataFrame, file: str, end: int = END, block_ids: int = BLOCK_IDS, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def end_of(file: str) -> tuple[int, str]:
+    """(end id, type of ids) of flat files of a tokenizer: 16 bits with 2**16-1 where that is no id of its vocabulary, otherwise 32 bits."""
+    short = encoder(file).tokenizer.get_vocab_size() < 1 << 16
+    return (0xFFFF, "<u2") if short else (0xFFFF_FFFF, "<u4")
+
+
+def read_flat(spark: SparkSession, path: str, width: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
+    """The blocks (file, block, ids) of flat token files at path (each of at most 2 GB, what Spark holds of one file); file is its path."""
+    size = width * block_ids
+    files = spark.read.format("binaryFile").load(path).filter("length > 0").select(F.col("path").alias("file"), "content", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {size}"))).alias("block"))
+    return files.select("file", "block", F.substring("content", (F.col("block") * size + 1).cast("int"), F.lit(size)).alias("ids"))
+
+
+def flat_files(docs: DataFrame, file: str, block_ids: int = BLOCK_IDS, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Tokenise into flat files, one for each task: (the blocks of ids as BLOCKS, the order of documents in each file)."""
+    end, dtype = end_of(file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, enc, rest, block, place = TaskContext.get().partitionId(), encoder(file), b"", 0, 0
-        width = 2 * block_ids
-
-        def rows(blocks: list, order: list) -> pa.RecordBatch:
-            cols = ([part] * (len(blocks) + len(order)), [b[0] for b in blocks] + [None] * len(order), [b[1] for b in blocks] + [None] * len(order), [None] * len(blocks) + [o[0] for o in order], [None] * len(blocks) + [o[1] for o in order])
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["file", "block", "ids", "doc_no", "doc_id"])
+        width = np.dtype(dtype).itemsize * block_ids
+
+        def rows(blocks: list[bytes], docs: pa.Array) -> pa.RecordBatch:
+            b, d = len(blocks), len(docs)
+            cols = [
+                pa.array(np.full(b + d, part), pa.int32()),
+                pa.array([*range(block, block + b), *[None] * d], pa.int64()),
+                pa.array([*blocks, *[None] * d], pa.binary()),
+                pa.array([*[None] * b, *range(place, place + d)], pa.int64()),
+                pa.concat_arrays([pa.nulls(b, pa.int64()), docs]),
+            ]
+            return pa.RecordBatch.from_arrays(cols, names=["file", "block", "ids", "doc_no", "doc_id"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                found = enc.encode(some.column(1).to_pylist())
-                rest += b"".join(np.append(x, end).astype("<u2").tobytes() for x in found)
-                n = len(rest) // width
-                order = [(place + i, d) for i, d in enumerate(some.column(0).to_pylist())]
-                yield rows([(block + i, rest[i * width : (i + 1) * width]) for i in range(n)], order)
-                rest, block, place = rest[n * width :], block + n, place + len(order)
+            flat, _ = with_end(*enc.encode_column(batch.column(1)), end)
+            rest += flat.astype(dtype).tobytes()
+            n = len(rest) // width
+            yield rows([rest[i * width : (i + 1) * width] for i in range(n)], batch.column(0))
+            rest, block, place = rest[n * width :], block + n, place + batch.num_rows
         if rest:
-            yield rows([(block, rest)], [])
+            yield rows([rest], pa.nulls(0, pa.int64()))
 
     small_batches(docs.sparkSession)
     both = written(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "file int, block long, ids binary, doc_no long, doc_id long"), "flat", compression="zstd")
@@ -75,12 +94,13 @@ def _scanned(blocks: DataFrame, end: int, dtype: str) -> DataFrame:
             for f, b, raw in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 ids = np.frombuffer(raw, dtype)
                 ends = np.flatnonzero(ids == end)
-                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([b], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([ends], pa.list_(pa.int64()))], names=["file", "block", "n", "ends"])
+                yield pa.RecordBatch.from_arrays([pa.array([f], batch.schema.field(0).type), pa.array([b], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([ends], pa.list_(pa.int64()))], names=["file", "block", "n", "ends"])
 
-    return blocks.select("file", "block", "ids").mapInArrow(run, "file int, block long, n long, ends array<long>")
+    kind = blocks.schema["file"].dataType.simpleString()
+    return blocks.select("file", "block", "ids").mapInArrow(run, f"file {kind}, block long, n long, ends array<long>")
 
 
-def token_counts(blocks: DataFrame, end: int = END, dtype: str = "<u2", group: int = GROUP) -> DataFrame:
+def token_counts(blocks: DataFrame, end: int, dtype: str = "<u2", group: int = GROUP) -> DataFrame:
     """(file, doc_no, start, n_tokens, ended) of every document in flat files given as blocks; n_tokens has the end id."""
     seen = written(_scanned(blocks, end, dtype), "ends")
     heads = seen.select("file", "block", F.expr(f"block div {group}").alias("g"), "n", F.size("ends").cast("long").alias("k"), F.try_element_at("ends", F.lit(-1)).alias("last"))
@@ -109,5 +129,6 @@ def token_counts(blocks: DataFrame, end: int = END, dtype: str = "<u2", group: i
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    blocks, order = flat_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return order.join(token_counts(blocks), ["file", "doc_no"]).select("doc_id", "file", "doc_no", "start", "n_tokens")
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    blocks, order = flat_files(table(spark, sf_dir, "documents"), file)
+    return order.join(token_counts(blocks, *end_of(file)), ["file", "doc_no"]).select("doc_id", "file", "doc_no", "start", "n_tokens")

@@ -162,9 +162,9 @@ def test_separator_scan(spark, size, group):
 
 def test_token_counts_of_odd_rows(spark, odd, none):
     blocks, order = T.flat_files(odd, BYTE, block_ids=16)
-    got = sorted((r.doc_id, r.n_tokens) for r in order.join(T.token_counts(blocks), ["file", "doc_no"]).collect())
+    got = sorted((r.doc_id, r.n_tokens) for r in order.join(T.token_counts(blocks, *T.end_of(BYTE)), ["file", "doc_no"]).collect())
     assert got == sorted((d.doc_id, len(plain_ids(BYTE, d.text)) + 1) for d in odd.collect())
-    assert T.token_counts(T.flat_files(none, BYTE)[0]).count() == 0
+    assert T.token_counts(T.flat_files(none, BYTE)[0], *T.end_of(BYTE)).count() == 0
 
 
 def test_topk_in_small_buckets(spark):
