@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Weights of luminance, weights of colour conversion, and the base of the non-linear scale beyond 1.
 LUMINANCE = (0.2126, 0.7152, 0.0722)
-#: Base of the non-linear scale beyond 1.
+RED_CR, GREEN_CB, GREEN_CR, BLUE_CB = 1.5747, -0.1873, -0.4682, 1.8556
 _NEPER = 2.7182818**2.2
 
 
@@ -48,7 +49,7 @@ def to_linear(v: Column) -> Column:
 
 def csc709(y: Column, cb: Column, cr: Column) -> tuple[Column, Column, Column]:
     """Red, green and blue of one luma and two chroma values."""
-    return y + 1.5747 * cr, y - 0.1873 * cb - 0.4682 * cr, y + 1.8556 * cb
+    return y + RED_CR * cr, y + GREEN_CB * cb + GREEN_CR * cr, y + BLUE_CB * cb
 
 
 def half_value(bits: Column) -> Column:
@@ -61,6 +62,28 @@ def half_value(bits: Column) -> Column:
     return sign * F.when(exponent == 0, small).when(exponent == 31, special).otherwise(normal)
 
 
+def half_bits(v: Column, compat: bool = False, nan: int = 0x7E00) -> Column:
+    """The 16 bits of IEEE binary16 nearest to a number; ties go to the even one.
+
+    compat: ties go up, and a mantissa that is rounded up to the next power of
+    two is laid over the exponent's bits instead of being added to them, so it
+    is lost where the exponent is odd.
+    """
+    v = v.cast("float").cast("double")
+    a = F.abs(v)
+    sign = F.when((v < 0) | (v.cast("string") == "-0.0"), 0x8000).otherwise(0)
+    guess = F.greatest(F.floor(F.log2(F.greatest(a, F.lit(2.0**-30)))), F.lit(-14)).cast("int")
+    two = lambda n: F.pow(F.lit(2.0), n)
+    e = F.when(a >= two(guess + 1), guess + 1).when((guess > -14) & (a < two(guess)), guess - 1).otherwise(guess)
+    q = a * two(10 - e)
+    if compat:
+        r = F.floor(q + 0.5).cast("int")
+        whole = F.when(a < 2.0**-14, r).otherwise(F.shiftleft(e + 15, 10).bitwiseOR(r - 1024))
+    else:
+        whole = (e + 14) * 1024 + F.rint(q).cast("int")
+    return F.when(F.isnan(v), F.lit(nan)).when(a >= 65536, sign + 0x7C00).otherwise(sign + F.least(whole, F.lit(0x7C00)))
+
+
 def uint_value(u: Column) -> Column:
     """An unsigned 32-bit sample as a float32 share of the largest."""
     return (u * F.lit(1.0 / 4294967295.0)).cast("float")
@@ -116,6 +139,32 @@ def snapped(v: Column, lo: float, step: float, digits: int) -> Column:
     return F.round(lo + F.floor((v - lo) / step + 0.5) * step, digits)
 
 
+def step_digits(step: float) -> int:
+    """Decimal places of a step."""
+    mantissa, _, exponent = repr(float(step)).lower().partition("e-")
+    places = len(mantissa.partition(".")[2].rstrip("0"))
+    return places + (int(exponent) if exponent else 0)
+
+
+def percent_of(v: Column, lo: float, hi: float) -> Column:
+    """Where a value stands between lo and hi, in percent; the ends hold what lies beyond."""
+    if hi <= lo:
+        return F.lit(0.0)
+    return (F.least(F.greatest(v, F.lit(lo)), F.lit(hi)) - lo) / (hi - lo) * 100
+
+
+def pointed(at: Column, left: Column, width: Column, lo: float, hi: float, step: float) -> Column:
+    """The value under a place on a slider, on its grid of steps."""
+    if hi <= lo:
+        return F.lit(lo)
+    share = F.least(F.greatest((at - left) / F.greatest(width, F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
+    return snapped(lo + share * (hi - lo), lo, step, step_digits(step))
+
+
+def status_of(level: Column) -> Column:
+    return F.when(level == "error", "error").when(level == "warn", "warn").otherwise("ok")
+
+
 def padded(n: Column, width: Column) -> Column:
     """A number with leading zeros; never cut."""
     s = n.cast("string")

@@ -104,8 +104,13 @@ def guessed(channels: DataFrame, *keys: str, name: str = "name", ordinal: str =
     return g.select(*keys, *pick, F.coalesce("a", F.lit("")).alias("a"))
 
 
-def layer_mapped(channels: DataFrame, *keys: str, name: str = "name", ordinal: str = "ordinal") -> DataFrame:
-    """For each layer, its channels to show; a layer without any known name shows its first channel as grey."""
+def layer_mapped(channels: DataFrame, *keys: str, name: str = "name", ordinal: str = "ordinal", layer_: str | None = None) -> DataFrame:
+    """For each layer (or one of them), its channels to show.
+
+    Without any known name a layer shows as grey the first channel of the image
+    whose name starts with the layer's prefix, be it in a layer below; the root
+    has no prefix, so it shows the first channel of all.
+    """
     n, o = F.col(name), F.col(ordinal)
     tagged = channels.withColumn("layer", layer(n)).withColumn("_s", F.substring_index(n, ".", -1))
 
@@ -115,6 +120,48 @@ def layer_mapped(channels: DataFrame, *keys: str, name: str = "name", ordinal: s
             out = F.when(F.col("_s") == w, i).otherwise(out)
         return out
 
-    g = tagged.groupBy(*keys, "layer").agg(*(_best(n, o, rank(w)).alias(k) for k, w in LAYER_GUESSES.items()), F.min(F.struct(o, n))[name].alias("first"))
+    g = tagged.groupBy(*keys, "layer").agg(*(_best(n, o, rank(w)).alias(k) for k, w in LAYER_GUESSES.items()))
+    if layer_ is not None:
+        g = g.filter(F.col("layer") == layer_)
+    names = channels.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(o.alias("o"), n.alias("n")))).alias("_all"))  # the channels of one image
+    g = g.join(names, list(keys)) if keys else g.crossJoin(names)
+    prefix = F.when(F.col("layer") == "(root)", F.lit("")).otherwise(F.concat("layer", F.lit(".")))
+    first = F.get(F.filter("_all", lambda c: F.startswith(c["n"], prefix)), F.lit(0))["n"]
     none = F.coalesce("r", "g", "b").isNull()
-    return g.select(*keys, "layer", *(F.when(none, F.col("first")).otherwise(F.coalesce(k, F.lit(""))).alias(k) for k in "rgb"), F.coalesce("a", F.lit("")).alias("a"))
+    return g.select(*keys, "layer", *(F.when(none, first).otherwise(F.coalesce(k, F.lit(""))).alias(k) for k in "rgb"), F.coalesce("a", F.lit("")).alias("a"))
+
+
+def grey(channel: Column) -> list[Column]:
+    """One channel shown as red, green and blue, without alpha."""
+    return [channel.alias("r"), channel.alias("g"), channel.alias("b"), F.lit("").alias("a")]
+
+
+def shown(mapping: DataFrame, *keys: str, view: str = "rgb") -> DataFrame:
+    """What a view shows of a mapping (r, g, b, a): the colours, or alpha as grey; always opaque."""
+    if view == "alpha":
+        return mapping.select(*keys, *grey(F.col("a")))
+    return mapping.select(*keys, "r", "g", "b", F.lit("").alias("a"))
+
+
+def ranked_sources(sources_: DataFrame) -> DataFrame:
+    """sources with their place in the list: most frames first, then by natural order of the label."""
+    w = Window.orderBy(F.desc("frames"), natural_key(F.col("label")), "label", "sequence_key")
+    return sources_.withColumn("place", F.row_number().over(w) - 1)  # one row a sequence
+
+
+def default_source(sources_: DataFrame) -> DataFrame:
+    """The source that is opened: the first of ranked_sources."""
+    return sources_.orderBy(F.desc("frames"), natural_key(F.col("label")), "label", "sequence_key").limit(1)
+
+
+def frame_label(current: Column, place: Column, last: Column, n: Column) -> Column:
+    """'current / last', padded to the length of last; frames without a number count from 1."""
+    total = F.coalesce(last, n).cast("string")
+    now = F.coalesce(current, place + 1)
+    return F.concat(padded(now, F.greatest(F.length(total), F.lit(1))), F.lit(" / "), total)
+
+
+def part_label(kind: Column) -> Column:
+    """A part's type without its first 'image'."""
+    at = F.instr(kind, "image")
+    return F.when(at > 0, F.concat(F.substring(kind, F.lit(1), at - 1), F.substring(kind, at + 5, F.length(kind)))).otherwise(kind)

@@ -82,13 +82,19 @@ def unzigzagged(values: Column) -> Column:
     return F.transform(order, lambda i: F.get(values, i))
 
 
-def idct(px: DataFrame, *keys: str) -> DataFrame:
-    """Inverse cosine transform of 8 x 8 blocks given as pixels (keys, x, y, v), by two joins with the basis."""
-    spark = px.sparkSession
-    basis = F.broadcast(spark.createDataFrame([(u, i, (math.sqrt(1 / 8) if u == 0 else 0.5) * math.cos((2 * i + 1) * u * math.pi / 16)) for u in range(8) for i in range(8)], "u int, i int, m double"))  # 64 rows
-    rows = px.join(basis, px["x"] == basis["u"]).groupBy(*keys, "y", "i").agg(F.sum(F.col("v") * F.col("m")).alias("h"))
-    rows = rows.select(*keys, F.col("y").alias("v_y"), F.col("i").alias("x"), "h")
-    return rows.join(basis, rows["v_y"] == basis["u"]).groupBy(*keys, "x", "i").agg(F.sum(F.col("h") * F.col("m")).alias("v")).select(*keys, "x", F.col("i").alias("y"), "v")
+def idct(block: Column) -> Column:
+    """Inverse cosine transform of an 8 x 8 block given as a row-major array: rows first, then columns.  A block stays in its row, so nothing is shuffled."""
+    basis = F.array(*(F.lit((math.sqrt(1 / 8) if u == 0 else 0.5) * math.cos((2 * i + 1) * u * math.pi / 16)) for u in range(8) for i in range(8)))
+    eight, all_ = F.sequence(F.lit(0), F.lit(7)), F.sequence(F.lit(0), F.lit(63))
+
+    def half(values: Column, at) -> Column:
+        """Sums over u of what stands at at(place, u) times the basis."""
+        return F.transform(all_, lambda p: F.aggregate(eight, F.lit(0.0), lambda acc, u: acc + F.get(values, at(p, u)[0]).cast("double") * F.get(basis, at(p, u)[1])))
+
+    row, col = lambda p: F.floor(p / 8).cast("int"), lambda p: F.pmod(p, F.lit(8))
+    rows = half(block, lambda p, u: (row(p) * 8 + u, u * 8 + col(p)))
+    # the rows are a variable of one lambda, so that they are made once a block
+    return F.get(F.transform(F.array(rows), lambda r: half(r, lambda p, u: (u * 8 + col(p), u * 8 + row(p)))), F.lit(0))
 
 
 #: Rules of the lossy transform codec for files that carry none (suffix, scheme, colour index; -1: none).

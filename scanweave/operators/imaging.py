@@ -63,3 +63,69 @@ def zoomed(scale: Column, pan: Column, at: Column, inwards: Column) -> tuple[Col
     """A zoom step about a point that stays where it is: (scale, pan); the scale stays within 0.005 and 50."""
     new = F.least(F.greatest(F.when(inwards, scale * 1.1).otherwise(scale / 1.1), F.lit(0.005)), F.lit(50.0))
     return new, at - (at - pan) * (new / scale)
+
+
+def rendered_histogram(px: DataFrame, mode: str, exposure: float, gamma: float, *keys: str, bins: int = 64) -> DataFrame:
+    """Counts by bin of luminance of pixels (keys, r, g, b): 'display' after exposure and gamma, 'linear' of the values as they are."""
+    if mode not in ("display", "linear"):
+        raise ValueError(f"no such mode: {mode}")
+    r, g, b = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in "rgb")
+    if mode == "display":
+        r, g, b = (P.displayed(c, exposure, gamma) for c in (r, g, b))
+    return histogram(px.withColumn("_lum", P.luminance(r, g, b)), "_lum", *keys, bins=bins)
+
+
+def shaded(v: Column, exposure: float, gamma: float) -> Column:
+    """A channel as the shader gives it: exposed, not below 0, to the power 1 / gamma, within 0 and 1."""
+    return F.least(F.greatest(P.displayed(F.coalesce(v, F.lit(0.0)), exposure, gamma), F.lit(0.0)), F.lit(1.0))
+
+
+def flipped(y: Column, height: Column) -> Column:
+    """Rows counted from the bottom."""
+    return height - 1 - y
+
+
+def renderer_preference(query: Column) -> Column:
+    """The value of ?renderer= in a query string, in lower case; auto where there is none or an unknown one."""
+    text = F.when(F.startswith(query, F.lit("?")), query).otherwise(F.concat(F.lit("?"), query))
+    asked = F.lower(F.try_parse_url(F.concat(F.lit("http://x/"), text), F.lit("QUERY"), F.lit("renderer")))
+    return F.when(asked.isin("webgl2", "cpu", "auto"), asked).otherwise(F.lit("auto"))
+
+
+RECT = "struct<x:int,y:int,width:int,height:int>"
+
+
+def _rect(x: Column, y: Column, width: Column, height: Column) -> Column:
+    return F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), width.cast("int").alias("width"), height.cast("int").alias("height"))
+
+
+def _size(w: Column) -> tuple[Column, Column]:
+    return G.extent(w["x_min"], w["x_max"]), G.extent(w["y_min"], w["y_max"])
+
+
+def data_rect(data: Column, display: Column) -> Column:
+    """The data window in the display window's space; the data window stands in for a display window that isn't there."""
+    ref = F.coalesce(display, data)
+    return F.when(data.isNotNull(), _rect(data["x_min"] - ref["x_min"], data["y_min"] - ref["y_min"], *_size(data)))
+
+
+def guarded_rect(rect: Column, width: Column, height: Column) -> Column:
+    """The rectangle, if decoded pixels have its size; else null."""
+    return F.when((rect["width"] == width) & (rect["height"] == height), rect)
+
+
+def display_rect(data: Column, display: Column) -> Column:
+    """The display window (or else the data window) from the origin."""
+    return F.when(data.isNotNull(), _rect(F.lit(0), F.lit(0), *_size(F.coalesce(display, data))))
+
+
+def same_rect(a: Column, b: Column) -> Column:
+    """Are both there and equal?"""
+    return F.coalesce(a == b, F.lit(False))
+
+
+def pixel_at(mx: Column, my: Column, pan_x: Column, pan_y: Column, scale: Column, rect: Column) -> Column:
+    """The pixel of the data window under a place on the screen; null outside of it."""
+    x = F.floor((mx - pan_x) / scale - rect["x"]).cast("int")
+    y = F.floor((my - pan_y) / scale - rect["y"]).cast("int")
+    return F.when((x >= 0) & (x < rect["width"]) & (y >= 0) & (y < rect["height"]), F.struct(x.alias("x"), y.alias("y")))

@@ -36,13 +36,24 @@ def uncached(plan: DataFrame, cached: DataFrame) -> DataFrame:
     return plan.join(cached.select("source", "frame"), ["source", "frame"], "left_anti").select("source", "priority", "frame")
 
 
+def limit_bytes(mb: int) -> int:
+    """A cache's limit, which stays within 64 and 65536 MB, in bytes."""
+    return max(64, min(65536, mb)) * 1024 * 1024
+
+
+def placed(entries: DataFrame, frames: DataFrame) -> DataFrame:
+    """entries with the frame's place in its sequence, from frames (source, frame_id, frame); null for those that are in none."""
+    return entries.join(frames.select("source", "frame_id", "frame"), ["source", "frame_id"], "left")
+
+
 def evicted(entries: DataFrame, limit: int, policy: str = "oldest", playhead: str | None = None, distance: int = 64) -> DataFrame:
-    """What leaves a cache that holds more than limit bytes: entries (source, tier, key, age, bytes[, frame]) with rank.
+    """What leaves a cache that holds more than limit bytes, with rank; a row an entry and buffer: (source, tier, key, age, buffer_id, bytes[, frame]).
 
     With policy 'distance' decoded frames farther than `distance` from the
     playhead go first, farthest first; then the oldest buffers, then the oldest
-    frames, then the oldest parts, until the rest fits.  Entries do not share
-    buffers here, so every one frees its bytes.
+    frames, then the oldest parts, until the rest fits.  The order does not
+    depend on what is freed.  A buffer that several entries hold counts once,
+    and is freed with the last of them.
     """
     far = F.lit(None).cast("long")
     if policy == "distance":
@@ -50,10 +61,30 @@ def evicted(entries: DataFrame, limit: int, policy: str = "oldest", playhead: st
         far = F.when((F.col("tier") == "frame") & (d > distance), d)
     tier = F.when(far.isNotNull(), 0).when(F.col("tier") == "buffer", 1).when(F.col("tier") == "frame", 2).otherwise(3)
     w = Window.partitionBy("source").orderBy(tier, far.desc_nulls_last(), "age", "key")
-    total = F.sum("bytes").over(Window.partitionBy("source"))
-    freed = F.coalesce(F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = entries.withColumn("_over", total - freed > limit).withColumn("rank", F.row_number().over(w))
-    return ranked.filter("_over").drop("_over")
+    ranked = entries.withColumn("rank", F.dense_rank().over(w))
+    holders = Window.partitionBy("source", "buffer_id").orderBy(F.desc("rank"), F.desc("bytes"))
+    ranked = ranked.withColumn("_own", F.when(F.row_number().over(holders) == 1, F.col("bytes")).otherwise(0))
+    total = F.sum("_own").over(Window.partitionBy("source"))
+    freed = F.coalesce(F.sum("_own").over(Window.partitionBy("source").orderBy("rank").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranked.withColumn("_over", total - freed > limit).filter("_over").drop("_over", "_own")
+
+
+def within(entries: DataFrame, most: int, by: list[str], age: str) -> DataFrame:
+    """The `most` youngest entries of each group: of more, the oldest go."""
+    w = Window.partitionBy(*by).orderBy(F.desc(age))
+    return entries.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= most).drop("_place")
+
+
+def history(visits: DataFrame, most: int = 64) -> DataFrame:
+    """The last visits (source, frame, visit) of each source, at most so many; a frame that is visited again at once counts once."""
+    before = F.lag("frame").over(Window.partitionBy("source").orderBy("visit"))
+    moved = visits.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("_before") != F.col("frame"))).drop("_before")
+    return within(moved, most, ["source"], "visit")
+
+
+def stepped(place: Column, direction: int, n: Column) -> Column:
+    """The place one step on or back, around the ends; no place counts as the first."""
+    return F.pmod(F.coalesce(place, F.lit(0)) + direction, n)
 
 
 def cache_stats(entries: DataFrame) -> DataFrame:

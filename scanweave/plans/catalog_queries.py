@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanweave.functions import pixels as P
 from scanweave.operators import catalog as K
 from scanweave.operators import planning as L
-from scanweave.plans.registry import query, table
+from scanweave.plans.registry import SQL, query, table
 
 _FILES = "files AS (SELECT 'Shots/' || c_mktsegment || '/' || replace(c_name, '#', '.') || CASE WHEN c_custkey % 10 = 0 THEN '.EXR' ELSE '.exr' END AS path FROM customer WHERE c_custkey % 7 != 0 UNION ALL SELECT 'Shots/' || n_name || '.exr' FROM nation)"
 _DESCRIBED = f"""{_FILES}, parts AS (SELECT path, regexp_extract(path, '^(.*/)', 1) AS dir, regexp_extract(path, '([^/]*)$', 1) AS name FROM files),
@@ -44,12 +44,12 @@ def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.ordered_frames(K.described(files(spark, sf_dir))).select("path", "sequence_key", "place")
 
 
-_CHANNELS = "ch AS (SELECT p_brand AS image, p_partkey AS ordinal, replace(p_type, ' ', '_') || '.' || (['R', 'g', 'B', 'A', 'Z', 'Y', 'red'])[(p_size % 7 + 1)::INT] AS name FROM part WHERE p_partkey % 3 = 0)"
+_CHANNELS = "ch AS (SELECT p_brand AS image, p_partkey AS ordinal, replace(p_type, ' ', '_') || '.' || (['R', 'g', 'B', 'A', 'Z', 'Y', 'red'])[(p_size % 7 + 1)::INT] AS name FROM part)"
 
 
 def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*map(F.lit, ("R", "g", "B", "A", "Z", "Y", "red")))
-    return table(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select(F.col("p_brand").alias("image"), F.col("p_partkey").alias("ordinal"), F.concat(F.replace("p_type", F.lit(" "), F.lit("_")), F.lit("."), F.element_at(names, F.pmod("p_size", F.lit(7)) + 1)).alias("name"))
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("image"), F.col("p_partkey").alias("ordinal"), F.concat(F.replace("p_type", F.lit(" "), F.lit("_")), F.lit("."), F.element_at(names, F.pmod("p_size", F.lit(7)) + 1)).alias("name"))
 
 
 @query(f"WITH {_CHANNELS} SELECT image, regexp_extract(name, '^(.*)\\.[^.]*$', 1) AS layer, string_agg(name, ',' ORDER BY ordinal) AS channels FROM ch GROUP BY ALL")
@@ -162,14 +162,19 @@ def _evict(order: str) -> str:
     row_number() OVER (PARTITION BY source ORDER BY {order})::INT AS rank FROM en) SELECT source, tier, key, rank FROM o WHERE total - freed > 60000"""
 
 
+def _unshared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries with a buffer each."""
+    return entries(spark, sf_dir).withColumn("buffer_id", F.col("key"))
+
+
 @query(_evict("CASE tier WHEN 'buffer' THEN 1 WHEN 'frame' THEN 2 ELSE 3 END, age, key"))
 def cache_evict_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.evicted(entries(spark, sf_dir), 60000).select("source", "tier", "key", "rank")
+    return L.evicted(_unshared(spark, sf_dir), 60000).select("source", "tier", "key", "rank")
 
 
 @query(_evict("CASE WHEN tier = 'frame' AND abs(frame - 150) > 64 THEN 0 WHEN tier = 'buffer' THEN 1 WHEN tier = 'frame' THEN 2 ELSE 3 END, CASE WHEN tier = 'frame' AND abs(frame - 150) > 64 THEN -abs(frame - 150) END NULLS LAST, age, key"))
 def cache_evict_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.evicted(entries(spark, sf_dir), 60000, "distance", "playhead").select("source", "tier", "key", "rank")
+    return L.evicted(_unshared(spark, sf_dir), 60000, "distance", "playhead").select("source", "tier", "key", "rank")
 
 
 @query(
@@ -194,7 +199,143 @@ def cache_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("source", "used", share.alias("share"), over.alias("over"), P.formatted_bytes(F.col("used")).alias("text"))
 
 
-@query("SELECT event_id, printf('%.4f', value) AS plain, floor((value - 0.5) / 0.25 + 0.5) * 0.25 + 0.5 AS snapped FROM events WHERE abs(value) BETWEEN 0.001 AND 99999")
+_FREED = """o AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY source, buffer_id ORDER BY rank DESC, bytes DESC) = 1 THEN bytes ELSE 0 END AS own FROM r),
+    f AS (SELECT *, sum(own) OVER (PARTITION BY source) AS total, coalesce(sum(own) OVER (PARTITION BY source ORDER BY rank RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM o) SELECT source, tier, key, rank::INT AS rank FROM f WHERE total - freed > 64 * 1024 * 1024"""
+
+
+def _large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of megabytes, several of which hold one buffer, and frames by id: some are in no sequence."""
+    e = entries(spark, sf_dir).withColumn("bytes", 4_000_000 + F.col("buffer_id") * 100_000).withColumn("frame_id", F.concat(F.lit("f"), "frame"))
+    frames = e.select("source", "frame_id", "frame").distinct().filter("frame % 10 != 3")
+    return L.placed(e.drop("frame"), frames)
+
+
+_LARGE = f"{_ENTRIES}, la AS (SELECT source, tier, key, age, 4000000 + buffer_id * 100000 AS bytes, CASE WHEN frame % 10 != 3 THEN frame END AS frame, buffer_id FROM en)"
+
+
+@query(f"WITH {_LARGE}, r AS (SELECT *, dense_rank() OVER (PARTITION BY source ORDER BY CASE tier WHEN 'buffer' THEN 1 WHEN 'frame' THEN 2 ELSE 3 END, age, key) AS rank FROM la), {_FREED}")
+def cache_evict_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.evicted(_large(spark, sf_dir), L.limit_bytes(1)).select("source", "tier", "key", "rank")
+
+
+@query(
+    f"WITH {_LARGE}, d AS (SELECT *, CASE WHEN tier = 'frame' AND abs(frame - 150) > 64 THEN abs(frame - 150) END AS far FROM la), r AS (SELECT *, dense_rank() OVER (PARTITION BY source ORDER BY CASE WHEN far IS NOT NULL THEN 0 WHEN tier = 'buffer' THEN 1 WHEN tier = 'frame' THEN 2 ELSE 3 END, -far NULLS LAST, age, key) AS rank FROM d), {_FREED}"
+)
+def cache_evict_shared_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.evicted(_large(spark, sf_dir), L.limit_bytes(64), "distance", "playhead").select("source", "tier", "key", "rank")
+
+
+@query("SELECT event_type AS source, event_id AS key FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS n FROM events) WHERE n <= 500")
+def frame_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.within(table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.col("event_id").alias("key")), 500, ["source"], "key")
+
+
+@query(f"WITH {_PLAYERS}, m AS (SELECT *, lag(frame) OVER (PARTITION BY source ORDER BY visit) AS before FROM vi), k AS (SELECT source, frame, visit, row_number() OVER (PARTITION BY source ORDER BY visit DESC) AS n FROM m WHERE before IS NULL OR before != frame) SELECT source, frame, visit FROM k WHERE n <= 64")
+def recent_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.history(visits(spark, sf_dir))
+
+
+@query(f"WITH {_PLAYERS} SELECT source, (playhead + 1) % n AS forward, CASE WHEN playhead = 0 THEN n - 1 ELSE playhead - 1 END AS back, n - 1 AS from_none FROM pl")
+def manual_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, at = F.col("n"), F.col("playhead")
+    return players(spark, sf_dir).select("source", L.stepped(at, 1, n).alias("forward"), L.stepped(at, -1, n).alias("back"), L.stepped(F.lit(None).cast("long"), -1, n).alias("from_none"))
+
+
+_GROUPED = SQL["sequence_group"].replace("WITH ", "", 1).replace("SELECT key AS sequence_key", ", s AS (SELECT key AS sequence_key") + ")"
+_NATURAL = "regexp_replace(regexp_replace(lower(label), '([0-9]+)', '00000000000000000000\\1', 'g'), '0*([0-9]{20})([^0-9]|$)', '\\1\\2', 'g')"
+
+
+@query(f"WITH {_GROUPED} SELECT sequence_key, frames, label, (row_number() OVER (ORDER BY frames DESC, {_NATURAL}, label, sequence_key) - 1)::INT AS place FROM s")
+def source_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.ranked_sources(K.sources(K.described(files(spark, sf_dir)))).select("sequence_key", "frames", "label", "place")
+
+
+@query(f"WITH {_GROUPED} SELECT sequence_key, frames, label FROM s ORDER BY frames DESC, {_NATURAL}, label, sequence_key LIMIT 1")
+def default_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.default_source(K.sources(K.described(files(spark, sf_dir)))).select("sequence_key", "frames", "label")
+
+
+@query(
+    f"""WITH {_DESCRIBED}, o AS (SELECT path, key, num, row_number() OVER (PARTITION BY key ORDER BY num, path) - 1 AS place, count(*) OVER (PARTITION BY key) AS n FROM k), t AS (SELECT *, coalesce(max(num) OVER (PARTITION BY key), n)::VARCHAR AS total FROM o)
+    SELECT path, CASE WHEN length(coalesce(num, place + 1)::VARCHAR) >= length(total) THEN coalesce(num, place + 1)::VARCHAR ELSE lpad(coalesce(num, place + 1)::VARCHAR, length(total)::INT, '0') END || ' / ' || total AS label FROM t"""
+)
+def frame_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = K.ordered_frames(K.described(files(spark, sf_dir)))
+    w = Window.partitionBy("sequence_key")
+    return f.select("path", K.frame_label(F.col("frame_number"), F.col("place"), F.max("frame_number").over(w), F.count("*").over(w)).alias("label"))
+
+
+# names with layers below layers, and some without any
+_NESTED = "ch AS (SELECT p_brand AS image, p_partkey % 40 AS part, p_partkey AS ordinal, (['', 'diffuse.', 'diffuse.left.', 'depth.', 'depth.far.', 'spec.', 'spec.deep.'])[(p_partkey % 7 + 1)::INT] || (['R', 'g', 'B', 'A', 'N', 'V', 'U', 'z'])[CASE WHEN p_partkey % 7 IN (3, 5) THEN 5 + p_size % 3 ELSE p_size % 8 + 1 END::INT] AS name FROM part)"
+
+
+def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layers = F.array(*map(F.lit, ("", "diffuse.", "diffuse.left.", "depth.", "depth.far.", "spec.", "spec.deep.")))
+    names = F.array(*map(F.lit, ("R", "g", "B", "A", "N", "V", "U", "z")))
+    k = F.pmod("p_partkey", F.lit(7)).cast("int")
+    i = F.when(k.isin(3, 5), 4 + F.pmod("p_size", F.lit(3))).otherwise(F.pmod("p_size", F.lit(8)))
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("image"), F.pmod("p_partkey", F.lit(40)).alias("part"), F.col("p_partkey").alias("ordinal"), F.concat(F.get(layers, k), F.get(names, i)).alias("name"))
+
+
+@query(
+    f"""WITH {_NESTED}, t AS (SELECT *, CASE WHEN contains(name, '.') THEN regexp_extract(name, '^(.*)\\.[^.]*$', 1) ELSE '(root)' END AS layer, split_part(name, '.', -1) AS s FROM ch),
+    g AS (SELECT image, part, layer, {", ".join(_layer_ranked(k, w) for k, w in K.LAYER_GUESSES.items())} FROM t GROUP BY ALL),
+    f AS (SELECT g.image, g.part, g.layer, arg_min(ch.name, ch.ordinal) AS f FROM g JOIN ch ON ch.image = g.image AND ch.part = g.part AND starts_with(ch.name, CASE WHEN layer = '(root)' THEN '' ELSE layer || '.' END) GROUP BY ALL)
+    SELECT image, part, layer, {", ".join(f"CASE WHEN r IS NULL AND g IS NULL AND b IS NULL THEN f ELSE coalesce({k}, '') END AS {k}" for k in "rgb")}, coalesce(a, '') AS a FROM g JOIN f USING (image, part, layer)"""
+)
+def layer_mapping_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.layer_mapped(nested(spark, sf_dir), "image", "part")
+
+
+@query(SQL["layer_mapping_nested"].replace("SELECT image, part, layer, CASE", "SELECT image, part, CASE", 1) + " WHERE layer = 'depth' AND part = 3")
+def select_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part and one of its layers are chosen."""
+    return K.layer_mapped(nested(spark, sf_dir).filter("part = 3"), "image", "part", layer_="depth").drop("layer")
+
+
+_PART_GUESS = f"""{_NESTED}, g AS (SELECT image, {", ".join(_ranked(k, w) for k, w in K.GUESSES.items())}, list(name ORDER BY ordinal) AS al FROM ch WHERE part = 5 GROUP BY image),
+    m AS (SELECT image, {", ".join(f"CASE WHEN r IS NULL AND g IS NULL AND b IS NULL THEN coalesce(al[{i + 1}], al[1]) ELSE coalesce({k}, '') END AS {k}" for i, k in enumerate("rgb"))}, coalesce(a, '') AS a FROM g)"""
+
+
+@query(f"WITH {_PART_GUESS} SELECT image, r, g, b, a FROM m")
+def select_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part is chosen, and its channels are guessed."""
+    return K.guessed(nested(spark, sf_dir).filter("part = 5"), "image")
+
+
+@query(f"WITH {_PART_GUESS} SELECT image, 'rgb' AS view, r, g, b, '' AS a FROM m UNION ALL SELECT image, 'alpha', a, a, a, '' FROM m")
+def view_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = K.guessed(nested(spark, sf_dir).filter("part = 5"), "image")
+    both = [K.shown(m, "image", view=v).select("image", F.lit(v).alias("view"), *"rgba") for v in ("rgb", "alpha")]
+    return both[0].unionByName(both[1])
+
+
+@query(f"WITH {_NESTED} SELECT image, part, ordinal, name AS r, name AS g, name AS b, '' AS a FROM ch")
+def grey_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested(spark, sf_dir).select("image", "part", "ordinal", *K.grey(F.col("name")))
+
+
+@query("SELECT s_suppkey, (['scanline', 'tiled', 'deepscanline', 'x', 'lightimage'])[(s_suppkey % 5 + 1)::INT] AS label FROM supplier")
+def part_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*map(F.lit, ("scanlineimage", "tiledimage", "deepscanline", "imagex", "imagelightimage")))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", K.part_label(F.get(kinds, F.pmod("s_suppkey", F.lit(5)))).alias("label"))
+
+
+_VALUES = "v AS (SELECT event_id, CASE event_id % 17 WHEN 0 THEN 0.0 WHEN 1 THEN 'nan'::DOUBLE WHEN 2 THEN 'inf'::DOUBLE WHEN 3 THEN -'inf'::DOUBLE WHEN 4 THEN NULL ELSE value * 1.4142135623730951 * pow(10.0, event_id % 15 - 7) END AS v, value FROM events)"
+
+
+@query(
+    f"""WITH {_VALUES} SELECT event_id, CASE WHEN v IS NULL OR isnan(v) THEN '0.0000' WHEN v = 'inf'::DOUBLE THEN 'Infinity' WHEN v = -'inf'::DOUBLE THEN '-Infinity'
+    WHEN (abs(v) < 0.0001 AND v != 0) OR abs(v) > 99999 THEN regexp_replace(printf('%.4e', v), 'e([+-])0', 'e\\1') ELSE printf('%.4f', v) END AS plain, floor((value - 0.5) / 0.25 + 0.5) * 0.25 + 0.5 AS snapped FROM v"""
+)
 def inspector_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("abs(value) BETWEEN 0.001 AND 99999")
-    return e.select("event_id", P.inspector_number(F.col("value")).alias("plain"), P.snapped(F.col("value"), 0.5, 0.25, 2).alias("snapped"))
+    e, k = table(spark, sf_dir, "events"), F.pmod("event_id", F.lit(17))
+    number = lambda x: F.lit(float(x))
+    v = F.when(k == 0, number(0)).when(k == 1, number("nan")).when(k == 2, number("inf")).when(k == 3, number("-inf")).when(k != 4, F.col("value") * 1.4142135623730951 * F.pow(F.lit(10.0), F.pmod("event_id", F.lit(15)) - 7))
+    return e.select("event_id", P.inspector_number(v).alias("plain"), P.snapped(F.col("value"), 0.5, 0.25, 2).alias("snapped"))
+
+
+@query("SELECT event_id, (least(greatest(value, -10.0), 10.0) + 10.0) / 20.0 * 100 AS percent, 0.0::DOUBLE AS none, round(floor((0.1 + least(greatest((value - 20.0) / 300.0, 0.0), 1.0) * 3.9 - 0.1) / 0.01 + 0.5) * 0.01 + 0.1, 2) AS pointed FROM events")
+def slider_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    return table(spark, sf_dir, "events").select("event_id", P.percent_of(v, -10.0, 10.0).alias("percent"), P.percent_of(v, 1.0, 1.0).alias("none"), P.pointed(v, F.lit(20.0), F.lit(300.0), 0.1, 4.0, 0.01).alias("pointed"))

@@ -97,21 +97,37 @@ def b44_sign_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT DISTINCT hi AS bits, (CASE WHEN hi >= 32768 THEN -1.0 ELSE 1.0 END) * CASE WHEN (hi >> 10) & 31 = 0 THEN (hi & 1023) * pow(2.0, -24)
-    ELSE (1 + (hi & 1023) / 1024.0) * pow(2.0, ((hi >> 10) & 31) - 15) END AS v FROM {_PAIRS.format(m=65536)} WHERE (hi >> 10) & 31 != 31"""
+    f"""SELECT DISTINCT hi AS bits, CASE WHEN (hi >> 10) & 31 = 31 AND hi & 1023 != 0 THEN NULL ELSE (CASE WHEN hi >= 32768 THEN -1.0 ELSE 1.0 END) * CASE WHEN (hi >> 10) & 31 = 0 THEN (hi & 1023) * pow(2.0, -24)
+    WHEN (hi >> 10) & 31 = 31 THEN 'inf'::DOUBLE ELSE (1 + (hi & 1023) / 1024.0) * pow(2.0, ((hi >> 10) & 31) - 15) END END AS v, (hi >> 10) & 31 = 31 AND hi & 1023 != 0 AS not_a_number FROM {_PAIRS.format(m=65536)}"""
 )
 def half_bits_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = _pairs(spark, sf_dir, 65536).select(F.col("hi").alias("bits")).distinct().filter(F.shiftright("bits", 10).bitwiseAND(F.lit(31)) != 31)
-    return some.select("bits", P.half_value(F.col("bits")).alias("v"))
+    some = _pairs(spark, sf_dir, 65536).select(F.col("hi").alias("bits")).distinct().withColumn("v", P.half_value(F.col("bits")))
+    return some.select("bits", F.when(~F.isnan("v"), F.col("v")).alias("v"), F.isnan("v").alias("not_a_number"))
+
+
+_FLOATS = f"(SELECT DISTINCT (lo - 32768) * pow(2.0, -(hi % 40)) AS v FROM {_PAIRS.format(m=65536)})"
+_BITS = "CASE WHEN a >= 65536 THEN 31744 WHEN a < pow(2.0, -14) THEN {sub} ELSE {norm} END + CASE WHEN v < 0 THEN 32768 ELSE 0 END"
+
+
+@query(
+    f"""WITH f AS (SELECT v, abs(v) AS a FROM {_FLOATS}), e AS (SELECT *, greatest(floor(log2(greatest(a, pow(2.0, -30)))), -14)::INT AS e FROM f), q AS (SELECT *, a * pow(2.0, 10 - e) AS q FROM e)
+    SELECT v, ({_BITS.format(sub="round_even(q, 0)::INT", norm="least((e + 14) * 1024 + round_even(q, 0)::INT, 31744)")})::INT AS ieee, ({_BITS.format(sub="floor(q + 0.5)::INT", norm="least(((e + 15) << 10) | (floor(q + 0.5)::INT - 1024), 31744)")})::INT AS compat FROM q"""
+)
+def half_bits_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _pairs(spark, sf_dir, 65536).select(((F.col("lo") - 32768) * F.pow(F.lit(2.0), -F.pmod("hi", F.lit(40)))).alias("v")).distinct()
+    return v.select("v", P.half_bits(F.col("v")).alias("ieee"), P.half_bits(F.col("v"), compat=True).alias("compat"))
 
 
 @query("SELECT s_suppkey // 4 AS file, s_suppkey AS part, chunks, (sum(chunks) OVER (PARTITION BY s_suppkey // 4 ORDER BY s_suppkey ROWS UNBOUNDED PRECEDING) - chunks)::BIGINT * 8 + 400 AS table_at FROM (SELECT s_suppkey, CAST(ceil((1 + s_nationkey * 7) / 16.0) AS INT) AS chunks FROM supplier)")
 def offset_table_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scanweave.functions.geometry import chunk_count
-    from scanweave.sources.exr import table_offsets
+    from scanweave.sources.exr import table_at
 
-    parts = table(spark, sf_dir, "supplier").select(F.expr("s_suppkey div 4").alias("file"), F.col("s_suppkey").alias("part"), chunk_count(1 + F.col("s_nationkey") * 7, F.lit(16)).alias("chunks"))
-    return table_offsets(parts, "file", "part", "chunks", F.lit(400))
+    chunks = chunk_count(1 + F.col("s_nationkey") * 7, F.lit(16)).cast("long")
+    files = table(spark, sf_dir, "supplier").groupBy(F.expr("s_suppkey div 4").alias("file")).agg(F.sort_array(F.collect_list(F.struct(F.col("s_suppkey").alias("part"), chunks.alias("chunks")))).alias("parts"))
+    each = files.select("file", "parts", F.posexplode("parts").alias("place", "p"))
+    before = F.transform(F.slice("parts", F.lit(1), F.col("place")), lambda q: q["chunks"])
+    return each.select("file", "p.part", F.col("p.chunks").cast("int").alias("chunks"), table_at(F.lit(400), before).alias("table_at"))
 
 
 @query(

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import struct
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanweave.functions.pixels import half_value
 from scanweave.plans.pixel_queries import PX
-from scanweave.plans.registry import QUERIES, query, table
+from scanweave.plans.registry import QUERIES, SQL, query, table
 from scanweave.sources import exr
 from scanweave.sources.blocks import FLOAT, HALF, UINT
-from scanweave.sources.writer import single_channel_files
+from scanweave.sources.writer import _attribute, encoded, image_files, multipart_files, single_channel_files
 
 
 def embedding_files(spark: SparkSession, sf_dir: str, compression: int) -> DataFrame:
@@ -32,11 +38,11 @@ _INTS = "list_transform(range(64), lambda i: (p_partkey * 31 + i * {m}) % {k})"
 
 def _integers(spark: SparkSession, sf_dir: str, step: int, modulus: int) -> DataFrame:
     values = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.pmod(F.col("p_partkey") * 31 + i * step, F.lit(modulus)))
-    return table(spark, sf_dir, "part").filter("p_partkey % 5 = 0").select("p_partkey", values.alias("v"))
+    return table(spark, sf_dir, "part").select("p_partkey", values.alias("v"))
 
 
 def _part_sql(value: str, step: int, modulus: int) -> str:
-    return f"SELECT 'image/' || p_partkey || '.exr' AS path, (i % 8)::INT AS x, (i // 8)::INT AS y, {value.format(v=f'((p_partkey * 31 + i * {step}) % {modulus})')} AS v FROM part, range(64) AS r(i) WHERE p_partkey % 5 = 0"
+    return f"SELECT 'image/' || p_partkey || '.exr' AS path, (i % 8)::INT AS x, (i // 8)::INT AS y, {value.format(v=f'((p_partkey * 31 + i * {step}) % {modulus})')} AS v FROM part, range(64) AS r(i)"
 
 
 @query(_part_sql("{v}::DOUBLE", 7, 2048))
@@ -77,6 +83,153 @@ def exr_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exr.chunks(exr.structure(embedding_files(spark, sf_dir, 0))).select("path", "part_id", "chunk_index", "chunk_y", "data_size", "lines", "expected_size", "is_raw")
 
 
+# Images of 19 x 33 pixels for each supplier, made to be compressed: ramps, runs and steps in three types.
+WIDTH, HEIGHT = 19, 33
+_K = "s_suppkey"
+_H = "(x + 3 * y + {k}) // 5 % 2048"
+_F = "(x // 4) * 0.25 + y + {k} % 100"
+_U = "(x // 8 + y + {k}) % 4000 * 65537"
+
+
+def _coded_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.sequence(F.lit(0), F.lit(WIDTH * HEIGHT - 1))
+    x, y, k = lambda i: F.pmod(i, F.lit(WIDTH)), lambda i: F.floor(i / WIDTH), F.col(_K)
+    plane = lambda f: F.transform(i, lambda p: f(x(p), y(p)).cast("double"))
+    h = plane(lambda x, y: F.pmod(F.floor((x + 3 * y + k) / 5), F.lit(2048)))
+    f = plane(lambda x, y: F.floor(x / 4) * 0.25 + y + F.pmod(k, F.lit(100)))
+    u = plane(lambda x, y: F.pmod(F.floor(x / 8) + y + k, F.lit(4000)) * 65537)
+    return table(spark, sf_dir, "supplier").select(_K, h.alias("h"), f.alias("f"), u.alias("u"))
+
+
+_CHANNELS = [("F", FLOAT, "f"), ("H", HALF, "h"), ("U", UINT, "u")]
+
+
+def _coded_files(spark: SparkSession, sf_dir: str, compression: int) -> DataFrame:
+    return image_files(_coded_images(spark, sf_dir), _K, _CHANNELS, WIDTH, compression)
+
+
+_GRID = f"px AS (SELECT s_suppkey, (i % {WIDTH})::INT AS x, (i // {WIDTH})::INT AS y FROM supplier, range({WIDTH * HEIGHT}) AS r(i))"
+_CODED = f"""WITH {_GRID} SELECT 'image/' || s_suppkey || '.exr' AS path, c.channel, x, y, (CASE c.channel WHEN 'F' THEN ({_F.format(k=_K)})::DOUBLE WHEN 'H' THEN ({_H.format(k=_K)})::DOUBLE
+    ELSE (({_U.format(k=_K)}) * (1 / 4294967295::DOUBLE))::FLOAT::DOUBLE END) AS v FROM px, (VALUES ('F'), ('H'), ('U')) AS c(channel)"""
+
+
+def _all_channels(files: DataFrame) -> DataFrame:
+    px = exr.sampled_pixels(exr.scanlines(exr.chunks(exr.structure(files))))
+    return px.select("path", "channel", F.col("sx").alias("x"), F.col("sampled_row").alias("y"), F.col("value").cast("double").alias("v"))
+
+
+#: Schemes that lose nothing of these values (PXR24 keeps their upper 24 bits, which is all of them).
+_WHOLE = (("rle", 1), ("zips", 2), ("zip", 3), ("piz", 4), ("pxr24", 5))
+for _name, _number in _WHOLE:
+    query(_CODED, f"exr_coded_{_name}")(lambda spark, sf_dir, n=_number: _all_channels(_coded_files(spark, sf_dir, n)))
+
+
+def _lossy_files(spark: SparkSession, sf_dir: str, compression: int) -> DataFrame:
+    """For the schemes of 4 x 4 and 8 x 8 blocks: halves whose neighbours are less than 32 steps apart, and flat ones."""
+    i = F.sequence(F.lit(0), F.lit(WIDTH * HEIGHT - 1))
+    x, y, k = lambda i: F.pmod(i, F.lit(WIDTH)), lambda i: F.floor(i / WIDTH), F.col(_K)
+    step = F.transform(i, lambda p: (1 + (F.pmod(x(p), F.lit(4)) * 2 + F.pmod(y(p), F.lit(4)) * 5 + F.pmod(k, F.lit(7))) / 1024).cast("double"))
+    flat = F.transform(i, lambda p: F.pmod(k, F.lit(50)).cast("double"))
+    return image_files(table(spark, sf_dir, "supplier").select(_K, step.alias("h"), flat.alias("g")), _K, [("G", HALF, "g"), ("H", HALF, "h")], WIDTH, compression)
+
+
+_BLOCKS = f"WITH {_GRID} SELECT 'image/' || s_suppkey || '.exr' AS path, c.channel, x, y, (CASE c.channel WHEN 'G' THEN s_suppkey % 50 ELSE 1 + (x % 4 * 2 + y % 4 * 5 + s_suppkey % 7) / 1024.0 END)::DOUBLE AS v FROM px, (VALUES ('G'), ('H')) AS c(channel)"
+for _name, _number in (("b44", 6), ("b44a", 7)):
+    query(_BLOCKS, f"exr_coded_{_name}")(lambda spark, sf_dir, n=_number: _all_channels(_lossy_files(spark, sf_dir, n)))
+
+
+# the 16-bit wavelet: 20480 values in one chunk, as half bits 0, 1, 2 ... from left to right and down
+_RAMP = "CASE WHEN i < 1024 THEN i * pow(2.0, -24) ELSE (1 + i % 1024 / 1024.0) * pow(2.0, i // 1024 - 15) END"
+
+
+@query(f"SELECT 'image/' || r_regionkey || '.exr' AS path, 'H' AS channel, (i % 640)::INT AS x, (i // 640)::INT AS y, ({_RAMP})::DOUBLE AS v FROM region, range(20480) AS r(i)")
+def exr_coded_piz_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ramp = F.transform(F.sequence(F.lit(0), F.lit(20479)), lambda i: half_value(i))
+    return _all_channels(image_files(table(spark, sf_dir, "region").select("r_regionkey", ramp.alias("h")), "r_regionkey", [("H", HALF, "h")], 640, 4))
+
+
+# the transform scheme loses up to a thousandth of these values; alpha loses nothing
+def _colour_files(spark: SparkSession, sf_dir: str, compression: int, version: int, mode: int) -> DataFrame:
+    i = F.sequence(F.lit(0), F.lit(WIDTH * HEIGHT - 1))
+    x, y, k = lambda i: F.pmod(i, F.lit(WIDTH)), lambda i: F.floor(i / WIDTH), F.pmod(F.col(_K), F.lit(20)) / 20
+    plane = lambda f: F.transform(i, lambda p: f(x(p), y(p)).cast("double"))
+    own = {"r": plane(lambda x, y: k + 0.25 + x / 64), "g": plane(lambda x, y: k + 0.5 + y / 64), "b": plane(lambda x, y: k + 0.125 + (x + y) / 128), "a": plane(lambda x, y: F.pmod(F.floor(x / 4) + y, F.lit(2))), "y": plane(lambda x, y: k + 1 + x / 32)}
+    images = table(spark, sf_dir, "supplier").select(_K, *(v.alias(n) for n, v in own.items()))
+    return image_files(images, _K, [("A", FLOAT, "a"), ("B", HALF, "b"), ("G", FLOAT, "g"), ("R", HALF, "r"), ("depth.Y", HALF, "y")], WIDTH, compression, version=version, mode=mode)
+
+
+_TRUE = "CASE c.channel WHEN 'R' THEN k + 0.25 + x / 64.0 WHEN 'G' THEN k + 0.5 + y / 64.0 WHEN 'B' THEN k + 0.125 + (x + y) / 128.0 WHEN 'A' THEN (x // 4 + y) % 2 ELSE k + 1 + x / 32.0 END"
+_COLOURS = f"WITH {_GRID} SELECT 'image/' || s_suppkey || '.exr' AS path, c.channel, x, y, TRUE AS close, CASE c.channel WHEN 'A' THEN ((x // 4 + y) % 2)::DOUBLE END AS alpha FROM px, (VALUES ('A'), ('B'), ('G'), ('R'), ('depth.Y')) AS c(channel)"
+
+
+def _close(px: DataFrame) -> DataFrame:
+    x, y, k = F.col("x"), F.col("y"), F.pmod(F.regexp_extract("path", r"(\d+)", 1).cast("int"), F.lit(20)) / 20
+    true = F.when(F.col("channel") == "R", k + 0.25 + x / 64).when(F.col("channel") == "G", k + 0.5 + y / 64).when(F.col("channel") == "B", k + 0.125 + (x + y) / 128).when(F.col("channel") == "A", F.pmod(F.floor(x / 4) + y, F.lit(2))).otherwise(k + 1 + x / 32)
+    return px.select("path", "channel", "x", "y", (F.abs(F.col("v") - true) < 0.004).alias("close"), F.when(F.col("channel") == "A", F.col("v")).alias("alpha"))
+
+
+#: Scheme, version of its rules, and mode of its AC stream (0: Huffman, 1: deflate).
+_TRANSFORMS = {"dwaa": (8, 2, 1), "dwab": (9, 2, 1), "dwaa_huffman": (8, 1, 0), "dwab_huffman": (9, 1, 0)}
+for _name, _how in _TRANSFORMS.items():
+    query(_COLOURS, f"exr_coded_{_name}")(lambda spark, sf_dir, how=_how: _close(_all_channels(_colour_files(spark, sf_dir, *how))))
+
+
+@query(
+    f"SELECT scheme, (SELECT count(*) FROM supplier) * ceil({HEIGHT} / lines)::BIGINT AS chunks, (SELECT count(*) FROM supplier) * raw AS raw FROM (VALUES ('RLE', 1.0, 0), ('ZIPS', 1.0, 0), ('ZIP', 16.0, 0), ('PIZ', 32.0, 1), ('PXR24', 16.0, 0), ('B44', 32.0, 1), ('B44A', 32.0, 1), ('DWAA', 32.0, 1), ('DWAB', 256.0, 0)) AS s(scheme, lines, raw)"
+    " UNION ALL SELECT 'PIZ wide', 5, 0"
+)
+def exr_coded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of these files, and how many of them are stored raw: only chunks of one line, where a scheme of 32 lines has no gain; all others go through their scheme."""
+    ramp = F.transform(F.sequence(F.lit(0), F.lit(20479)), lambda i: half_value(i))
+    made = {n.upper(): _coded_files(spark, sf_dir, c) for n, c in _WHOLE} | {n: _lossy_files(spark, sf_dir, c) for n, c in (("B44", 6), ("B44A", 7))} | {n: _colour_files(spark, sf_dir, c, 2, 1) for n, c in (("DWAA", 8), ("DWAB", 9))}
+    made["PIZ wide"] = image_files(table(spark, sf_dir, "region").select("r_regionkey", ramp.alias("h")), "r_regionkey", [("H", HALF, "h")], 640, 4)
+    each = [exr.chunks(exr.structure(f)).groupBy(F.lit(n).alias("scheme")).agg(F.count("*").alias("chunks"), F.count_if(~F.coalesce(~F.col("is_raw") & F.col("code").isNull(), F.lit(False))).alias("raw")) for n, f in made.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
+@query(f"WITH {_GRID} SELECT 'image/' || s_suppkey || '.exr' AS path, 'RLE' AS scheme, y AS chunk_index FROM px WHERE x = 0")
+def exr_compressed_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = exr.compressed(exr.chunks(exr.structure(_coded_files(spark, sf_dir, 1))))
+    return c.select("path", exr.compression_name(F.col("compression")).alias("scheme"), "chunk_index")
+
+
+@query(f"SELECT 'image/' || s_suppkey || '.exr' AS path, 0 AS part_id, {WIDTH * HEIGHT * 10}::BIGINT AS raw_bytes, {(WIDTH * 10) * HEIGHT}::BIGINT AS read_bytes, {3 * WIDTH * HEIGHT * 4}::BIGINT AS decoded_bytes FROM supplier")
+def exr_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each part: expected and read of its chunks, and of its decoded planes."""
+    s = exr.structure(_coded_files(spark, sf_dir, 0))
+    read = exr.chunks(s).groupBy("path", "part_id").agg(F.sum("expected_size").alias("raw_bytes"), F.sum("data_size").alias("read_bytes"))
+    return read.join(exr.decoded_bytes(s), ["path", "part_id"])
+
+
+# Files of two parts with schemes of their own
+def _two_parts(spark: SparkSession, sf_dir: str, numbers: list[int] | None = None) -> DataFrame:
+    return multipart_files(_coded_images(spark, sf_dir), _K, [("H", HALF, "h", 3), ("F", FLOAT, "f", 1)], WIDTH, numbers)
+
+
+@query(_CODED.replace("c.channel, x", "CASE c.channel WHEN 'H' THEN 0 ELSE 1 END AS part_id, c.channel, x").replace(", ('U')) AS c", ") AS c"))
+def exr_multipart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = exr.sampled_pixels(exr.scanlines(exr.chunks(exr.structure(_two_parts(spark, sf_dir)))))
+    return px.select("path", "part_id", "channel", F.col("sx").alias("x"), F.col("sampled_row").alias("y"), F.col("value").cast("double").alias("v"))
+
+
+@query(f"SELECT 'image/' || s_suppkey || '.exr' AS path, p AS part_id, p AS ordinal_part, ['H', 'F'][p + 1] AS channel, ['ZIP', 'RLE'][p + 1] AS scheme, 'part' || p AS name, {WIDTH} AS width, {HEIGHT} AS height FROM supplier, (VALUES (0), (1)) AS t(p)")
+def exr_multipart_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = exr.structure(_two_parts(spark, sf_dir))
+    p = exr.parts(s).join(exr.channels(s).select("path", "part_id", F.col("name").alias("channel")), ["path", "part_id"])
+    w = F.col("data_window")
+    return p.select("path", "part_id", F.col("part_id").alias("ordinal_part"), "channel", exr.compression_name(F.col("compression")).alias("scheme"), F.element_at("attributes", F.lit("name"))["s"].alias("name"), (w["x_max"] - w["x_min"] + 1).alias("width"), (w["y_max"] - w["y_min"] + 1).alias("height"))
+
+
+@query(
+    f"""WITH e AS (SELECT s_suppkey, seq, CASE seq WHEN 0 THEN 'decode.setup' WHEN 1 THEN 'decode.offsets.read' WHEN {HEIGHT + 2} THEN 'decode.complete' ELSE 'decode.chunk.part_mismatch' END AS code FROM supplier, range({HEIGHT + 3}) AS r(seq))
+    SELECT 'image/' || s_suppkey || '.exr' AS path, 1 AS part_id, seq::INT AS seq, 'decode' AS phase, CASE WHEN code LIKE '%mismatch' THEN 'warn' ELSE 'info' END AS level, code, CASE WHEN code LIKE '%mismatch' THEN seq - 2 END::INT AS chunk_index,
+    (CASE WHEN code LIKE '%mismatch' THEN 0 WHEN code LIKE '%complete' THEN 0 ELSE {HEIGHT} END)::BIGINT AS n FROM e"""
+)
+def exr_foreign_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second part's chunks say that they are the first one's."""
+    return exr.decode_events(exr.structure(_two_parts(spark, sf_dir, [0, 0])), part_id=1)
+
+
 _BROKEN = """CASE vec_id % 5 WHEN 0 THEN 'BUFFER_TOO_SMALL' WHEN 1 THEN 'INVALID_MAGIC' WHEN 2 THEN 'TRUNCATED_FILE' WHEN 3 THEN 'MALFORMED_CHUNK' END"""
 
 
@@ -102,11 +255,84 @@ def exr_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exr.events(exr.structure(broken_files(spark, sf_dir)))
 
 
-@query(f"WITH {PX} SELECT 'image/' || vec_id || '.exr' AS path, 'Y' AS channel, x::INT AS x, y::INT AS y, v FROM px WHERE vec_id % 4 = 0")
+@query(f"WITH {PX} SELECT 'image/' || vec_id || '.exr' AS path, 'Y' AS channel, x::INT AS x, y::INT AS y, v FROM px")
 def exr_full_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = exr.structure(single_channel_files(table(spark, sf_dir, "embeddings").filter("vec_id % 4 = 0"), "vec_id", "embedding", 8, FLOAT, 3))
+    s = exr.structure(embedding_files(spark, sf_dir, 3))
     px = exr.expanded_pixels(exr.scanlines(exr.chunks(s)), s)
     return px.select("path", "channel", "x", "y", F.col("value").cast("double").alias("v"))
 
 
+# One file of each failure, in the order in which they are looked for, and a whole one of which another part is asked for
+_CODES = ("BUFFER_TOO_SMALL", "INVALID_MAGIC", "TRUNCATED_FILE", "MALFORMED_HEADER", "PART_NOT_FOUND", "UNSUPPORTED_PART_TYPE", "UNSUPPORTED_COMPRESSION", "MISSING_DATA_WINDOW", "MALFORMED_OFFSET_TABLE", "MALFORMED_CHUNK", "DECOMPRESSION_FAILED")
+
+
+def _failing(kind: int, value: float) -> bytes:
+    plane = [np.full((4, 32), value, "<f4")]
+    make = lambda compression=0, extra=b"": encoded(plane, [FLOAT], ["Y"], compression, extra=extra)
+    good = make()
+    at = good.index(b"lineOrder\0lineOrder\0") + 26  # the end of the header
+    if kind == 3:
+        return make(extra=_attribute("x", "int", b"abc"))
+    if kind == 5:
+        return make(extra=_attribute("type", "string", b"tiledimage"))
+    if kind == 6:
+        return make(10)
+    if kind == 7:
+        return good.replace(b"dataWindow\0", b"dataWindov\0")
+    if kind == 10:
+        zips = make(2)
+        head = struct.unpack_from("<Q", zips, at)[0] + 8
+        return zips[:head] + b"\0\0" + zips[head + 2 :]
+    return {0: good[:5], 1: b"\0" + good[1:], 2: good[:60], 8: good[: at + 4], 9: good[:-1]}.get(kind, good)
+
+
+def failing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("binary")
+    def write(ids: pd.Series) -> pd.Series:
+        return pd.Series([_failing(int(i) % 11, i % 7) for i in ids])
+
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.concat(F.lit("image/"), F.col("vec_id").cast("string"), F.lit(".exr")).alias("path"), write("vec_id").alias("content")).select("path", F.length("content").cast("long").alias("length"), "content")
+
+
+@query(f"SELECT 'image/' || vec_id || '.exr' AS path, ({list(_CODES)})[(vec_id % 11 + 1)::INT] AS code FROM embeddings")
+def exr_error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = exr.structure(failing_files(spark, sf_dir))
+    kind = F.pmod(F.regexp_extract("path", r"(\d+)", 1).cast("long"), F.lit(11))
+    return exr.errors(s, exr.scanlines(exr.chunks(s, F.when(kind == 4, 7).otherwise(0))))
+
+
+def trailing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole files, files whose first chunk has 3 bytes more, and files that end too early."""
+
+    @F.pandas_udf("binary")
+    def write(ids: pd.Series) -> pd.Series:
+        out = []
+        for i in ids:
+            good = encoded([np.full((2, 4), i, "<f4")], [FLOAT], ["Y"], 0)
+            first = len(good) - 48
+            more = good[: first - 16] + struct.pack("<2Q", first, first + 27) + good[first : first + 4] + struct.pack("<i", 19) + good[first + 8 : first + 24] + b"abc" + good[first + 24 :]
+            out.append((good, more, good[:-1])[int(i) % 3])
+        return pd.Series(out)
+
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.concat(F.lit("image/"), F.col("vec_id").cast("string"), F.lit(".exr")).alias("path"), write("vec_id").alias("content")).select("path", F.length("content").cast("long").alias("length"), "content")
+
+
+@query(
+    """WITH k AS (SELECT vec_id, vec_id % 3 AS kind FROM embeddings), e AS (SELECT vec_id, kind, 0 AS seq, 'decode.setup' AS code, NULL AS chunk_index, 2 AS n FROM k UNION ALL SELECT vec_id, kind, 1, 'decode.offsets.read', NULL, 2 FROM k
+    UNION ALL SELECT vec_id, kind, 2, 'decode.chunk.trailing_bytes', 0, 3 FROM k WHERE kind = 1 UNION ALL SELECT vec_id, kind, 2 + kind, 'decode.complete', NULL, 32 + 3 * kind FROM k WHERE kind < 2)
+    SELECT 'image/' || vec_id || '.exr' AS path, 0 AS part_id, seq::INT AS seq, 'decode' AS phase, CASE WHEN code LIKE '%trailing%' THEN 'warn' ELSE 'info' END AS level, code, chunk_index::INT AS chunk_index, n::BIGINT AS n FROM e"""
+)
+def exr_events_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = exr.structure(trailing_files(spark, sf_dir))
+    return exr.decode_events(s, exr.scanlines(exr.chunks(s)))
+
+
+@query("WITH q AS (" + SQL["exr_events_decode"] + ") SELECT path, seq, 'decode.' || code AS step, CASE level WHEN 'warn' THEN 'warn' ELSE 'ok' END AS status, code AS description FROM q")
+def log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = exr.structure(trailing_files(spark, sf_dir))
+    return exr.log_entries(exr.decode_events(s, exr.scanlines(exr.chunks(s)))).select("path", "seq", "step", "status", "description")
+
+
 __all__ = ["QUERIES"]

@@ -124,7 +124,8 @@ _BASIS = "SELECT u, i, (CASE WHEN u = 0 THEN sqrt(1 / 8.0) ELSE 0.5 END) * cos((
     SELECT vec_id, x::INT AS x, i::INT AS y, round(sum(h * m), 4) + 0.0 AS v FROM h JOIN basis ON h.y = u GROUP BY ALL"""
 )
 def idct8x8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.idct(pixels(spark, sf_dir), "vec_id").withColumn("v", F.round("v", 4) + 0.0)
+    e = table(spark, sf_dir, "embeddings").select("vec_id", C.idct(F.col("embedding")).alias("e"))
+    return I.block_pixels(e, "e", 8, "vec_id").withColumn("v", F.round("v", 4) + 0.0)
 
 
 @query(
@@ -150,3 +151,58 @@ def dwa_to_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plane_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = pixels(spark, sf_dir).withColumn("view", F.when(F.col("x") < 4, "left").otherwise("right"))
     return t.groupBy("label", "view").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.round(F.avg("v"), 9).alias("mean"), F.count("*").alias("n"))
+
+
+_SHOWN = f"{RGB}, c AS (SELECT img, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM rgb)"
+
+
+def _hist(value: str) -> str:
+    lum = " + ".join(f"{value.format(c=c)} * {w}" for c, w in zip("rgb", P.LUMINANCE, strict=True))
+    return f"WITH {_SHOWN}, s AS (SELECT img, {lum} AS l FROM c) SELECT img, {_bin('l')} AS bin, count(*) AS n FROM s GROUP BY ALL"
+
+
+@query(_hist("pow(greatest({c} * 2.0, 0.0), 1 / 2.2)"))
+def histogram_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.rendered_histogram(rgb(spark, sf_dir), "display", 1.0, 2.2, "img")
+
+
+@query(_hist("{c}"))
+def histogram_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.rendered_histogram(rgb(spark, sf_dir), "linear", 1.0, 2.2, "img")
+
+
+@query(f"WITH {PX} SELECT vec_id, x::INT AS x, (7 - y)::INT AS y, round(least(greatest(pow(greatest(v * 4.0, 0.0), 1 / 2.2), 0.0), 1.0), 9) AS v FROM px")
+def shader_flipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = pixels(spark, sf_dir)
+    return px.select("vec_id", "x", I.flipped(F.col("y"), F.lit(8)).alias("y"), F.round(I.shaded(F.col("v"), 2.0, 2.2), 9).alias("v"))
+
+
+_WINDOWS = "w AS (SELECT vec_id, (label - 3)::INT AS dx0, (2 - label)::INT AS dy0, (label + 4)::INT AS dx1, (9 - label)::INT AS dy1, CASE WHEN vec_id % 3 > 0 THEN (CASE WHEN vec_id % 3 = 1 THEN -3 ELSE label - 3 END)::INT END AS px0, (CASE WHEN vec_id % 3 = 1 THEN 0 ELSE 2 - label END)::INT AS py0, (CASE WHEN vec_id % 3 = 1 THEN 20 ELSE label + 4 END)::INT AS px1, (CASE WHEN vec_id % 3 = 1 THEN 11 ELSE 9 - label END)::INT AS py1 FROM embeddings)"
+
+
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data windows of 8 x 8 pixels, with no display window, with another, and with the same."""
+    e, label, kind = table(spark, sf_dir, "embeddings"), F.col("label"), F.pmod("vec_id", F.lit(3))
+    box = lambda *c: F.struct(*(F.when(kind == 1, a).otherwise(b).cast("int").alias(n) for (a, b), n in zip(c, ("x_min", "y_min", "x_max", "y_max"), strict=True)))
+    own = (label - 3, 2 - label, label + 4, 9 - label)
+    return e.select("vec_id", box(*((v, v) for v in own)).alias("data"), F.when(kind > 0, box(*zip((F.lit(-3), F.lit(0), F.lit(20), F.lit(11)), own, strict=True))).alias("display"))
+
+
+@query(
+    f"""WITH {_WINDOWS}, r AS (SELECT vec_id, dx0 - coalesce(px0, dx0) AS x, dy0 - CASE WHEN px0 IS NULL THEN dy0 ELSE py0 END AS y, CASE WHEN px0 IS NULL THEN 8 ELSE px1 - px0 + 1 END AS w, CASE WHEN px0 IS NULL THEN 8 ELSE py1 - py0 + 1 END AS h FROM w),
+    p AS (SELECT *, (vec_id % 23 - 4.0) AS mx, (vec_id % 19 - 2.0) AS my FROM r), q AS (SELECT *, floor((mx - 1.5) / 0.5 - x)::INT AS ix, floor((my - 0.25) / 0.5 - y)::INT AS iy FROM p)
+    SELECT vec_id, x::INT AS x, y::INT AS y, CASE WHEN vec_id % 5 > 0 THEN 8 END AS guarded, w::INT AS width, h::INT AS height, (x = 0 AND y = 0 AND w = 8 AND h = 8) AS equal, CASE WHEN ix BETWEEN 0 AND 7 AND iy BETWEEN 0 AND 7 THEN ix END AS px, CASE WHEN ix BETWEEN 0 AND 7 AND iy BETWEEN 0 AND 7 THEN iy END AS py FROM q"""
+)
+def window_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = windows(spark, sf_dir).withColumn("rect", I.data_rect(F.col("data"), F.col("display"))).withColumn("shown", I.display_rect(F.col("data"), F.col("display")))
+    decoded = F.when(F.pmod("vec_id", F.lit(5)) > 0, 8).otherwise(9)
+    at = I.pixel_at(F.pmod("vec_id", F.lit(23)) - 4.0, F.pmod("vec_id", F.lit(19)) - 2.0, F.lit(1.5), F.lit(0.25), F.lit(0.5), F.col("rect"))
+    w = w.withColumn("at", at).withColumn("guard", I.guarded_rect(F.col("rect"), decoded, decoded))
+    return w.select("vec_id", "rect.x", "rect.y", F.col("guard.width").alias("guarded"), "shown.width", "shown.height", I.same_rect(F.col("rect"), F.col("shown")).alias("equal"), F.col("at.x").alias("px"), F.col("at.y").alias("py"))
+
+
+@query("SELECT DISTINCT (['?renderer=CPU', '?a=1&renderer=webgl2', 'renderer=vulkan', '', '?renderer=', '?renderer=auto&x=2'])[(event_id % 6 + 1)::INT] AS q, (['cpu', 'webgl2', 'auto', 'auto', 'auto', 'auto'])[(event_id % 6 + 1)::INT] AS preference FROM events")
+def renderer_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = F.array(*map(F.lit, ("?renderer=CPU", "?a=1&renderer=webgl2", "renderer=vulkan", "", "?renderer=", "?renderer=auto&x=2")))
+    q = table(spark, sf_dir, "events").select(F.get(given, F.pmod("event_id", F.lit(6))).alias("q")).distinct()
+    return q.select("q", I.renderer_preference(F.col("q")).alias("preference"))

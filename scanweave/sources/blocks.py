@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from scanweave.sources.dwa import planes_of as transform_planes
 from scanweave.sources.header import ExrError
 from scanweave.sources.piz import words as wavelet_words
 
@@ -26,6 +27,8 @@ class Plane:
     linear: int
     width: int
     ys: tuple[int, ...]
+    name: str = ""
+    whole: bool = True  # sampled at every pixel
 
     @property
     def size(self) -> int:
@@ -76,8 +79,7 @@ def by_lines(planes: list[Plane], data: list[np.ndarray]) -> bytes:
 
 
 def none(payload: bytes, expected: int, planes: list[Plane]) -> bytes:
-    if len(payload) != expected:
-        raise ValueError(f"{len(payload)} bytes instead of {expected}")
+    """As it is: bytes after the last line are ignored, and a line that is missing is found by whoever reads the lines."""
     return payload
 
 
@@ -137,14 +139,8 @@ def b44(payload: bytes, expected: int, planes: list[Plane]) -> bytes:
             at += n
             continue
         across, down = -(-p.width // 4), -(-rows // 4)
-        starts = np.empty(across * down, np.int64)
-        for i in range(len(starts)):  # blocks have two lengths, so their places come one after the other
-            if at + 3 > len(payload):
-                raise ValueError("a block is cut short")
-            starts[i] = at
-            at += 3 if payload[at + 2] >= 13 << 2 else 14
-        if at > len(payload):
-            raise ValueError("a block is cut short")
+        starts = _starts(payload, at, across * down)
+        at, starts = int(starts[-1]), starts[:-1]
         blocks = _b44_blocks(np.frombuffer(payload + b"\0" * 14, np.uint8)[starts[:, None] + np.arange(14)])
         plane = blocks.reshape(down, across, 4, 4).transpose(0, 2, 1, 3).reshape(4 * down, 4 * across)[:rows, : p.width]
         if p.linear:
@@ -156,6 +152,21 @@ def b44(payload: bytes, expected: int, planes: list[Plane]) -> bytes:
     return out
 
 
+def _starts(payload: bytes, at: int, n: int) -> np.ndarray:
+    """Where n blocks of 3 or 14 bytes begin, and where the last one ends: each place tells the next, in hops of powers of two."""
+    size = len(payload)
+    third = np.frombuffer(payload, np.uint8)[2:]
+    hop = np.full(size + 15, size + 14)
+    hop[: len(third)] = np.arange(len(third)) + np.where(third >= 13 << 2, 3, 14)
+    out = np.array([at])
+    while len(out) <= n:  # the starts known so far, and as many after them
+        out = np.concatenate([out, hop[out]])
+        hop = hop[hop]
+    if int(out[n]) > size:
+        raise ValueError("a block is cut short")
+    return out[: n + 1]
+
+
 def _b44_blocks(b: np.ndarray) -> np.ndarray:
     """Half bits of blocks given as rows of 14 bytes."""
     b = b.astype(np.int64)
@@ -174,6 +185,17 @@ def _b44_blocks(b: np.ndarray) -> np.ndarray:
     return np.where(out & 0x8000, out & 0x7FFF, ~out & 0xFFFF)
 
 
+def dwa(payload: bytes, expected: int, planes: list[Plane]) -> bytes:
+    """Cosine blocks and run-length planes; channels must be sampled at every pixel."""
+    if not all(p.whole for p in planes):
+        raise ValueError("subsampled channels")
+    rows, width = (len(planes[0].ys), planes[0].width) if planes else (0, 0)
+    if not rows or not width:
+        return b""
+    data = transform_planes(payload, [p.name for p in planes], [p.kind for p in planes], rows, width, _unpredicted, run_lengths)
+    return by_lines(planes, data)
+
+
 @dataclass(frozen=True)
 class Scheme:
     name: str
@@ -191,8 +213,8 @@ SCHEMES: dict[int, Scheme] = {
     5: Scheme("PXR24", 16, pxr24),
     6: Scheme("B44", 32, b44),
     7: Scheme("B44A", 32, b44),
-    8: Scheme("DWAA", 32, None),
-    9: Scheme("DWAB", 256, None),
+    8: Scheme("DWAA", 32, dwa),
+    9: Scheme("DWAB", 256, dwa),
 }
 
 

@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanweave.functions import geometry as G
+from scanweave.functions.pixels import status_of
 from scanweave.operators.catalog import is_image_path
 from scanweave.sources import blocks as B
 from scanweave.sources import header as H
@@ -44,9 +45,20 @@ def _structure(content: bytes):
         return {"magic": None, "version": None, "flags": None, "is_multipart": None, "header_end": None, "parts": None, "error": {"code": e.code, "message": e.message, "details": e.details}}
 
 
+#: Bytes of a file that go to the header walk at first; a header that is longer is walked again with the whole file.
+HEADER_BYTES = 1 << 16
+
+
 def structure(files: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
-    """files with the parsed header as column s."""
-    out = files.withColumn("s", F.udf(_structure, STRUCTURE, useArrow=True)("content"))
+    """files with the parsed header as column s.
+
+    Only the first HEADER_BYTES of each file go to Python; whole files follow
+    only where the walk ran past that slice.
+    """
+    walk = F.udf(_structure, STRUCTURE, useArrow=True)
+    out = files.withColumn("s", walk(F.substring("content", F.lit(1), F.lit(HEADER_BYTES))))
+    more = (F.length("content") > HEADER_BYTES) & F.col("s.error").isNotNull()
+    out = out.withColumn("s", F.when(more, walk(F.when(more, F.col("content")))).otherwise(F.col("s")))
     if mode == "FAILFAST":
         fail = F.raise_error(F.concat_ws(": ", "path", "s.error.code", "s.error.message")).cast("string")
         out = out.withColumn("path", F.when(F.col("s.error").isNotNull(), fail).otherwise(F.col("path")))
@@ -79,10 +91,9 @@ def compression_name(compression: Column) -> Column:
     return F.coalesce(F.element_at(known, compression), F.lit("UNKNOWN"))
 
 
-def table_offsets(parts_: DataFrame, file: str, part: str, chunks: str, header_end: Column) -> DataFrame:
-    """Where each part's offset table starts: 8 bytes for every chunk of the parts before, after the header."""
-    before = Window.partitionBy(file).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    return parts_.withColumn("table_at", (F.coalesce(F.sum(chunks).over(before), F.lit(0)) * 8 + header_end).cast("long"))
+def table_at(header_end: Column, chunks_before: Column) -> Column:
+    """Where a part's offset table starts: 8 bytes for every chunk of the parts before (an array of their numbers of chunks), after the header."""
+    return (header_end + 8 * F.aggregate(chunks_before, F.lit(0).cast("long"), lambda a, n: a + n)).cast("long")
 
 
 def little(content: Column, at: Column, n: int) -> Column:
@@ -103,9 +114,14 @@ _PLAN_ERRORS = (
 )
 
 
-def _planned(structured: DataFrame) -> DataFrame:
-    """A row a part with what its chunks need: lines a chunk, number of chunks, place of the offset table, error."""
-    each = structured.select("path", "content", "s", F.explode("s.parts").alias("p"))
+def _planned(structured: DataFrame, part_id: int | Column | None = None) -> DataFrame:
+    """A row a part with what its chunks need: lines a chunk, number of chunks, place of the offset table, error.  A part that is asked for and isn't there is a row with PART_NOT_FOUND."""
+    whole = structured.filter("s.error IS NULL")
+    if part_id is None:
+        each = whole.select("path", "content", "s", F.explode("s.parts").alias("p")).withColumn("asked", F.col("p.part_id"))
+    else:
+        asked = part_id if isinstance(part_id, Column) else F.lit(part_id)
+        each = whole.withColumn("asked", asked.cast("int")).withColumn("p", F.get(F.filter("s.parts", lambda q: q["part_id"] == F.col("asked")), F.lit(0))).select("path", "content", "s", "p", "asked")
     known = F.array(*(F.lit(k) for k in B.SCHEMES))
     lines = lines_per_chunk(F.col("p.compression"))
     height = G.extent(F.col("p.data_window.y_min"), F.col("p.data_window.y_max"))
@@ -114,9 +130,10 @@ def _planned(structured: DataFrame) -> DataFrame:
     code = F.lit(None).cast("string")
     for name, test in reversed(_PLAN_ERRORS):
         code = F.when(F.coalesce(F.expr(test), F.lit(False)), name).otherwise(code)
+    code = F.when(F.col("p").isNull(), "PART_NOT_FOUND").otherwise(code)
     # a file's parts are in one row, so the sum over those before needs no shuffle
-    before = F.aggregate(F.filter("s.parts", lambda q: q["part_id"] < F.col("p.part_id")), F.lit(0), lambda a, q: a + F.when(q["data_window"].isNotNull(), F.greatest(F.lit(0), G.chunk_count(G.extent(q["data_window"]["y_min"], q["data_window"]["y_max"]), lines_per_chunk(q["compression"])))).otherwise(0))
-    each = each.withColumn("table_at", F.col("s.header_end") + before * 8).withColumn("code", code)
+    before = F.transform(F.filter("s.parts", lambda q: q["part_id"] < F.col("asked")), lambda q: F.when(q["data_window"].isNotNull(), F.greatest(F.lit(0), G.chunk_count(G.extent(q["data_window"]["y_min"], q["data_window"]["y_max"]), lines_per_chunk(q["compression"])))).otherwise(0).cast("long"))
+    each = each.withColumn("table_at", table_at(F.col("s.header_end"), before)).withColumn("code", code)
     short = F.col("table_at") + F.col("n_chunks") * 8 > F.length("content")
     return each.withColumn("code", F.coalesce("code", F.when(short, "MALFORMED_OFFSET_TABLE")))
 
@@ -128,38 +145,62 @@ def expected_size(channels_: Column, window: Column, y: Column, lines: Column) -
     return F.aggregate(channels_, F.lit(0).cast("long"), lambda a, c: a + one(c))
 
 
-def chunks(structured: DataFrame, part_id: int | None = None) -> DataFrame:
-    """A row a chunk: path, part_id, chunk_index, chunk_y, data_size, lines, expected_size, is_raw, payload, and what decoding needs; broken parts and chunks have an error code."""
-    plan = _planned(structured)
-    if part_id is not None:
-        plan = plan.filter(F.col("p.part_id") == part_id)
+def _scanned(structured: DataFrame, part_id: int | Column | None) -> DataFrame:
+    """A row a part, with all its chunks as an array k: their heads, payloads, and errors; chunks of other parts are among them."""
+    plan = _planned(structured, part_id)
     c, multi = F.col("content"), F.col("s.is_multipart")
     head = F.when(multi, 12).otherwise(8)
 
     # step by step, as an expression that is used twice is computed twice inside a lambda function
     fine = F.col("code").isNull() & (F.col("n_chunks") > 0)
     steps = plan.select(
-        "path", "content", "p.part_id", "p.compression", F.col("p.data_window").alias("w"), F.col("p.channels").alias("channels"), "lines_per", F.col("code").alias("part_code"), multi.alias("multi"), head.alias("head"),
+        "path", "content", F.col("asked").alias("part_id"), "p.compression", F.col("p.data_window").alias("w"), F.col("p.channels").alias("channels"), "lines_per", "n_chunks", F.col("code").alias("part_code"), multi.alias("multi"), head.alias("head"),
         F.when(fine, F.transform(F.sequence(F.lit(0), F.col("n_chunks") - 1), lambda i: little(c, F.col("table_at") + 8 * i, 8))).alias("offsets"),
     )
     head, multi = F.col("head"), F.col("multi")
     steps = steps.withColumn("spots", F.transform("offsets", lambda o: F.struct(F.when(o <= 2**53 - 1, o.cast("long")).alias("at"), F.when(o + head <= F.length(c), o.cast("long")).alias("safe"))))
-    steps = steps.withColumn("heads", F.transform("spots", lambda s: F.struct(s["at"].alias("at"), s["safe"].alias("safe"), F.when(multi, little(c, s["safe"], 4)).alias("own"), little(c, s["safe"] + head - 8, 4).alias("y"), little(c, s["safe"] + head - 4, 4).alias("size"))))
+    steps = steps.withColumn("heads", F.transform("spots", lambda s: F.struct(s["at"].alias("at"), s["safe"].alias("safe"), F.when(multi, signed32(little(c, s["safe"], 4))).alias("own"), signed32(little(c, s["safe"] + head - 8, 4)).alias("y"), signed32(little(c, s["safe"] + head - 4, 4)).alias("size"))))
+
+    # of lines given twice the later chunk's count; in files whose chunks stand on the usual grid none is
+    grid = F.size(F.array_distinct(F.transform("heads", lambda h: h["y"]))) == F.size("heads")
+    grid = grid & F.forall("heads", lambda h: F.coalesce((h["own"].isNull() | (h["own"] == F.col("part_id"))) & (F.pmod(h["y"] - F.col("w.y_min"), F.col("lines_per")) == 0), F.lit(False)))
+    steps = steps.withColumn("on_grid", F.coalesce(grid, F.lit(True)))
+    own = lambda h: h["own"].isNull() | (h["own"] == F.col("part_id"))
+    later = lambda h, i: F.transform(F.filter("heads", lambda g, j: (j > i) & own(g) & (F.abs(g["y"] - h["y"]) < F.col("lines_per"))), lambda g: g["y"].cast("int"))
 
     def chunk(h: Column, i: Column) -> Column:
-        # a size with the top bit set is negative, and never fits
-        fits = h["safe"] + head + h["size"] <= F.length(c)
+        fits = (h["size"] >= 0) & (h["safe"] + head + h["size"] <= F.length(c))
         code = F.when(h["at"].isNull(), "MALFORMED_OFFSET_TABLE").when(F.coalesce(~fits, F.lit(True)), "MALFORMED_CHUNK")
-        return F.struct(i.alias("chunk_index"), h["at"].alias("chunk_offset"), signed32(h["own"]).alias("own"), signed32(h["y"]).cast("int").alias("chunk_y"), signed32(h["size"]).cast("int").alias("data_size"), F.when(fits, F.substring(c, (h["safe"] + head + 1).cast("int"), h["size"].cast("int"))).alias("payload"), code.alias("code"))
+        return F.struct(
+            i.alias("chunk_index"), h["at"].alias("chunk_offset"), h["own"].alias("own"), h["y"].cast("int").alias("chunk_y"), h["size"].cast("int").alias("data_size"),
+            F.when(fits, F.substring(c, (h["safe"] + head + 1).cast("int"), h["size"].cast("int"))).alias("payload"), code.alias("code"),
+            F.when(~F.col("on_grid"), later(h, i)).alias("later"),
+        )
+
+    # chunks are cut out of the content here, so no row after this one carries a whole file
+    return steps.withColumn("k", F.transform("heads", chunk)).drop("content", "offsets", "spots", "heads", "head")
+
+
+def _of_chunk(rows: DataFrame) -> DataFrame:
+    """rows with a chunk k and their lines and expected_size."""
+    rows = rows.withColumn("lines", G.lines_in_chunk(F.col("k.chunk_y"), F.col("w.y_max"), F.col("lines_per")))
+    return rows.withColumn("expected_size", expected_size(F.col("channels"), F.col("w"), F.col("k.chunk_y"), F.col("lines")))
 
-    # chunks are cut out of the content before they become rows, so no row carries a whole file
-    rows = steps.withColumn("chunks", F.transform("heads", chunk)).select("path", "part_id", "compression", "w", "channels", "lines_per", "part_code", F.explode_outer("chunks").alias("k"))
+
+def chunks(structured: DataFrame, part_id: int | Column | None = None) -> DataFrame:
+    """A row a chunk: path, part_id, chunk_index, chunk_y, data_size, lines, expected_size, is_raw, payload, and what decoding needs; broken parts and chunks have an error code.
+
+    Chunks that name another part are left out (decode_events tells of them).
+    """
+    rows = _scanned(structured, part_id).select("path", "part_id", "compression", "w", "channels", "lines_per", "part_code", F.explode_outer("k").alias("k"))
     rows = rows.filter(F.col("k").isNotNull() | F.col("part_code").isNotNull())
-    rows = rows.filter(F.col("k.own").isNull() | (F.col("k.own") == F.col("part_id")))
-    lines = G.lines_in_chunk(F.col("k.chunk_y"), F.col("w.y_max"), F.col("lines_per"))
-    rows = rows.withColumn("lines", lines)
-    rows = rows.withColumn("expected_size", expected_size(F.col("channels"), F.col("w"), F.col("k.chunk_y"), F.col("lines")))
-    return rows.select("path", "part_id", "k.chunk_index", "k.chunk_offset", "k.chunk_y", "k.data_size", "lines", "expected_size", (F.col("k.data_size") == F.col("expected_size")).alias("is_raw"), "compression", "w", "channels", "k.payload", F.coalesce("part_code", "k.code").alias("code"))
+    rows = _of_chunk(rows.filter(F.col("k.own").isNull() | (F.col("k.own") == F.col("part_id"))))
+    return rows.select("path", "part_id", "k.chunk_index", "k.chunk_offset", "k.chunk_y", "k.data_size", "lines", "expected_size", (F.col("k.data_size") == F.col("expected_size")).alias("is_raw"), "compression", "w", "channels", "k.payload", "k.later", F.coalesce("part_code", "k.code").alias("code"))
+
+
+def compressed(chunks_: DataFrame) -> DataFrame:
+    """The chunks that a scheme has to decode."""
+    return chunks_.filter("code IS NULL AND NOT is_raw")
 
 
 SCANLINES = "path string, part_id int, channel string, y int, sampled_row int, values array<float>, chunk_index int, code string"
@@ -173,7 +214,7 @@ def _planes(channels_: list[dict], w: dict, y: int, lines: int) -> list[B.Plane]
         first = lambda lo, s: lo + -lo % s
         width = max(0, (w["x_max"] - first(w["x_min"], xs)) // xs + 1)
         top = max(y, w["y_min"])
-        out.append(B.Plane(c["pixel_type"], c["p_linear"], width, tuple(range(first(top, ys), y + lines, ys)) if width else ()))
+        out.append(B.Plane(c["pixel_type"], c["p_linear"], width, tuple(range(first(top, ys), y + lines, ys)) if width else (), c["name"], xs == ys == 1))
     return out
 
 
@@ -181,14 +222,16 @@ def _lines(row: dict, schemes: dict, wanted: set[str] | None) -> Iterator[tuple]
     """The scanlines of one chunk."""
     w, planes = row["w"], _planes(row["channels"], row["w"], row["chunk_y"], row["lines"])
     data = B.decoded(schemes.get(row["compression"]), bytes(row["payload"]), row["expected_size"], planes)
-    at = 0
+    at, lines = 0, row["lines_per"]
+    covered = [range(y, y + lines) for y in row["later"] or ()]
+    last = {c["name"]: i for i, c in enumerate(row["channels"])}  # of channels of one name the last counts
     for y, i in sorted((y, i) for i, p in enumerate(planes) for y in p.ys):
         p, c = planes[i], row["channels"][i]
         n = p.width * p.size
         raw, at = data[at : at + n], at + n
         if len(raw) < n:
             raise H.ExrError("MALFORMED_CHUNK", "a line runs past the chunk")
-        if wanted is not None and c["name"] not in wanted:
+        if wanted is not None and c["name"] not in wanted or last[c["name"]] != i or any(y in r for r in covered):
             continue
         if p.kind == B.HALF:
             v = np.frombuffer(raw, "<f2").astype(np.float32)
@@ -206,7 +249,8 @@ def scanlines(chunks_: DataFrame, names: list[str] | None = None, mode: str = "P
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):  # one chunk at a time becomes Python objects
+                (row,) = batch.slice(k, 1).to_pylist()
                 try:
                     if row["code"]:
                         raise H.ExrError(row["code"], "found by the scan")
@@ -218,24 +262,25 @@ def scanlines(chunks_: DataFrame, names: list[str] | None = None, mode: str = "P
                 cols = list(zip(*rows, strict=True)) or [()] * len(_KINDS)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _KINDS, strict=True)], names=[f.split()[0] for f in SCANLINES.split(", ")])
 
-    return chunks_.select("path", "part_id", "chunk_index", "chunk_y", "lines", "expected_size", "compression", "w", "channels", "payload", "code").mapInArrow(run, SCANLINES)
+    per = lines_per_chunk(F.col("compression")).alias("lines_per")
+    return chunks_.select("path", "part_id", "chunk_index", "chunk_y", "lines", "expected_size", "compression", "w", "channels", "payload", "code", "later", per).mapInArrow(run, SCANLINES)
 
 
 def sampled_pixels(lines: DataFrame) -> DataFrame:
-    """A row a sample: path, part_id, channel, sx, sampled_row, value; of lines given twice the later chunk's counts."""
-    once = lines.filter("code IS NULL").groupBy("path", "part_id", "channel", "sampled_row").agg(F.max_by("values", "chunk_index").alias("values"))
-    return once.select("path", "part_id", "channel", F.posexplode("values").alias("sx", "value"), "sampled_row")
+    """A row a sample: path, part_id, channel, sx, sampled_row, value.  Lines given twice are settled by the scan, so nothing is shuffled."""
+    return lines.filter("code IS NULL").select("path", "part_id", "channel", F.posexplode("values").alias("sx", "value"), "sampled_row")
 
 
 def expanded_pixels(lines: DataFrame, structured: DataFrame) -> DataFrame:
     """Every channel at full size: path, part_id, channel, x, y, value; each pixel has the nearest sample, and 0 where a line is missing."""
-    once = lines.filter("code IS NULL").groupBy("path", "part_id", F.col("channel").alias("name"), "sampled_row").agg(F.max_by("values", "chunk_index").alias("values"))
-    w = parts(structured).select("path", "part_id", "data_window")
-    grid = channels(structured).join(w, ["path", "part_id"]).select("path", "part_id", "name", "x_sampling", "y_sampling", "sample_origin_x", "sample_origin_y", "sampled_width", "sampled_height", F.col("data_window").alias("w"), F.explode(F.sequence("data_window.y_min", "data_window.y_max")).alias("y"))
-    near = lambda at, axis, n: G.nearest_sample(at, F.col(f"sample_origin_{axis}"), F.col(f"{axis}_sampling"), F.col(f"sampled_{n}"))
-    rows = grid.withColumn("sampled_row", near(F.col("y"), "y", "height")).join(once, ["path", "part_id", "name", "sampled_row"], "left")
+    once = lines.filter("code IS NULL").select("path", "part_id", F.col("channel").alias("name"), "sampled_row", "values")
+    each = structured.select("path", F.explode("s.parts").alias("p")).select("path", "p.part_id", F.col("p.data_window").alias("w"), F.inline("p.channels"))
+    axis = lambda a: (G.first_sample(F.col(f"w.{a}_min"), F.col(f"{a}_sampling")).alias(f"origin_{a}"), G.sample_count(F.col(f"w.{a}_min"), F.col(f"w.{a}_max"), F.col(f"{a}_sampling")).alias(f"n_{a}"))
+    grid = each.select("path", "part_id", "name", "w", "x_sampling", "y_sampling", *axis("x"), *axis("y"), F.explode(F.sequence("w.y_min", "w.y_max")).alias("y")).distinct()
+    near = lambda at, a: G.nearest_sample(at, F.col(f"origin_{a}"), F.col(f"{a}_sampling"), F.col(f"n_{a}"))
+    rows = grid.withColumn("sampled_row", near(F.col("y"), "y")).join(once, ["path", "part_id", "name", "sampled_row"], "left")
     spread = rows.withColumn("x", F.explode(F.sequence("w.x_min", "w.x_max")))
-    return spread.select("path", "part_id", F.col("name").alias("channel"), "x", "y", F.coalesce(F.get("values", near(F.col("x"), "x", "width")), F.lit(0.0).cast("float")).alias("value"))
+    return spread.select("path", "part_id", F.col("name").alias("channel"), "x", "y", F.coalesce(F.get("values", near(F.col("x"), "x")), F.lit(0.0).cast("float")).alias("value"))
 
 
 def errors(structured: DataFrame, lines: DataFrame) -> DataFrame:
@@ -252,3 +297,45 @@ def events(structured: DataFrame) -> DataFrame:
     each_part = F.transform("s.parts", lambda p: step("parse.part.ok"))
     fine = F.concat(F.array(step("parse.magic.ok"), step("parse.version.ok")), each_part, F.array(step("parse.complete")))
     return structured.select("path", F.posexplode(F.when(bad, failed).otherwise(fine)).alias("seq", "e")).select("path", "seq", "e.phase", "e.level", "e.code")
+
+
+def decode_events(structured: DataFrame, lines: DataFrame | None = None, part_id: int | Column | None = None) -> DataFrame:
+    """What decoding tells, a row an event: path, part_id, seq, phase, level, code, chunk_index, n.
+
+    n is the number of chunks (setup, offsets read), the part that a foreign
+    chunk names, the bytes after a chunk's last line, or the bytes read
+    (complete).  A part that can't be decoded has no complete event: header and
+    chunk heads tell that here, and the codes of lines where these are given.
+    """
+    kind = "struct<level:string,code:string,chunk_index:int,n:bigint>"
+    event = lambda level, code, chunk, n: F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), chunk.cast("int").alias("chunk_index"), n.cast("long").alias("n"))
+    none = F.lit(None)
+    rows = _scanned(structured, part_id)
+    size = lambda k: expected_size(F.col("channels"), F.col("w"), k["chunk_y"], G.lines_in_chunk(k["chunk_y"], F.col("w.y_max"), F.col("lines_per")))
+    foreign = lambda k: F.coalesce(k["own"] != F.col("part_id"), F.lit(False))
+    heads = F.transform("k", lambda k: F.struct(k["chunk_index"].alias("chunk_index"), k["own"].alias("own"), foreign(k).alias("foreign"), k["code"].alias("code"), k["data_size"].alias("data_size"), F.when(k["code"].isNull() & ~foreign(k) & (F.col("compression") == 0), k["data_size"] - size(k)).alias("trailing")))
+    rows = rows.select("path", "part_id", "n_chunks", "part_code", heads.alias("k"))
+    bad = F.exists("k", lambda k: ~k["foreign"] & k["code"].isNotNull())
+    if lines is not None:
+        failed = lines.filter("code IS NOT NULL").groupBy(F.col("path").alias("_path"), F.col("part_id").alias("_part")).agg(F.count("*").alias("failures"))
+        rows = rows.join(failed, (F.col("path") == F.col("_path")) & (F.col("part_id") == F.col("_part")), "left")
+        bad = bad | F.col("failures").isNotNull()
+    setup = F.when(F.col("part_code").isNull() | (F.col("part_code") == "MALFORMED_OFFSET_TABLE"), F.array(event("info", "decode.setup", none, F.col("n_chunks"))))
+    offsets = F.when(F.col("part_code").isNull(), F.array(event("info", "decode.offsets.read", none, F.col("n_chunks"))))
+    told = F.transform("k", lambda k: F.when(k["foreign"], event("warn", "decode.chunk.part_mismatch", k["chunk_index"], k["own"])).when(k["trailing"] > 0, event("warn", "decode.chunk.trailing_bytes", k["chunk_index"], k["trailing"])))
+    read = F.aggregate("k", F.lit(0).cast("long"), lambda a, k: a + F.when(k["foreign"], 0).otherwise(F.coalesce(k["data_size"], F.lit(0))))
+    complete = F.when(F.col("part_code").isNull() & ~F.coalesce(bad, F.lit(False)), F.array(event("info", "decode.complete", none, read)))
+    empty = F.array().cast(f"array<{kind}>")
+    all_ = F.concat(*(F.coalesce(e.cast(f"array<{kind}>"), empty) for e in (setup, offsets, F.filter(told, lambda e: e.isNotNull()), complete)))
+    return rows.select("path", "part_id", F.posexplode(all_).alias("seq", "e")).select("path", "part_id", "seq", F.lit("decode").alias("phase"), "e.level", "e.code", "e.chunk_index", "e.n")
+
+
+def log_entries(told: DataFrame) -> DataFrame:
+    """Events as entries of a log, with step, status and description beside their own columns."""
+    return told.withColumn("step", F.concat_ws(".", "phase", "code")).withColumn("status", status_of(F.col("level"))).withColumn("description", F.col("code"))
+
+
+def decoded_bytes(structured: DataFrame) -> DataFrame:
+    """(path, part_id, decoded_bytes): what the float32 planes of each part's channels take; of channels of one name the last counts."""
+    c = channels(structured).groupBy("path", "part_id", "name").agg(F.max_by(F.struct("sampled_width", "sampled_height"), "ordinal").alias("c"))
+    return c.groupBy("path", "part_id").agg(F.sum(F.lit(4).cast("long") * F.col("c.sampled_width") * F.col("c.sampled_height")).alias("decoded_bytes"))

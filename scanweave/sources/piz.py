@@ -57,23 +57,45 @@ def code_lengths(raw: bytes, least: int, most: int) -> tuple[dict[int, int], int
     return out, (bits.at + 7) // 8
 
 
-def canonical(lengths: dict[int, int]) -> dict[tuple[int, int], int]:
-    """Symbol of each (length, code): within a length codes rise with the symbol, and longer codes come first in value."""
-    count = np.bincount(list(lengths.values()), minlength=LONGEST + 1) if lengths else np.zeros(LONGEST + 1, int)
-    following, code = {}, 0
+#: Bits that the decode table looks at; longer codes are searched for by length.
+LOOK = 16
+
+
+def canonical(lengths: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, length, code) of every symbol with a code: within a length codes rise with the symbol, and longer codes come first in value."""
+    symbols = np.array(sorted(lengths), np.int64)
+    sizes = np.array([lengths[s] for s in symbols.tolist()], np.int64)
+    count = np.bincount(sizes, minlength=LONGEST + 1)
+    first, code = [0] * (LONGEST + 1), 0
     for n in range(LONGEST, 0, -1):
-        following[n] = code
+        first[n] = code
         code = (code + int(count[n])) >> 1
-    out = {}
-    for symbol in sorted(lengths):
-        n = lengths[symbol]
-        out[n, following[n]] = symbol
-        following[n] += 1
-    return out
+    codes = np.empty(len(symbols), np.int64)
+    for n in np.unique(sizes).tolist():
+        own = sizes == n
+        codes[own] = first[n] + np.arange(int(own.sum()))
+    return symbols, sizes, codes
+
+
+def _tables(symbols: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbol and length by the next LOOK bits; length 0 where the code is longer, or none."""
+    of, length = np.zeros(1 << LOOK, np.int64), np.zeros(1 << LOOK, np.int64)
+    short = sizes <= LOOK
+    room = LOOK - sizes[short]
+    if (codes[short] >> sizes[short]).any():
+        raise ValueError("codes overflow")
+    spread = np.repeat(codes[short] << room, 1 << room)
+    spread += np.arange(len(spread)) - np.repeat(np.cumsum(1 << room) - (1 << room), 1 << room)
+    of[spread], length[spread] = np.repeat(symbols[short], 1 << room), np.repeat(sizes[short], 1 << room)
+    return of, length
 
 
 def unhuffed(raw: bytes, n_words: int) -> np.ndarray:
-    """Words of a Huffman-coded block: a header of five 32-bit numbers, the table of lengths, the codes."""
+    """Words of a Huffman-coded block: a header of five 32-bit numbers, the table of lengths, the codes.
+
+    What stands at every bit, and where the next code would begin, is looked up
+    for all bits at once; only the hops from code to code come one by one.
+    """
     if len(raw) < 20:
         raise ValueError("codes are cut short")
     least, most, _, n_bits, _ = struct.unpack_from("<5I", raw)
@@ -83,37 +105,56 @@ def unhuffed(raw: bytes, n_words: int) -> np.ndarray:
     data = raw[20 + taken :]
     if n_bits > 8 * len(data):
         raise ValueError("codes are cut short")
-    known, shortest = canonical(lengths), min(lengths.values(), default=0)
-    out, filled, code, length = np.empty(n_words, np.uint16), 0, 0, 0
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), count=n_bits).tolist()
-    at = 0
-    while at < n_bits:
-        code, length, at = code << 1 | bits[at], length + 1, at + 1
-        if length < shortest:
-            continue
-        symbol = known.get((length, code))
-        if symbol is None:
-            if length > LONGEST:
-                raise ValueError("an unknown code")
-            continue
-        code = length = 0
-        if symbol == most:  # the greatest symbol repeats the word before
-            if not filled or at + 8 > n_bits:
-                raise ValueError("a run without a word")
-            run = int("".join(map(str, bits[at : at + 8])), 2)
-            at += 8
-            if filled + run > n_words:
-                raise ValueError("more words than the chunk has")
-            out[filled : filled + run] = out[filled - 1]
-            filled += run
-        else:
-            if filled == n_words:
-                raise ValueError("more words than the chunk has")
-            out[filled] = symbol
-            filled += 1
-    if filled != n_words:
-        raise ValueError(f"{filled} words instead of {n_words}")
-    return out
+    symbols, sizes, codes = canonical(lengths)
+    of, length = _tables(symbols, sizes, codes)
+    wide = np.frombuffer(data[: -(-n_bits // 8)] + bytes(8), np.uint8).astype(np.int64)
+    three = wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]
+    at = np.arange(n_bits)
+    window = three[at >> 3] >> (8 - (at & 7)) & 0xFFFF
+    symbol, size = of[window], length[window]
+    # the greatest symbol repeats the word before, as often as the next 8 bits say
+    repeats = (size > 0) & (symbol == most)
+    hops = np.where(size > 0, at + size + 8 * repeats, -1).tolist()
+    longer = {(int(n), int(c)): int(s) for s, n, c in zip(symbols[sizes > LOOK], sizes[sizes > LOOK], codes[sizes > LOOK], strict=True)}
+    found: list[int] = []
+    p = 0
+    while p < n_bits:
+        found.append(p)
+        q = hops[p]
+        if q < 0:
+            q = _long(longer, data, p, n_bits, symbol, size)
+            if symbol[p] == most:
+                q += 8
+                repeats[p] = True
+        p = q
+    spots = np.array(found, np.int64)
+    own, runs = symbol[spots], repeats[spots]
+    if p > n_bits:
+        raise ValueError("codes are cut short")
+    count = np.ones(len(spots), np.int64)
+    after = spots[runs] + size[spots[runs]]
+    count[runs] = (wide[after >> 3] << 8 | wide[(after >> 3) + 1]) >> (8 - (after & 7)) & 0xFF
+    if len(runs) and runs[0]:
+        raise ValueError("a run without a word")
+    if int(count.sum()) != n_words:
+        raise ValueError(f"{int(count.sum())} words instead of {n_words}")
+    # a run takes the last word that is no run itself
+    source = np.maximum.accumulate(np.where(runs, 0, np.arange(len(own))))
+    return np.repeat(own[source], count).astype(np.uint16)
+
+
+def _long(longer: dict[tuple[int, int], int], data: bytes, p: int, n_bits: int, symbol: np.ndarray, size: np.ndarray) -> int:
+    """The end of the code at bit p, which has more than LOOK bits; it is noted in symbol and size."""
+    bits = Bits(data)
+    for n in range(LOOK + 1, LONGEST + 1):
+        if p + n > n_bits:
+            break
+        bits.at = p
+        hit = longer.get((n, bits.take(n)))
+        if hit is not None:
+            symbol[p], size[p] = hit, n
+            return p + n
+    raise ValueError("an unknown code")
 
 
 def pair(low: np.ndarray, high: np.ndarray, narrow: bool) -> tuple[np.ndarray, np.ndarray]:

@@ -1,20 +1,25 @@
 """A sink: rows of scanlines to image files, as content of one row a file.
 
-Lines are encoded by the schemes that lose nothing or little (none, RLE, ZIPS,
-ZIP, PIZ, PXR24); flat B44 blocks too, for blocks of one value.
+Lines are encoded by all schemes of the format.  A chunk that does not get
+smaller is stored raw.  B44 blocks keep the finest step that 6 bits of
+difference allow; the transform scheme keeps all coefficients as halves.
 """
 
 from __future__ import annotations
 
+import heapq
 import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scanweave.sources import dwa
 from scanweave.sources.blocks import FLOAT, HALF, SCHEMES
-from scanweave.sources.header import MAGIC
+from scanweave.sources.header import MAGIC, MULTIPART
+from scanweave.sources.piz import canonical
 
 
 def _attribute(name: str, kind: str, raw: bytes) -> bytes:
@@ -36,14 +41,26 @@ def _predicted(raw: bytes) -> bytes:
 
 
 def _runs(raw: bytes) -> bytes:
-    """Each byte and its repeats, up to 128 at a time."""
-    out, at = bytearray(), 0
-    while at < len(raw):
-        n = 1
-        while n < 128 and at + n < len(raw) and raw[at + n] == raw[at]:
-            n += 1
-        out += bytes([n - 1, raw[at]])
-        at += n
+    """Three or more equal bytes are a run, up to 128 at a time; what stands between runs is literal, up to 127 at a time."""
+    b = np.frombuffer(raw, np.uint8)
+    edges = np.flatnonzero(np.diff(b.astype(int), prepend=-1, append=-1))
+    out, loose = bytearray(), bytearray()
+
+    def flush() -> None:
+        for at in range(0, len(loose), 127):
+            some = loose[at : at + 127]
+            out.extend(bytes([256 - len(some)]) + some)
+        loose.clear()
+
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        n = int(hi - lo)
+        if n < 3:
+            loose += raw[lo:hi]
+            continue
+        flush()
+        for left in range(n, 0, -128):
+            out += bytes([min(left, 128) - 1, raw[lo]])
+    flush()
     return bytes(out)
 
 
@@ -59,21 +76,87 @@ def _pxr24(lines: list[list[np.ndarray]], kinds: list[int]) -> bytes:
     return zlib.compress(out)
 
 
-def _b44_flat(lines: list[list[np.ndarray]], kinds: list[int]) -> bytes:
+def _b44(lines: list[list[np.ndarray]], kinds: list[int], flat: bool) -> bytes:
+    """4 x 4 blocks of halves; flat: blocks of one value take 3 bytes."""
     out = b""
+    # which value of a block each difference is taken from, in the order in which they are stored
+    steps = [(4, 0), (8, 4), (12, 8)] + [(x + y, x + y - 1) for x in (1, 2, 3) for y in (0, 4, 8, 12)]
     for c, kind in enumerate(kinds):
         plane = np.stack([line[c] for line in lines])
         if kind != HALF:
             out += plane.tobytes()
             continue
-        for y in range(0, plane.shape[0], 4):
-            for x in range(0, plane.shape[1], 4):
-                v = int(plane[y, x].view(np.uint16))
-                code = ~v & 0xFFFF if v & 0x8000 else v | 0x8000
-                out += struct.pack(">HB", code, 13 << 2)
+        bits = plane.view("<u2").astype(np.int64)
+        codes = np.where(bits & 0x8000, ~bits & 0xFFFF, bits | 0x8000)
+        codes = np.pad(codes, ((0, -codes.shape[0] % 4), (0, -codes.shape[1] % 4)), mode="edge")
+        blocks = codes.reshape(codes.shape[0] // 4, 4, -1, 4).transpose(0, 2, 1, 3).reshape(-1, 16)
+        for t in blocks:
+            if flat and (t == t[0]).all():
+                out += struct.pack(">HB", int(t[0]), 13 << 2)
+                continue
+            for shift in range(13):
+                q = np.clip(np.rint((t - t[0]) / (1 << shift)), -(t[0] >> shift), 0xFFFF - t[0] >> shift).astype(np.int64)
+                deltas = [int(q[b] - q[a]) + 32 for b, a in steps]
+                if all(0 <= d < 64 for d in deltas):
+                    break
+            else:
+                raise ValueError("a block's values lie too far apart")
+            packed = shift
+            for d in deltas:
+                packed = packed << 6 | d
+            out += struct.pack(">H", int(t[0])) + packed.to_bytes(12, "big")
     return out
 
 
+def _nonlinear(v: np.ndarray) -> np.ndarray:
+    a = np.abs(v)
+    return np.copysign(np.where(a <= 1, a ** (1 / 2.2), 1 + np.log(np.maximum(a, 1)) / np.log(dwa.BASE)), v)
+
+
+def _blocks_of(plane: np.ndarray) -> np.ndarray:
+    """8 x 8 blocks of a plane, its edges repeated."""
+    p = np.pad(plane, ((0, -plane.shape[0] % 8), (0, -plane.shape[1] % 8)), mode="edge")
+    return p.reshape(p.shape[0] // 8, 8, -1, 8).transpose(0, 2, 1, 3).reshape(-1, 8, 8)
+
+
+def _dwa(lines: list[list[np.ndarray]], kinds: list[int], names: list[str], version: int = 2, mode: int = dwa.DEFLATE) -> bytes:
+    """A chunk of the transform scheme, with the rules of version 1 by name."""
+    rules = dwa.rules_of_version_1()
+    schemes, triple = dwa.matched(names, kinds, rules)
+    planes = [np.stack([line[c] for line in lines]) for c in range(len(kinds))]
+    groups = [[triple[i] for i in range(3)]] if set(triple) == {0, 1, 2} else []
+    groups += [[i] for i, s in enumerate(schemes) if s == dwa.LOSSY and not (groups and i in groups[0])]
+    ac, dc = [], []
+    for group in groups:
+        values = [_nonlinear(planes[i].astype(float)) for i in group]
+        if len(values) == 3:  # luma and two chroma values from red, green and blue
+            back = np.linalg.inv(np.array([[1, 0, 1.5747], [1, -0.1873, -0.4682], [1, 1.8556, 0]]))
+            values = list(np.einsum("ij,jyx->iyx", back, np.stack(values)))
+        coded = np.stack([dwa.BASIS @ _blocks_of(v) @ dwa.BASIS.T for v in values], 1)
+        words = coded.reshape(-1, len(group), 64)[:, :, dwa.ZIGZAG].astype("<f2").view("<u2")
+        words = np.where(words >> 8 == 0xFF, 0, words)
+        dc.append(words[:, :, 0].T.ravel())
+        for block in words.reshape(-1, 64):
+            at, used = 1, np.flatnonzero(block[1:]) + 1
+            for p in used.tolist():
+                if p > at:
+                    ac.append(0xFF00 | p - at)
+                ac.append(int(block[p]))
+                at = p + 1
+            if at < 64:
+                ac.append(dwa.END_OF_BLOCK)
+    words = np.array(ac, "<u2")
+    coded_ac = (_huffed(words) if mode == dwa.HUFFMAN else zlib.compress(words.tobytes())) if len(words) else b""
+    firsts = np.concatenate(dc).astype("<u2") if dc else np.zeros(0, "<u2")
+    coded_dc = zlib.compress(_predicted(firsts.tobytes())) if len(firsts) else b""
+    raw = b"".join(np.ascontiguousarray(planes[i]).view(np.uint8).reshape(planes[i].size, -1).T.tobytes() for i, s in enumerate(schemes) if s == dwa.RUNS)
+    runs = _runs(raw)
+    coded_runs = zlib.compress(runs) if raw else b""
+    table = b"".join(n.encode() + bytes([0, int(fold) | s << 2 | csc + 1 << 4, kind]) for n, s, csc, kind, fold in rules)
+    head = struct.pack("<11q", version, 0, 0, len(coded_ac), len(coded_dc), len(coded_runs), len(runs) if raw else 0, len(raw), len(words), len(firsts), mode)
+    return head + (struct.pack("<H", len(table) + 2) + table if version == 2 else b"") + coded_ac + coded_dc + coded_runs
+
+
 def _waved(plane: np.ndarray, narrow: bool) -> np.ndarray:
     """The wavelet of a plane of words, from the finest step up."""
 
@@ -103,26 +186,50 @@ def _waved(plane: np.ndarray, narrow: bool) -> np.ndarray:
     return plane
 
 
+def _code_lengths(counts: dict[int, int]) -> dict[int, int]:
+    """Huffman's code lengths: the two rarest groups are joined, again and again."""
+    heap = [(n, s, [s]) for s, n in counts.items()]
+    heapq.heapify(heap)
+    out = dict.fromkeys(counts, 0 if len(heap) > 1 else 1)
+    while len(heap) > 1:
+        (n, _, a), (m, tie, b) = heapq.heappop(heap), heapq.heappop(heap)
+        for s in (*a, *b):
+            out[s] += 1
+        heapq.heappush(heap, (n + m, tie, a + b))
+    return out
+
+
+def _packed(bits: str) -> bytes:
+    n = -(-len(bits) // 8)
+    return int(bits.ljust(8 * n, "0") or "0", 2).to_bytes(n, "big")
+
+
 def _huffed(words: np.ndarray) -> bytes:
-    """Codes of one length for all words that occur; repeats as runs."""
-    used = np.unique(words).tolist()
-    least, most = used[0], used[-1] + 1
-    code = {s: i for i, s in enumerate([*used, most])}
-    n = max(1, (len(code) - 1).bit_length())
-    table, at = "", least
-    for s in code:
-        while s - at >= 6:
-            gap = min(s - at, 261)
-            table, at = table + f"{63:06b}{gap - 6:08b}", at + gap
-        table, at = table + "0" * 6 * (s - at) + f"{n:06b}", s + 1
-    bits, edges = [], np.flatnonzero(np.diff(words.astype(int), prepend=-1, append=-1))
-    for lo, hi in zip(edges, edges[1:], strict=False):
-        bits.append(f"{code[int(words[lo])]:0{n}b}")
-        for left in range(int(hi - lo) - 1, 0, -255):
-            bits.append(f"{code[most]:0{n}b}{min(left, 255):08b}")
-    packed = lambda s: int(s.ljust(-(-len(s) // 8) * 8, "0"), 2).to_bytes(-(-len(s) // 8), "big")
+    """Huffman codes of words; repeats of a word as runs."""
+    edges = np.flatnonzero(np.diff(words.astype(int), prepend=-1, append=-1))
+    heads, sizes = words[edges[:-1]].tolist(), np.diff(edges).tolist()
+    least, most = min(heads), max(heads) + 1
+    counts: dict[int, int] = {most: 1}
+    for s, n in zip(heads, sizes, strict=True):
+        counts[s] = counts.get(s, 0) + 1
+        counts[most] += -(-(n - 1) // 255)
+    lengths = _code_lengths(counts)
+    code = {s: f"{c:0{n}b}" for s, n, c in zip(*(a.tolist() for a in canonical(lengths)), strict=True)}
+    table, at = [], least
+    for s in sorted(lengths):
+        gap = s - at
+        while gap:
+            take = min(gap, 261)
+            table.append(f"{63:06b}{take - 6:08b}" if take >= 6 else f"{take + 57:06b}" if take > 1 else "0" * 6)
+            gap -= take
+        table.append(f"{lengths[s]:06b}")
+        at = s + 1
+    bits = []
+    for s, n in zip(heads, sizes, strict=True):
+        bits.append(code[s])
+        bits += [code[most] + f"{min(left, 255):08b}" for left in range(n - 1, 0, -255)]
     data = "".join(bits)
-    return struct.pack("<5I", least, most, 0, len(data), 0) + packed(table) + packed(data)
+    return struct.pack("<5I", least, most, 0, len(data), 0) + _packed("".join(table)) + _packed(data)
 
 
 def _piz(lines: list[list[np.ndarray]], kinds: list[int]) -> bytes:
@@ -144,17 +251,44 @@ def _piz(lines: list[list[np.ndarray]], kinds: list[int]) -> bytes:
     return struct.pack("<2H", least, most) + bitmap[least : most + 1].tobytes() + struct.pack("<I", len(codes)) + codes
 
 
-def encoded(planes: list[np.ndarray], kinds: list[int], names: list[str], compression: int, sampling: int = 1, size: tuple[int, int] | None = None, extra: bytes = b"") -> bytes:
+def coded(lines: list[list[np.ndarray]], kinds: list[int], names: list[str], compression: int, **options: int) -> bytes:
+    """The payload of one chunk: coded, or raw where that is not smaller."""
+    raw = b"".join(v.tobytes() for line in lines for v in line)
+    if not raw:
+        return raw
+    ways = {
+        1: lambda: _runs(_predicted(raw)),
+        2: lambda: zlib.compress(_predicted(raw)),
+        3: lambda: zlib.compress(_predicted(raw)),
+        4: lambda: _piz(lines, kinds),
+        5: lambda: _pxr24(lines, kinds),
+        6: lambda: _b44(lines, kinds, False),
+        7: lambda: _b44(lines, kinds, True),
+        8: lambda: _dwa(lines, kinds, names, **options),
+        9: lambda: _dwa(lines, kinds, names, **options),
+    }
+    small = ways.get(compression, lambda: raw)()
+    return small if len(small) < len(raw) else raw
+
+
+def encoded(planes: list[np.ndarray], kinds: list[int], names: list[str], compression: int, sampling: int = 1, size: tuple[int, int] | None = None, extra: bytes = b"", **options: int) -> bytes:
     """A file of one part; planes are rows of samples of their kind ('<f2', '<f4' or '<u4')."""
     height, width = size or planes[0].shape
     head = struct.pack("<II", MAGIC, 2) + header(width, height, compression, [(n, k, sampling, sampling) for n, k in zip(names, kinds, strict=True)], extra)
+    return _file(head, [_chunks(planes, kinds, names, compression, height, sampling, **options)], None)
+
+
+def _chunks(planes: list[np.ndarray], kinds: list[int], names: list[str], compression: int, height: int, sampling: int = 1, **options: int) -> list[tuple[int, bytes]]:
+    """(first line, payload) of each chunk."""
     per = SCHEMES[compression].lines if compression in SCHEMES else 1
-    blocks = []
-    for top in range(0, height, per):
-        lines = [[p[y // sampling] for p in planes] for y in range(top, min(top + per, height)) if y % sampling == 0]
-        raw = b"".join(v.tobytes() for line in lines for v in line)
-        small = {1: lambda: _runs(_predicted(raw)), 2: lambda: zlib.compress(_predicted(raw)), 3: lambda: zlib.compress(_predicted(raw)), 4: lambda: _piz(lines, kinds), 5: lambda: _pxr24(lines, kinds), 6: lambda: _b44_flat(lines, kinds), 7: lambda: _b44_flat(lines, kinds)}.get(compression, lambda: raw)() if raw else raw
-        blocks.append(struct.pack("<ii", top, len(small)) + small if len(small) < len(raw) else struct.pack("<ii", top, len(raw)) + raw)
+    each = lambda top: [[p[y // sampling] for p in planes] for y in range(top, min(top + per, height)) if y % sampling == 0]
+    return [(top, coded(each(top), kinds, names, compression, **options)) for top in range(0, height, per)]
+
+
+def _file(head: bytes, parts: list[list[tuple[int, bytes]]], numbers: list[int] | None) -> bytes:
+    """Header, offset tables and chunks; numbers: what the chunks of each part say that their part is (None: a file of one part)."""
+    mark = lambda i: b"" if numbers is None else struct.pack("<i", numbers[i])
+    blocks = [mark(i) + struct.pack("<ii", y, len(payload)) + payload for i, part in enumerate(parts) for y, payload in part]
     at, table = len(head) + 8 * len(blocks), b""
     for b in blocks:
         table += struct.pack("<Q", at)
@@ -162,13 +296,53 @@ def encoded(planes: list[np.ndarray], kinds: list[int], names: list[str], compre
     return head + table + b"".join(blocks)
 
 
+def multipart(parts: list[tuple[list[np.ndarray], list[int], list[str], int]], numbers: list[int] | None = None) -> bytes:
+    """A file of several parts (planes, kinds, names, compression); numbers: what their chunks say, if not 0, 1, 2 ..."""
+    head, own = struct.pack("<II", MAGIC, 2 | MULTIPART << 8), []
+    for i, (planes, kinds, names, compression) in enumerate(parts):
+        height, width = planes[0].shape
+        extra = _attribute("name", "string", f"part{i}".encode()) + _attribute("type", "string", b"scanlineimage")
+        head += header(width, height, compression, [(n, k, 1, 1) for n, k in zip(names, kinds, strict=True)], extra)
+        own.append(_chunks(planes, kinds, names, compression, height))
+    return _file(head + b"\0", own, numbers or list(range(len(parts))))
+
+
+FORMS = {HALF: "<f2", FLOAT: "<f4"}
+
+
+def image_files(images: DataFrame, key: str, channels: list[tuple[str, int, str]], width: int, compression: int, **options: int) -> DataFrame:
+    """(path, length, content): a file for each row; channels are (name, pixel type, column of row-major values)."""
+    names, kinds = [c[0] for c in channels], [c[1] for c in channels]
+
+    @F.pandas_udf("binary")
+    def write(rows: pd.DataFrame) -> pd.Series:
+        out = []
+        for row in rows.itertuples(index=False):
+            planes = [np.asarray(v).astype(FORMS.get(k, "<u4")).reshape(-1, width) for v, k in zip(row, kinds, strict=True)]
+            out.append(encoded(planes, kinds, names, compression, **options))
+        return pd.Series(out)
+
+    values = F.struct(*(F.col(c[2]).alias(f"c{i}") for i, c in enumerate(channels)))
+    out = images.select(F.concat(F.lit("image/"), F.col(key).cast("string"), F.lit(".exr")).alias("path"), write(values).alias("content"))
+    return out.select("path", F.length("content").cast("long").alias("length"), "content")
+
+
 def single_channel_files(images: DataFrame, key: str, values: str, width: int, kind: int, compression: int, name: str = "Y") -> DataFrame:
-    """(path, length, content): a file for each row, of one channel whose row-major values are an array."""
-    form = {HALF: "<f2", FLOAT: "<f4"}.get(kind, "<u4")
+    """A file for each row, of one channel whose row-major values are an array."""
+    return image_files(images, key, [(name, kind, values)], width, compression)
+
+
+def multipart_files(images: DataFrame, key: str, parts: list[tuple[str, int, str, int]], width: int, numbers: list[int] | None = None) -> DataFrame:
+    """A file of several parts for each row; parts are (channel, pixel type, column, compression)."""
 
     @F.pandas_udf("binary")
-    def write(rows):
-        return rows.map(lambda v: encoded([np.asarray(v).astype(form).reshape(-1, width)], [kind], [name], compression))
+    def write(rows: pd.DataFrame) -> pd.Series:
+        out = []
+        for row in rows.itertuples(index=False):
+            own = [([np.asarray(v).astype(FORMS.get(k, "<u4")).reshape(-1, width)], [k], [n], c) for v, (n, k, _, c) in zip(row, parts, strict=True)]
+            out.append(multipart(own, numbers))
+        return pd.Series(out)
 
+    values = F.struct(*(F.col(p[2]).alias(f"c{i}") for i, p in enumerate(parts)))
     out = images.select(F.concat(F.lit("image/"), F.col(key).cast("string"), F.lit(".exr")).alias("path"), write(values).alias("content"))
     return out.select("path", F.length("content").cast("long").alias("length"), "content")

@@ -57,6 +57,92 @@ def test_piz_gives_back_all_words(shape, distinct):
         B.decoded(B.SCHEMES[4], coded[: len(coded) // 2], len(raw), planes)
 
 
+def plane_of(kind, name, rows, width):
+    return B.Plane(kind, 0, width, tuple(range(rows)), name)
+
+
+@pytest.mark.parametrize("version", [1, 2])
+@pytest.mark.parametrize("mode", [0, 1])
+@pytest.mark.parametrize("shape", [(8, 8), (7, 5), (32, 19), (20, 33)])
+def test_transform_scheme(shape, version, mode):
+    """Colour triple, a channel by itself, and alpha as runs; lossy channels come back within their halves' rounding."""
+    y, x = np.mgrid[: shape[0], : shape[1]]
+    planes = [(x // 3 % 2).astype("<f4"), (0.1 + 0 * x).astype("<f2"), (1.5 + 0.05 * y).astype("<f4"), (0.3 + 0.02 * x + 0.01 * y).astype("<f2"), (2 + np.sin(x / 5)).astype("<f2")]
+    kinds, names = [2, 1, 2, 1, 1], ["A", "B", "G", "R", "depth.Y"]
+    lines = [[p[i] for p in planes] for i in range(shape[0])]
+    raw = b"".join(v.tobytes() for line in lines for v in line)
+    coded = writer._dwa(lines, kinds, names, version, mode)
+    own = [plane_of(k, n, *shape) for k, n in zip(kinds, names, strict=True)]
+    got, at = B.dwa(coded, len(raw), own), 0
+    assert len(got) == len(raw)
+    for i in range(shape[0]):
+        for p in planes:
+            v = np.frombuffer(got, p.dtype, shape[1], at)
+            at += v.nbytes
+            assert np.abs(v.astype(float) - p[i]).max() <= (0 if p is planes[0] else 0.004)
+    for bad in (coded[:50], coded[:-5], b"\3" + coded[1:]):
+        with pytest.raises(H.ExrError, match="DECOMPRESSION_FAILED"):
+            B.decoded(B.SCHEMES[8], bad, len(raw), own)
+    with pytest.raises(H.ExrError, match="scheme for channel"):
+        B.decoded(B.SCHEMES[8], writer._dwa([[p[3]] for p in lines], [1], ["R"], version, mode), 10**6, [plane_of(1, "Z", *shape)])
+    with pytest.raises(H.ExrError, match="subsampled"):
+        B.decoded(B.SCHEMES[8], coded, len(raw), [B.Plane(1, 0, 4, (0,), "R", False)])
+
+
+def test_steps_of_coefficients():
+    """A mark ends a block, a skip leaves zeros, and 63 coefficients end a block without a mark."""
+    from scanweave.sources import dwa
+
+    ac = np.array([5, 0xFF03, 6, 0xFF00, *range(1, 64), 0xFF3E, 9, 0xFF00], np.uint16)
+    got, at = dwa.coefficients(ac, 0, np.array([1, 2, 3, 4], np.uint16))
+    want = np.zeros((4, 64), int)
+    want[:, 0] = 1, 2, 3, 4
+    want[0, [1, 5]] = 5, 6
+    want[1, 1:] = range(1, 64)
+    want[2, 63] = 9
+    assert got.tolist() == want.tolist() and at == len(ac)
+    with pytest.raises(ValueError, match="cut short"):
+        dwa.coefficients(ac[:-1], 67, np.array([1, 2], np.uint16))
+
+
+def test_codes_longer_than_the_table():
+    """Lengths that grow by one: codes of more than 16 bits are searched for by length."""
+    from scanweave.sources import piz
+
+    n = 25
+    words = np.repeat(np.arange(n), [2**min(i, 14) for i in range(n)]).astype(np.uint16)
+    np.random.default_rng(1).shuffle(words)
+    assert piz.unhuffed(writer._huffed(words), len(words)).tolist() == words.tolist()
+    fib = [1, 1]
+    while len(fib) < 24:
+        fib.append(fib[-1] + fib[-2])
+    lengths = writer._code_lengths(dict(enumerate(fib)))
+    assert max(lengths.values()) > piz.LOOK
+    words = np.concatenate([np.repeat(np.arange(24), [min(f, 300) for f in fib])[::-1], [0, 1, 2]]).astype(np.uint16)
+    one = writer._code_lengths
+    try:
+        writer._code_lengths = lambda counts: one({s: fib[s] if s < 24 else 1 for s in counts})
+        assert piz.unhuffed(writer._huffed(words), len(words)).tolist() == words.tolist()
+    finally:
+        writer._code_lengths = one
+
+
+def test_lines_given_twice(spark):
+    """The later of two chunks of one line counts, also off the usual grid."""
+    good = bytearray(encoded([np.array([[1, 1], [2, 2], [3, 3]], "<f4")], [2], ["R"], 0))
+    at = len(good) - 3 * 16
+    good[at + 16 : at + 20] = (0).to_bytes(4, "little")  # the second chunk says that it is line 0
+    assert values(decode(spark, bytes(good))[1]) == {("R", 0): [2, 2], ("R", 2): [3, 3]}
+    s, lines = decode(spark, bytes(good))
+    assert {(r.x, r.y): r.value for r in exr.expanded_pixels(lines, s).collect()}[0, 1] == 0
+
+
+def test_long_headers_are_walked_whole(spark, monkeypatch):
+    monkeypatch.setattr(exr, "HEADER_BYTES", 40)
+    assert values(decode(spark, encoded([np.ones((1, 2), "<f4")], [2], ["R"], 3))[1]) == {("R", 0): [1, 1]}
+    assert codes(spark, b"abc") == {"BUFFER_TOO_SMALL"}
+
+
 @pytest.mark.parametrize(("scheme", "value"), [(6, 1.0), (7, 0.5)])
 def test_b44_flat_blocks(spark, scheme, value):
     h, f = np.full((6, 5), value, "<f2"), np.arange(30, dtype="<f4").reshape(6, 5)
