@@ -17,9 +17,16 @@ Targets share the size of all sources by weight; a target stops at ``most``
 times its source's size, and the rest is shared again by weight.  A block is
 drawn at most ``most`` times, so a document is too.
 
+Sources, targets and draws stay tables, whatever the number of sources: draws
+go to groups of GROUP sources first, and then to the sources of each group,
+which is the same distribution.
+
 Defined results: a null text has no words; a document without words is taken
-0 times; the null source is the last one; repeated rows are documents of
-their own; an empty table gives no rows.
+0 times; the null source is the last one; a very long text lies in many blocks;
+repeated rows are documents of their own, and ones that are alike may change
+places; an empty table gives no rows; other columns go along in one struct, so
+names can't clash.  A source smaller than a block misses its target by less
+than a block's words times ``most``.
 """
 
 from __future__ import annotations
@@ -28,10 +35,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from scanweave.llm.common import BLANK_CLASS, BLANKS, mix64, table, written
+from scanweave.llm.common import BLANK_CLASS, BLANKS, mix64, small_batches, table, written
+from scanweave.llm.textstats import Text
 
 BLOCK = 64
 MOST = 3
@@ -41,8 +51,8 @@ SEED = 20_261
 SHARD_SLOTS, MAX_SHARDS = 8192, 65_536
 #: Ranges into which each source's documents are dealt for running sums.
 DEALT = 4096
-#: The table of sources (a row each) goes to every task; more sources than this are refused.
-MAX_SOURCES = 100_000
+#: Sources of one group of a draw.
+GROUP = 4096
 
 
 def n_words(text: Column) -> Column:
@@ -51,17 +61,6 @@ def n_words(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, BLANK_CLASS + "+", -1))).cast("long")
 
 
-def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
-    """Shares of sum(sizes) by weight, none above most times its size: what is over is shared again by weight."""
-    total, out, free = float(sum(sizes)), [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0]
-    free.sort(key=lambda i: most * sizes[i] / weights[i])  # those that reach their bound first come first
-    left, weight = total, sum(weights[i] for i in free)
-    for i in free:
-        out[i] = min(float(most * sizes[i]), left * weights[i] / weight)
-        left, weight = left - out[i], weight - weights[i]
-    return out
-
-
 def permuted(n: np.ndarray, size: int, key: int) -> np.ndarray:
     """A keyed pseudorandom permutation of 0..size-1, applied to n: a Feistel network over the next even number of bits, walked until it falls below size."""
     if size <= 1:
@@ -78,127 +77,164 @@ def permuted(n: np.ndarray, size: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def _sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    return docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(key, text).alias("tie"))
-
-
-def sources(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, block: int = BLOCK) -> list[dict]:
-    """A row for each source, by code point with null last: no, source, size, target, blocks and the quota of slots."""
-    rows = sized.groupBy("source").agg(F.sum("size").alias("size")).orderBy(F.col("source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    each = targets([r["size"] for r in rows], [weights[i % len(weights)] for i in range(len(rows))], most)
-    out = []
-    for i, (r, target) in enumerate(zip(rows, each, strict=True)):
-        blocks = -(-r["size"] // block)
-        out.append({"no": i, "source": r["source"], "source_size": r["size"], "target": target, "blocks": blocks, "quota": min(int(most * blocks), round(target * blocks / r["size"])) if blocks else 0})
-    return out
-
+def sources(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, block: int = BLOCK) -> DataFrame:
+    """A row for each source, by code point with null last: no, source, source_size, target, blocks and the quota of slots.
 
-def shards(spark: SparkSession, known: list[dict], seed: int = SEED) -> DataFrame:
-    """(shard, no, first, slots): the slots of each source in each output shard, first being the number of the source's slots before."""
-    total = sum(s["quota"] for s in known)
+    Sources in the order in which they reach their bound get it, until one's
+    share of what is left, by weight, is less; the others get their shares.
+    The running sums go over one narrow row a source.
+    """
+    each = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    each = each.withColumn("no", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1).cast("long"))
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod("no", F.lit(len(weights))) + 1).cast("int"))
+    each = each.withColumn("w", F.when(F.col("source_size") > 0, weight).otherwise(0.0)).withColumn("bound", most * F.col("source_size").cast("double"))
+    first = Window.orderBy(F.when(F.col("w") > 0, F.col("bound") / F.col("w")).otherwise(-1.0), "no")
+    before = first.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = each.withColumn("left", F.sum("source_size").over(whole) - F.coalesce(F.sum("bound").over(before), F.lit(0.0)))
+    sums = sums.withColumn("w_left", F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
+    share = F.col("left") * F.col("w") / F.col("w_left")
+    # the first source that stays below its bound fixes the share of a unit of weight for itself and all after it
+    sums = sums.withColumn("unit", F.when((F.col("w") > 0) & (share < F.col("bound")), F.col("left") / F.col("w_left")))
+    sums = sums.withColumn("unit", F.first("unit", ignorenulls=True).over(first.rowsBetween(Window.unboundedPreceding, 0)))
+    out = sums.withColumn("target", F.when(F.col("w") == 0, 0.0).otherwise(F.least("bound", F.coalesce(F.col("unit") * F.col("w"), F.col("bound")))))
+    out = out.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
+    quota = F.least((most * F.col("blocks")).cast("long"), F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"))
+    return out.select("no", "source", "source_size", "target", "blocks", F.when(F.col("blocks") > 0, quota).otherwise(F.lit(0).cast("long")).alias("quota"))
+
+
+def shards(known: DataFrame, seed: int = SEED, group: int = GROUP) -> DataFrame:
+    """(shard, no, blocks, first, slots): the slots of each source in each output shard, first being the number of the source's slots before."""
+    spark = known.sparkSession
+    entries = F.sort_array(F.collect_list(F.struct("no", "quota", "blocks")))
+    groups = known.filter("quota > 0").groupBy(F.expr(f"no div {group}").alias("g")).agg(entries.alias("own"), F.sum("quota").alias("n"))
+    groups = written(groups, "groups")
+    sums = groups.select("g", "n").orderBy("g").toPandas()  # a row for each GROUP sources
+    total = int(sums["n"].sum())
     per = max(SHARD_SLOTS, -(-total // MAX_SHARDS))
     n = -(-total // per) if total else 0
-    quota = np.array([s["quota"] for s in known], np.int64)
-    share = quota / max(1, total)
+    gs, share = sums["g"].to_numpy(np.int64), sums["n"].to_numpy(float) / max(1, total)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard in batch["id"]:
                 drawn = np.random.default_rng([seed, int(shard)]).multinomial(min(per, total - int(shard) * per), share)
                 own = np.flatnonzero(drawn)
-                yield pd.DataFrame({"shard": int(shard), "no": own, "slots": drawn[own]})
+                yield pd.DataFrame({"shard": int(shard), "g": gs[own], "slots": drawn[own]})
 
-    drawn = spark.range(0, n, 1, max(1, min(n, 512))).mapInPandas(draw, "shard long, no int, slots long")
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for shard, g, slots, own in batch[["shard", "g", "slots", "own"]].itertuples(index=False):
+                no, quota, blocks = (np.array([x[k] for x in own]) for k in ("no", "quota", "blocks"))
+                drawn = np.random.default_rng([seed, int(shard), int(g), 1]).multinomial(slots, quota / quota.sum())
+                hit = np.flatnonzero(drawn)
+                yield pd.DataFrame({"shard": shard, "no": no[hit], "quota": quota[hit], "blocks": blocks[hit], "slots": drawn[hit]})
+
+    drawn = spark.range(0, n, 1, max(1, min(n, 512))).mapInPandas(draw, "shard long, g long, slots long")
+    dealt = drawn.join(groups.select("g", "own"), "g").select("shard", "g", "slots", "own").mapInPandas(deal, "shard long, no long, quota long, blocks long, slots long")
     by = Window.partitionBy("no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    quotas = F.broadcast(spark.createDataFrame([(s["no"], s["quota"]) for s in known], "no int, quota long"))  # at most MAX_SOURCES rows
-    kept = drawn.withColumn("first", F.coalesce(F.sum("slots").over(by), F.lit(0))).join(quotas, "no")
-    kept = kept.withColumn("slots", F.least("slots", F.col("quota") - F.col("first"))).filter("slots > 0")
-    got = kept.groupBy("no").agg(F.sum("slots").alias("got"))
-    short = quotas.join(got, "no", "left").select(F.lit(n).cast("long").alias("shard"), "no", F.coalesce("got", F.lit(0)).alias("first"), (F.col("quota") - F.coalesce("got", F.lit(0))).alias("slots"))
-    return kept.select("shard", "no", "first", "slots").unionByName(short.filter("slots > 0"))
+    dealt = written(dealt, "dealt")
+    kept = dealt.withColumn("first", F.coalesce(F.sum("slots").over(by), F.lit(0)))
+    kept = kept.withColumn("slots", F.least("slots", F.col("quota") - F.col("first"))).filter("slots > 0").select("shard", "no", "blocks", "first", "slots")
+    got = dealt.groupBy("no").agg(F.sum("slots").alias("got"))
+    short = known.join(got, "no", "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("quota > got")
+    return kept.unionByName(short.select(F.lit(n).cast("long").alias("shard"), "no", "blocks", F.col("got").alias("first"), (F.col("quota") - F.col("got")).alias("slots")))
 
 
-def slots(spark: SparkSession, known: list[dict], seed: int = SEED) -> DataFrame:
-    """(shard, no, slot, round, block): the block that each slot of the mix reads."""
-    blocks = {s["no"]: s["blocks"] for s in known}
+def slots(known: DataFrame, seed: int = SEED) -> DataFrame:
+    """The mix: (shard, no, slot, round, block), the block that each slot of each shard reads."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for shard, no, first, count in batch[["shard", "no", "first", "slots"]].itertuples(index=False):
+            for shard, no, blocks, first, count in batch[["shard", "no", "blocks", "first", "slots"]].itertuples(index=False):
                 for at in range(first, first + count, 65_536):
                     slot = np.arange(at, min(first + count, at + 65_536))
-                    round_, n = np.divmod(slot, blocks[no])
+                    round_, n = np.divmod(slot, blocks)
                     block = np.empty(len(slot), np.int64)
                     for r in np.unique(round_):
-                        block[round_ == r] = permuted(n[round_ == r], blocks[no], ((seed * 1_000_003 + no) * 64 + int(r)))
+                        block[round_ == r] = permuted(n[round_ == r], int(blocks), ((seed * 1_000_003 + int(no)) * 64 + int(r)))
                     yield pd.DataFrame({"shard": shard, "no": no, "slot": slot, "round": round_, "block": block})
 
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return shards(spark, known, seed).repartition(spread, "shard", "no").mapInPandas(read, "shard long, no int, slot long, round int, block long")
+    spread = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shards(known, seed).repartition(spread, "shard", "no").mapInPandas(read, "shard long, no long, slot long, round int, block long")
 
 
-def streams(sized: DataFrame, known: list[dict]) -> DataFrame:
+def streams(sized: DataFrame, known: DataFrame) -> DataFrame:
     """sized with no, source_size, target and begin: the number of its source's words before a document.
 
     Documents of a source stand in DEALT ranges by a hash, so the running sums
     of a source that holds most rows are spread over as many tasks.
     """
-    spark = sized.sparkSession
-    facts = F.broadcast(spark.createDataFrame([(s["no"], s["source"], s["source_size"], s["target"]) for s in known], "no int, known string, source_size long, target double"))  # at most MAX_SOURCES rows
-    dealt = sized.join(facts, F.col("source").cast("string").eqNullSafe(F.col("known"))).drop("known").withColumn("range", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(DEALT)))
+    facts = known.select("no", F.col("source").alias("known"), "source_size", "target")
+    dealt = sized.join(facts, F.col("source").eqNullSafe(F.col("known"))).drop("known").withColumn("range", F.pmod(F.xxhash64("doc_id", "tie", F.lit(SEED)), F.lit(DEALT)))
     before = lambda *by: Window.partitionBy("no", *by).rowsBetween(Window.unboundedPreceding, -1)
     ranges = dealt.groupBy("no", "range").agg(F.sum("size").alias("n"))
     ranges = ranges.select("no", "range", F.coalesce(F.sum("n").over(before().orderBy("range")), F.lit(0)).alias("base"))
-    inside = dealt.withColumn("begin", F.coalesce(F.sum("size").over(before("range").orderBy("doc_id", "size", "tie")), F.lit(0)))
+    inside = dealt.withColumn("begin", F.coalesce(F.sum("size").over(before("range").orderBy("doc_id", "size", "tie", "row_id")), F.lit(0)))
     return inside.join(ranges.hint("merge"), ["no", "range"]).withColumn("begin", F.col("begin") + F.col("base")).drop("base", "range", "tie")
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = SEED, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Every document with size, source_size, target, begin, and draws: the parts (from, words, times) of it in blocks that the mix reads."""
-    spark = docs.sparkSession
-    sized = written(_sized(docs, key, text, source), "sizes")  # the texts are read once
-    known = sources(sized, weights, most, block)
+def drawn_from(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """Rows (row_id, doc_id, source, size, tie) with size, source_size, target, begin, and draws: the parts (from, words, times) in blocks that the mix reads."""
+    known = written(sources(sized, weights, most, block), "sources")
     placed = streams(sized, known)
-    parts = placed.filter("size > 0").select("no", "begin", "size", F.explode(F.sequence(F.expr(f"begin div {block}"), F.expr(f"(begin + size - 1) div {block}"))).alias("block"))
-    times = slots(spark, known, seed).groupBy("no", "block").agg(F.count("*").cast("int").alias("times"))
-    # (no, begin) names a document that has words
+    parts = placed.filter("size > 0").select("row_id", "no", "begin", "size", F.explode(F.sequence(F.expr(f"begin div {block}"), F.expr(f"(begin + size - 1) div {block}"))).alias("block"))
+    times = slots(known, seed).groupBy("no", "block").agg(F.count("*").cast("int").alias("times"))
     first = F.greatest(F.col("begin"), F.col("block") * block)
-    drawn = parts.join(times, ["no", "block"]).select(F.col("no").alias("_no"), F.col("begin").alias("_begin"), F.struct((first - F.col("begin")).alias("from"), (F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - first).alias("words"), "times").alias("draw"))
-    drawn = drawn.groupBy("_no", "_begin").agg(F.sort_array(F.collect_list("draw")).alias("draws"))
-    hits = placed.join(drawn.hint("merge"), (F.col("no") == F.col("_no")) & (F.col("begin") == F.col("_begin")) & (F.col("size") > 0), "left")
-    return hits.select("doc_id", "size", "source_size", "target", "no", "begin", "draws")
+    # either side grows with the words, so neither is broadcast
+    drawn = parts.join(times.hint("merge"), ["no", "block"]).select("row_id", F.struct((first - F.col("begin")).alias("from"), (F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - first).alias("words"), "times").alias("draw"))
+    drawn = drawn.groupBy("row_id").agg(F.sort_array(F.collect_list("draw")).alias("draws"))
+    return placed.join(drawn.hint("merge"), "row_id", "left").select("row_id", "doc_id", "size", "source_size", "target", "no", "begin", "draws")
+
+
+def _sized(docs: DataFrame, key: str, text: str, source: str) -> list[Column]:
+    t = F.col(text)
+    return [F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(t).alias("size"), F.xxhash64(t).alias("tie")]
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """drawn_from for every document."""
+    # the texts are read once; a row's id is written with it, so it stays what it is
+    sized = written(docs.select(*_sized(docs, key, text, source)).withColumn("row_id", F.monotonically_increasing_id()), "sizes")
+    return drawn_from(sized, **options)
 
 
 def taken() -> Column:
     return F.coalesce(F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"] * d["times"]), F.lit(0).cast("long"))
 
 
-def mixed_texts(docs: DataFrame, **options) -> DataFrame:
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, cut) for rows (row, text, draws): a row for each round, with the words that it reads and the white space after them; a text read whole stays as it is."""
+    for batch in batches:
+        raws = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
+        t = Text(raws)
+        starts = t.starts - np.repeat(t.begins, t.n_words)
+        index, cuts = [], []
+        for i, draws in enumerate(batch.column(2).to_pylist()):
+            own = starts[t.first_word[i] : t.first_word[i] + t.n_words[i]].tolist() + [len(raws[i])]
+            for round_ in range(1, max(d["times"] for d in draws) + 1):
+                read = [(d["from"], d["from"] + d["words"]) for d in draws if d["times"] >= round_]
+                whole = sum(e - b for b, e in read) == len(own) - 1
+                cuts.append(raws[i] if whole else b"".join(raws[i][own[b] : own[e]] for b, e in read))
+                index.append(i)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), pa.array(cuts, pa.binary()).cast(pa.string())], names=["row", "cut"])
+
+
+def mixed_texts(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The mix as rows with the columns of docs: a row for each round that reads some of a document, its text cut to what is read.
 
     A document read whole once stays as it is; one read whole twice is there
     twice; one that is not read at all is gone.
     """
-    got = mixed(docs, **options).filter("draws IS NOT NULL").select(F.col("doc_id").alias("key"), "size", "no", "begin", "draws")
-    got = got.withColumn("tie", F.row_number().over(Window.partitionBy("key", "size").orderBy("no", "begin")))
+    small_batches(docs.sparkSession)
     # each row is one struct here, so that its columns can't clash with ours
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), n_words(F.col("text")).alias("n"))
-    own = own.withColumn("place", F.row_number().over(Window.partitionBy("id", "n").orderBy(F.col("row.source").asc_nulls_last(), F.xxhash64("row.text"))))
-    same = F.col("id").eqNullSafe(F.col("key")) & (F.col("n") == F.col("size")) & (F.col("place") == F.col("tie"))
-    both = own.join(got.hint("merge"), same)
-    rounds = both.withColumn("round", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("draws", lambda d: d["times"])))))
-    rounds = rounds.withColumn("read", F.filter("draws", lambda d: d["times"] >= F.col("round")))
-    whole = F.aggregate("read", F.lit(0).cast("long"), lambda a, d: a + d["words"]) == F.col("n")
-    # words with the white space after them; the first piece is white space alone where the text starts with it
-    pieces = F.split("row.text", f"(?<={BLANK_CLASS})(?=[^\\x20\\x09-\\x0D])", -1)
-    lead = F.when(F.col("row.text").rlike(f"^{BLANK_CLASS}"), 1).otherwise(0)
-    rounds = rounds.withColumn("whole", whole).withColumn("pieces", F.when(~F.col("whole"), pieces)).withColumn("lead", lead)
-    cut = F.array_join(F.flatten(F.transform("read", lambda d: F.slice("pieces", (d["from"] + 1 + F.col("lead")).cast("int"), d["words"].cast("int")))), "")
-    rounds = rounds.withColumn("cut", F.when(F.col("whole"), F.col("row.text")).otherwise(cut))
-    new = {"text": F.col("cut"), "n_chars": F.length("cut").cast("long")}
-    return rounds.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    kept = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("row")
+    base = written(docs.select(kept, F.col(text).alias("text"), *_sized(docs, "doc_id", text, "source")).withColumn("row_id", F.monotonically_increasing_id()), "documents", compression="zstd")
+    got = drawn_from(base.select("row_id", "doc_id", "source", "size", "tie"), **options).filter("draws IS NOT NULL").select("row_id", "draws")
+    both = base.select("row_id", "row", "text").join(got.hint("merge"), "row_id").select("row", "text", "draws")
+    cut = both.mapInArrow(_cut, StructType([StructField("row", base.schema["row"].dataType), StructField("cut", StringType())]))
+    new = {text: F.col("cut"), "n_chars": F.length("cut").cast("long")}
+    return cut.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

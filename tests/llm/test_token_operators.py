@@ -33,16 +33,50 @@ def test_encoder_is_the_whole_text_encoding(spark, sf_dir, odd, file):
             assert got.tolist() == plain.encode(t or "", add_special_tokens=False).ids, t
 
 
-def test_targets():
-    assert M.targets([100, 100, 100], [1, 2, 3]) == [50.0, 100.0, 150.0]
-    assert M.targets([10, 1000, 0], [3, 1, 2]) == [30.0, 980.0, 0.0]
-    for seed in range(20):
-        r = np.random.default_rng(seed)
-        sizes, weights = r.integers(0, 1000, 9).tolist(), r.integers(1, 4, 9).tolist()
-        got = M.targets(sizes, weights)
-        assert abs(sum(got) - sum(sizes)) < 1e-6 and all(g <= 3 * s + 1e-9 for g, s in zip(got, sizes, strict=True))
-        level = [g / w for g, s, w in zip(got, sizes, weights, strict=True) if g < 3 * s - 1e-6]
-        assert not level or max(level) - min(level) < 1e-6
+def plain_targets(sizes, weights, most=3):
+    """Shares by weight; whoever is above the bound gets the bound, and the rest is shared again, until none is above."""
+    out, free, left = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0], float(sum(sizes))
+    while free:
+        unit = left / sum(weights[i] for i in free)
+        over = [i for i in free if unit * weights[i] > most * sizes[i]]
+        for i in over or free:
+            out[i] = float(most * sizes[i]) if over else unit * weights[i]
+        if not over:
+            break
+        left -= sum(out[i] for i in over)
+        free = [i for i in free if i not in over]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets(spark, seed):
+    r = np.random.default_rng(seed)
+    sizes = [[100, 100, 100], [10, 1000, 0], r.integers(0, 1000, 9).tolist(), (r.pareto(0.7, 30) * 10).astype(int).tolist()][seed]
+    sized = spark.createDataFrame([(f"s{i:03d}" if i else None, s) for i, s in enumerate(sizes)], "source string, size long")
+    got = {r.source: r for r in M.sources(sized).collect()}
+    order = [*range(1, len(sizes)), 0]  # null comes last
+    want = plain_targets([sizes[i] for i in order], [M.WEIGHTS[k % 3] for k in range(len(order))])
+    for k, i in enumerate(order):
+        row = got[f"s{i:03d}" if i else None]
+        assert row.no == k and row.target == pytest.approx(want[k], rel=1e-9, abs=1e-9)
+        assert row.quota <= 3 * row.blocks and abs(row.quota - (want[k] * row.blocks / sizes[i] if sizes[i] else 0)) <= 0.5 + 1e-6
+
+
+def test_draws_by_groups_of_sources(spark):
+    """Small groups of sources: every source gets its quota of slots exactly."""
+    known = spark.createDataFrame([(i, f"s{i}", 640 * (i + 1), 1.0, 10 * (i + 1), 7 * i) for i in range(11)], "no long, source string, source_size long, target double, blocks long, quota long")
+    rows = M.shards(known, group=3).groupBy("no").agg(F.sum("slots").alias("n")).collect()
+    assert {r.no: r.n for r in rows} == {i: 7 * i for i in range(1, 11)}
+
+
+def test_rows_of_one_id_keep_their_own_draws(spark):
+    """Two texts of one id and size: what the mix has of each is what its draws say."""
+    a, b = (" ".join(f"{c}{i}" for i in range(300)) for c in "ab")
+    docs = spark.createDataFrame([(1, a, "x"), (1, b, "x"), (1, b, "y"), (None, a, None)], "doc_id long, text string, source string")
+    want = sum(r["taken"] for r in M.mixed(docs).select(M.taken().alias("taken")).collect())
+    texts = [r.text for r in M.mixed_texts(docs).collect()]
+    assert sum(len(t.split()) for t in texts) == want
+    assert all(len({w[0] for w in t.split()}) == 1 for t in texts)
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 17, 1000, 4097])
