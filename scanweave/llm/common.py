@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made where the session names none (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.  Where it is unset, one is made if all run on one machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='scanweave-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -40,11 +42,25 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
 
 
+#: Folders that this process has written.
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the folders that operators of this session have written, once their results are read or written; how many there were."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts the lineage and survives lost executors."""
+    """Write df as Parquet into the shared folder and read it again: cuts the lineage and survives lost executors.  release() removes it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -36,10 +36,14 @@ The banding misses a pair at the very limit of similarity with a probability
 of about 1e-7 at 0.85 and 7e-5 at 0.8 (BANDS bands of ROWS registers).
 
 Defined results: null, empty and blank texts have no shingles and are linked
-with nothing; a text of fewer than k words is one shingle; equal word
-sequences are copies, whatever their white space and case (A-Z); rows without
-an id are left out; repeated rows with one id are one document (its texts
-should be equal; otherwise the greatest counts); an empty table gives no rows.
+with nothing; a text of fewer than k words is one shingle; a very long text is
+sketched and verified as a whole; equal word sequences are copies, whatever
+their white space and case (A-Z); rows without an id have their number of
+shingles and no component, as there is no name to link (deduplicated() names
+rows itself, so there they count like others); repeated rows with one id are
+one document (its texts should be equal; otherwise the greatest counts); an
+empty table gives no rows; no column but id and text is read, and other columns
+go along in one struct, so names can't clash.
 """
 
 from __future__ import annotations
@@ -132,7 +136,7 @@ def _sketcher(k: int):
 
 def sketched(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """SKETCH of every document: number of shingles, a digest of its word sequence, and its registers."""
-    return docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_sketcher(k), SKETCH)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_sketcher(k), SKETCH)
 
 
 def _buckets(regs: list[bytes]) -> np.ndarray:
@@ -391,7 +395,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     spark = docs.sparkSession
     small_batches(spark)
     spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sketches = written(sketched(docs, k, key, text), "sketches")
+    all_ = written(sketched(docs, k, key, text), "sketches")
+    sketches = all_.filter("doc_id IS NOT NULL")
     firsts = sketches.filter("n > 0").groupBy("words").agg(F.min("doc_id").alias("rep"))
     chosen = sketches.join(firsts.select(F.col("words").alias("_w"), F.col("rep").alias("doc_id")), "doc_id", "left_semi").filter("n > 0")
     reps = written(chosen.groupBy("doc_id").agg(F.max(F.struct("n", "registers")).alias("r")).select("doc_id", "r.n", "r.registers"), "representatives")
@@ -438,15 +443,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     by_rep = firsts.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("words").alias("_words"), F.coalesce("root", "rep").alias("root"))
     own = sketches.groupBy("doc_id").agg(F.max(F.struct("n", "words")).alias("s")).select("doc_id", F.col("s.n").alias("n_shingles"), F.col("s.words").alias("words"))
     found = own.join(by_rep, (F.col("words") == F.col("_words")) & (F.col("n_shingles") > 0), "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    unnamed = all_.filter("doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return found.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")).unionByName(unnamed)
 
 
-def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near duplicates, the one of least id; rows without an id stay."""
-    groups = near_duplicates(docs, k, percent).filter("doc_id != component_id").select("doc_id")
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each group of near duplicates: the one of least id, rows without an id last.
+
+    Rows get names of their own first, so rows that share an id, or have none,
+    are compared like others.
+    """
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("row")
+    base = written(docs.select(F.monotonically_increasing_id().alias("name"), F.col(text).alias("text"), F.col(key).alias("id"), others), "named", compression="zstd")
+    groups = near_duplicates(base, k, percent, key="name")
+    grouped = groups.join(base.select(F.col("name").alias("doc_id"), "id"), "doc_id")
+    kept = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "doc_id")).alias("best")).select(F.col("best.doc_id").alias("name"))
+    return base.join(kept, "name", "left_semi").select(*(F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
-    return rows.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
