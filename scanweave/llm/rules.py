@@ -15,27 +15,34 @@ bad texts that the last one rejects.  A stratum with fewer good labels than
 ``least_labels`` (144 of four strata) can have no cutoff, and its texts are
 kept.
 
-Defined results: a null text has no words; a null stratum is a stratum of its
-own; labels of texts that are not there are ignored; an empty table gives no
-rows; repeated rows get a verdict each.
+The labelled texts are used for nothing but the cutoffs: which rules there are,
+their cutoffs and their sequence are fixed beforehand, so all labels are the
+holdout.
+
+Defined results: a null text has no words; a very long text is counted as a
+whole; a value equal to a cutoff is kept; a null stratum is a stratum of its
+own; of several labels of one id the least counts; labels of texts that are not
+there are ignored; an empty table gives no rows; repeated rows get a verdict
+each; other columns go along in one struct, so names can't clash.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from scanweave.llm.common import small_batches, table, written
-from scanweave.llm.textstats import COUNTS, COUNTS_SCHEMA, add_counts, with_counts
+from scanweave.llm.textstats import COUNTS, add_counts, with_counts
 
 RISK = 0.03
 LEVEL = 0.05
 ENOUGH = 0.98
-#: Strata beyond these many are refused: their cutoffs are broadcast.
-MAX_STRATA = 10_000
 MIN_WORDS, MOST_REPEATED = 50, 50
 
 
@@ -106,29 +113,36 @@ def counted(docs: DataFrame, text: str = "text", keep: bool = False) -> DataFram
     small_batches(docs.sparkSession)
     own = [f for f in docs.schema.fields if f.name != text and f.name not in COUNTS]
     read = docs.select(F.col(text), *(F.col(f"`{f.name}`") for f in own))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[0 if keep else 1 :]), COUNTS_SCHEMA])
+    schema = StructType([*read.schema.fields[0 if keep else 1 :], *(StructField(c, LongType()) for c in COUNTS)])
     return read.mapInArrow(with_counts if keep else add_counts, schema)
 
 
-def cutoffs(labelled: DataFrame, stratum: str = "lang", label: str = "quality", risk: float = RISK, level: float = LEVEL) -> dict[str | None, dict[str, float]]:
-    """Certified cutoffs of each stratum, from labelled rows with COUNTS: one aggregation, whose result is small."""
+def cutoffs(labelled: DataFrame, stratum: str = "lang", label: str = "quality", risk: float = RISK, level: float = LEVEL) -> DataFrame:
+    """(limit_of, good, false, max_<rule> ...) of each stratum with a certificate, from labelled rows with COUNTS: its good texts, how many of them the cutoffs reject, and the cutoffs (null: none).
+
+    Labelled rows are counted by step first, so what is certified is a row a
+    stratum, in tasks by stratum; any number of strata will do.
+    """
     own, sequence = rules(), steps()
     # the first step that rejects a text: from there on it is rejected
     first = F.least(*(F.when(own[name][0] > own[name][1][i], t).otherwise(len(sequence)) for t, (name, i) in enumerate(sequence)))
-    tests = [F.sum((first <= t).cast("long")).alias(f"step_{t}") for t in range(len(sequence))]
-    rows = labelled.groupBy(F.col(stratum).alias("stratum"), (F.col(label) == 1).alias("good")).agg(F.count("*").alias("n"), *tests).limit(2 * MAX_STRATA + 1).collect()
-    if len(rows) > 2 * MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata")
-    by = {(r["stratum"], r["good"]): r for r in rows}
-    strata = {s for s, _ in by}
-    out: dict[str | None, dict[str, float]] = {}
-    for s in strata:
-        good, bad = by.get((s, True)), by.get((s, False))
-        false, caught = (np.array([r[f"step_{t}"] if r else 0 for t in range(len(sequence))], np.int64) for r in (good, bad))
-        last = certified(good["n"] if good else 0, false, caught, risk, level / len(strata))
-        if last is not None:
-            out[s] = {name: own[name][1][i] for name, i in sequence[: last + 1]}
-    return out
+    good = F.col(label) == 1
+    tests = [F.array(*(F.sum((kind & (first <= t)).cast("long")) for t in range(len(sequence)))).alias(n) for n, kind in (("false", good), ("caught", ~good))]
+    rows = written(labelled.groupBy(F.col(stratum).cast("string").alias("stratum")).agg(F.sum(good.cast("long")).alias("good"), *tests), "steps")
+    strata = max(1, rows.count())
+    values = {name: cuts for name, (_, cuts) in own.items()}
+
+    def certify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for s, n, false, caught in batch[["stratum", "good", "false", "caught"]].itertuples(index=False):
+                last = certified(int(n or 0), np.asarray(false), np.asarray(caught), risk, level / strata)
+                if last is not None:
+                    held = {name: values[name][i] for name, i in sequence[: last + 1]}
+                    out.append((s, int(n), int(false[last]), *(held.get(name) for name in values)))
+            yield pd.DataFrame(out, columns=["limit_of", "good", "false", *(f"max_{n}" for n in values)]).astype({f"max_{n}": float for n in values})
+
+    return rows.mapInPandas(certify, "limit_of string, good long, false long, " + ", ".join(f"max_{n} double" for n in values))
 
 
 def least_labels(strata: int, risk: float = RISK, level: float = LEVEL) -> int:
@@ -140,13 +154,13 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
-def _limited(seen: DataFrame, known: dict[str | None, dict[str, float]]) -> DataFrame:
+def _limited(seen: DataFrame, known: DataFrame) -> DataFrame:
     """seen (with stratum and COUNTS) with base_failed and kept."""
-    rows = [(s, *(cuts.get(name) for name in rules())) for s, cuts in known.items()]
-    limits = F.broadcast(seen.sparkSession.createDataFrame(rows, "limit_of string, " + ", ".join(f"max_{n} double" for n in rules())))  # at most MAX_STRATA rows
+    limits = known.drop("good", "false")
     bad = F.lit(False)
     for name, (value, _) in rules().items():
-        bad = bad | F.coalesce(value > F.col(f"max_{name}"), F.lit(False))
+        # a cutoff that isn't there rejects nothing
+        bad = bad | F.coalesce(value > F.nanvl(F.col(f"max_{name}"), F.lit(float("inf"))), F.lit(False))
     with_limits = seen.join(limits, F.col("stratum").cast("string").eqNullSafe(F.col("limit_of")), "left")
     return with_limits.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & ~bad)
 

@@ -196,4 +196,7 @@ def test_union_of_rejections_is_what_is_certified(spark):
             states.append((caught, now))
         if states and states[-1][0]:
             want[s] = next(state for caught, state in states if caught >= R.ENOUGH * states[-1][0])
-    assert want and R.cutoffs(R.counted(docs)) == want
+    got = {r.limit_of: r for r in R.cutoffs(R.counted(docs)).collect()}
+    assert want and {s: {n: r[f"max_{n}"] for n in R.rules() if r[f"max_{n}"] is not None and not math.isnan(r[f"max_{n}"])} for s, r in got.items()} == want
+    for r in got.values():  # the bound, by plain sums of binomial terms
+        assert sum(math.comb(r.good, i) * R.RISK**i * (1 - R.RISK) ** (r.good - i) for i in range(r.false + 1)) <= R.LEVEL / 2
