@@ -9,10 +9,12 @@ All of it is DataFrame work.  Spark has no function for the places of all
 matches, so they come from lengths: ``split`` gives the text between matches,
 ``regexp_extract_all`` the matches, and running sums of both give each start.
 
-Defined results: a null content is an empty blob; a null path is a path like
-any other; repeated rows each get their blob's findings; an empty table gives
-no rows; columns of the input beside path and content are not read, so their
-names can't clash.
+Defined results: a null content is an empty blob, and an empty one has no
+findings; a very long one is scanned as a whole; spans of one start come in the
+order of their kinds; a null path is a path like any other; repeated rows each
+get their blob's findings; a ledger with repeated rows counts once; an empty
+table gives no rows; columns of the input beside path and content are not read,
+or go along in one struct, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -107,7 +109,8 @@ def scan_unseen(versions: DataFrame, path: str = "path", content: str = "content
 
 def findings(versions: DataFrame, ledger: DataFrame, path: str = "path", content: str = "content", rule_version: str = RULE_VERSION) -> DataFrame:
     """(path, blob, spans) of every version, from a ledger that covers all blobs."""
-    known = ledger.filter(F.col("rule_version") == rule_version).select("blob", "spans")
+    # a run that was repeated may have appended its rows twice; rows of one pair are equal
+    known = ledger.filter(F.col("rule_version") == rule_version).groupBy("blob").agg(F.first("spans").alias("spans"))
     return blobs(versions, path, content).join(known, "blob", "left").select("path", "blob", "spans")
 
 
@@ -128,17 +131,20 @@ def redact(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "
 
     spans: rows (path, blob, spans) as findings() returns them.
     """
-    known = spans.filter(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_blob"])
-    t = F.col(text)
+    known = spans.filter(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
+    t = F.col("text")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     built = F.aggregate(
-        "_spans",
+        "spans",
         start,
         lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(F.struct(s["end"].alias("at"), F.when((s["start"] <= a["at"]) & (a["at"] > 0), a["out"]).otherwise(F.concat(a["out"], t.substr((a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark))).alias("out"))),
         lambda a: F.concat(a["out"], t.substr((a["at"] + 1).cast("int"), F.length(t))),
     )
-    with_blob = docs.withColumn("_blob", F.sha2(F.coalesce(t, F.lit("")).cast("binary"), 256))
-    return with_blob.join(known, "_blob", "left").withColumn(text, F.when(F.col("_spans").isNotNull(), built).otherwise(t)).select(*docs.columns)
+    # other columns go along in one struct, so their names can't clash with ours
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("row")
+    rows = docs.select(F.col(text).alias("text"), others, F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("blob")).join(known, "blob", "left")
+    rows = rows.withColumn("text", F.when(F.col("spans").isNotNull(), built).otherwise(t))
+    return rows.select(*(F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def _written(spans: Column) -> Column:
