@@ -126,20 +126,26 @@ def cutoffs(labelled: DataFrame, stratum: str = "lang", label: str = "quality",
     own, sequence = rules(), steps()
     # the first step that rejects a text: from there on it is rejected
     first = F.least(*(F.when(own[name][0] > own[name][1][i], t).otherwise(len(sequence)) for t, (name, i) in enumerate(sequence)))
-    good = F.col(label) == 1
-    tests = [F.array(*(F.sum((kind & (first <= t)).cast("long")) for t in range(len(sequence)))).alias(n) for n, kind in (("false", good), ("caught", ~good))]
-    rows = written(labelled.groupBy(F.col(stratum).cast("string").alias("stratum")).agg(F.sum(good.cast("long")).alias("good"), *tests), "steps")
+    each = labelled.select(F.col(stratum).cast("string").alias("stratum"), (F.col(label) == 1).alias("good"), first.alias("first"))
+    counts = each.groupBy("stratum", "good", "first").agg(F.count("*").alias("n"))
+    # at most two entries a step
+    rows = written(counts.groupBy("stratum").agg(F.collect_list(F.struct("good", "first", "n")).alias("steps")), "steps")
     strata = max(1, rows.count())
     values = {name: cuts for name, (_, cuts) in own.items()}
 
     def certify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for s, n, false, caught in batch[["stratum", "good", "false", "caught"]].itertuples(index=False):
-                last = certified(int(n or 0), np.asarray(false), np.asarray(caught), risk, level / strata)
+            for s, found in batch[["stratum", "steps"]].itertuples(index=False):
+                by = np.zeros((2, len(sequence) + 1), np.int64)
+                for x in found:
+                    by[int(x["good"]), x["first"]] += x["n"]
+                caught, false = by.cumsum(1)[:, :-1]
+                n = int(by[1].sum())
+                last = certified(n, false, caught, risk, level / strata)
                 if last is not None:
                     held = {name: values[name][i] for name, i in sequence[: last + 1]}
-                    out.append((s, int(n), int(false[last]), *(held.get(name) for name in values)))
+                    out.append((s, n, int(false[last]), *(held.get(name) for name in values)))
             yield pd.DataFrame(out, columns=["limit_of", "good", "false", *(f"max_{n}" for n in values)]).astype({f"max_{n}": float for n in values})
 
     return rows.mapInPandas(certify, "limit_of string, good long, false long, " + ", ".join(f"max_{n} double" for n in values))

@@ -219,6 +219,60 @@ def test_topk_in_small_buckets(spark):
     assert K.search(df.filter("vec_id < 0"), F.col("id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("size", [5.0e6, 3.0e12, 1.0e300])
+def test_topk_of_large_components(spark, size):
+    """Large finite components take part: products beyond doubles, and beyond 64 bits, where scores stop at their ends."""
+    r = np.random.default_rng(3)
+    v = r.standard_normal((120, 4)) * np.where(np.arange(120)[:, None] % 7 == 0, size, 1.0)
+    df = spark.createDataFrame([(i, [float(x) for x in e]) for i, e in enumerate(v)], "vec_id long, embedding array<double>")
+    got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in K.search(df, F.col("id") % 10 == 0, bucket=16, block=4, rows=2, columns=3).collect())
+    top = lambda x: max(-(2**63), min(2**63 - 1, x))
+    whole = [[top(int(np.floor(256 * x))) for x in e] for e in v]
+    want = []
+    for q in range(0, 120, 10):
+        scores = sorted((-top(sum(a * b for a, b in zip(whole[q], whole[i], strict=True))), i) for i in range(120) if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    assert got == want
+
+
+def test_queries_on_documents(spark, sf_dir):
+    """op4, op5 and op6 against the plain tokenizer and plain best-fit decreasing, on all documents."""
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    ids = {f: dict(zip([d for d, _ in docs], [e.ids + [0] for e in Tokenizer.from_file(f).encode_batch_fast([t or "" for _, t in docs], add_special_tokens=False)], strict=True)) for f in (WORD, BYTE)}
+    assert sorted((r.doc_id, r.n_tokens) for r in T.op4_token_counts(spark, sf_dir).collect()) == [(d, len(ids[BYTE][d])) for d, _ in docs]
+    at, want = 0, []
+    for d, _ in docs:
+        want.append((d, at, len(ids[BYTE][d]), crc(ids[BYTE][d])))
+        at += len(ids[BYTE][d])
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in W.op6_wavelet(spark, sf_dir).collect()) == want
+    pieces = P.op5_best_fit(spark, sf_dir).collect()
+    cut = [(d, i, s, len(x[s : s + 2048]), crc(x[s : s + 2048])) for d, x in ids[WORD].items() for i, s in enumerate(range(0, len(x), 2048))]
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in pieces) == sorted(cut)
+    assert len({r.sequence_id for r in pieces}) == brute_fit([c[3] for c in cut], 2048)
+    ends = {}
+    for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 2048
+
+
+def test_flat_files_are_read_as_blocks(spark, tmp_path):
+    ids = np.concatenate([np.append(np.arange(1, n), 0) for n in (5, 1, 40, 3)]).astype("<u2")
+    (tmp_path / "a.bin").write_bytes(ids.tobytes())
+    (tmp_path / "empty.bin").write_bytes(b"")
+    blocks = T.read_flat(spark, f"file://{tmp_path}", 2, block_ids=7)
+    assert blocks.count() == 7
+    assert [r.n_tokens for r in T.token_counts(blocks, 0).orderBy("doc_no").collect()] == [5, 1, 40, 3]
+
+
+def test_any_id_is_an_id(spark):
+    rows = [(-1, "a b"), (None, "c"), (-(2**63), "d"), (2**63 - 1, "e"), (0, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = W.decode_shards(W.written(W.encode_shards(docs, BYTE), "t")).orderBy("part", "shard", "begin").collect()
+    assert [r.doc_id for r in got] == [None, -(2**63), -1, 0, 2**63 - 1]
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
     from scanweave.llm.common import written
