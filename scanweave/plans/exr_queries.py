@@ -119,13 +119,13 @@ def _all_channels(files: DataFrame) -> DataFrame:
 
 
 #: Schemes that lose nothing of these values (PXR24 keeps their upper 24 bits, which is all of them).
-_WHOLE = (("rle", 1), ("zips", 2), ("zip", 3), ("piz", 4), ("pxr24", 5))
+_WHOLE = (("rle", 1), ("zips", 2), ("zip", 3), ("pxr24", 5))
 for _name, _number in _WHOLE:
     query(_CODED, f"exr_coded_{_name}")(lambda spark, sf_dir, n=_number: _all_channels(_coded_files(spark, sf_dir, n)))
 
 
 def _lossy_files(spark: SparkSession, sf_dir: str, compression: int) -> DataFrame:
-    """For the schemes of 4 x 4 and 8 x 8 blocks: halves whose neighbours are less than 32 steps apart, and flat ones."""
+    """For the schemes of 4 x 4 blocks and of wavelets: halves whose neighbours are less than 32 steps apart, and flat ones."""
     i = F.sequence(F.lit(0), F.lit(WIDTH * HEIGHT - 1))
     x, y, k = lambda i: F.pmod(i, F.lit(WIDTH)), lambda i: F.floor(i / WIDTH), F.col(_K)
     step = F.transform(i, lambda p: (1 + (F.pmod(x(p), F.lit(4)) * 2 + F.pmod(y(p), F.lit(4)) * 5 + F.pmod(k, F.lit(7))) / 1024).cast("double"))
@@ -134,7 +134,7 @@ def _lossy_files(spark: SparkSession, sf_dir: str, compression: int) -> DataFram
 
 
 _BLOCKS = f"WITH {_GRID} SELECT 'image/' || s_suppkey || '.exr' AS path, c.channel, x, y, (CASE c.channel WHEN 'G' THEN s_suppkey % 50 ELSE 1 + (x % 4 * 2 + y % 4 * 5 + s_suppkey % 7) / 1024.0 END)::DOUBLE AS v FROM px, (VALUES ('G'), ('H')) AS c(channel)"
-for _name, _number in (("b44", 6), ("b44a", 7)):
+for _name, _number in (("piz", 4), ("b44", 6), ("b44a", 7)):
     query(_BLOCKS, f"exr_coded_{_name}")(lambda spark, sf_dir, n=_number: _all_channels(_lossy_files(spark, sf_dir, n)))
 
 
@@ -175,15 +175,15 @@ for _name, _how in _TRANSFORMS.items():
 
 
 @query(
-    f"SELECT scheme, (SELECT count(*) FROM supplier) * ceil({HEIGHT} / lines)::BIGINT AS chunks, (SELECT count(*) FROM supplier) * raw AS raw FROM (VALUES ('RLE', 1.0, 0), ('ZIPS', 1.0, 0), ('ZIP', 16.0, 0), ('PIZ', 32.0, 1), ('PXR24', 16.0, 0), ('B44', 32.0, 1), ('B44A', 32.0, 1), ('DWAA', 32.0, 1), ('DWAB', 256.0, 0)) AS s(scheme, lines, raw)"
-    " UNION ALL SELECT 'PIZ wide', 5, 0"
+    f"SELECT scheme, (SELECT count(*) FROM supplier) * n AS chunks, 0::BIGINT AS raw FROM (VALUES ('RLE', {HEIGHT}), ('ZIPS', {HEIGHT}), ('ZIP', 2), ('PIZ', 1), ('PXR24', 2), ('B44', 1), ('B44A', 1), ('DWAA', 1), ('DWAB', 1)) AS s(scheme, n) UNION ALL SELECT 'PIZ wide', 5, 0"
 )
 def exr_coded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of these files, and how many of them are stored raw: only chunks of one line, where a scheme of 32 lines has no gain; all others go through their scheme."""
+    """Chunks of these files, and how many of them are stored raw: none, but for the last chunk of one line that schemes of more lines leave over, which is left out."""
     ramp = F.transform(F.sequence(F.lit(0), F.lit(20479)), lambda i: half_value(i))
-    made = {n.upper(): _coded_files(spark, sf_dir, c) for n, c in _WHOLE} | {n: _lossy_files(spark, sf_dir, c) for n, c in (("B44", 6), ("B44A", 7))} | {n: _colour_files(spark, sf_dir, c, 2, 1) for n, c in (("DWAA", 8), ("DWAB", 9))}
+    made = {n.upper(): _coded_files(spark, sf_dir, c) for n, c in _WHOLE} | {n: _lossy_files(spark, sf_dir, c) for n, c in (("PIZ", 4), ("B44", 6), ("B44A", 7))} | {n: _colour_files(spark, sf_dir, c, 2, 1) for n, c in (("DWAA", 8), ("DWAB", 9))}
     made["PIZ wide"] = image_files(table(spark, sf_dir, "region").select("r_regionkey", ramp.alias("h")), "r_regionkey", [("H", HALF, "h")], 640, 4)
-    each = [exr.chunks(exr.structure(f)).groupBy(F.lit(n).alias("scheme")).agg(F.count("*").alias("chunks"), F.count_if(~F.coalesce(~F.col("is_raw") & F.col("code").isNull(), F.lit(False))).alias("raw")) for n, f in made.items()]
+    whole = (F.col("lines") > 1) | (exr.lines_per_chunk(F.col("compression")) == 1)
+    each = [exr.chunks(exr.structure(f)).filter(whole).groupBy(F.lit(n).alias("scheme")).agg(F.count("*").alias("chunks"), F.count_if(~F.coalesce(~F.col("is_raw") & F.col("code").isNull(), F.lit(False))).alias("raw")) for n, f in made.items()]
     return reduce(DataFrame.unionByName, each)
 
 
