@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space between words: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -64,6 +65,20 @@ def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Parts that the rows of each key are dealt into where one key may hold a large share of all rows.
+SALTS = 16
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """rows joined to facts on key, where one key may hold many rows: these are dealt into SALTS parts by their column `by`.
+
+    Facts are brought to the parts that rows have, so a key that has few rows costs few copies.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by, F.lit("salt")), F.lit(SALTS)).cast("int"))
+    seats = dealt.select(key, "_salt").distinct().join(facts, key)
+    return dealt.join(seats, [key, "_salt"], how).drop("_salt")
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z only) words as UTF-8; bytes.split() cuts at exactly BLANKS."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -55,7 +55,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanweave.llm.common import mix64, shared_folder, small_batches, table, written
+from scanweave.llm.common import mix64, shared_folder, small_batches, spread_join, table, written
 from scanweave.llm.textstats import Text, chunks
 
 BANDS, ROWS = 48, 8
@@ -167,8 +167,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Every round links each node's neighbours to the least of them, first the
     greater ones and then the smaller ones, until nothing changes.  Rows of one
-    round are at most as many as the links.  Each round is written to the
-    shared folder.
+    round are at most as many as the links; those of a hub are dealt to several
+    tasks.  Each round is written to the shared folder.
     """
     spark = links.sparkSession
     shared_folder(spark)
@@ -177,11 +177,11 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = spread_join(both, least, "a", "b").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # the smaller neighbours, and the node itself, go to the least of them
         down = large.filter("a != b").distinct()
         low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = spread_join(down, low, "a", "b").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = small.unionByName(low.select("a", F.col("m").alias("b"))).distinct().checkpoint()
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
@@ -440,11 +440,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     else:  # every cluster was solved in one piece: a link's end is the root
         roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
-    by_rep = firsts.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("words").alias("_words"), F.coalesce("root", "rep").alias("root"))
+    by_rep = firsts.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("words", F.coalesce("root", "rep").alias("root"))
     own = sketches.groupBy("doc_id").agg(F.max(F.struct("n", "words")).alias("s")).select("doc_id", F.col("s.n").alias("n_shingles"), F.col("s.words").alias("words"))
-    found = own.join(by_rep, (F.col("words") == F.col("_words")) & (F.col("n_shingles") > 0), "left")
+    found = spread_join(own.filter("n_shingles > 0"), by_rep, "words", "doc_id", "left").select("doc_id", "n_shingles", "root")
+    blank = own.filter("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("root"))
     unnamed = all_.filter("doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return found.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")).unionByName(unnamed)
+    return found.unionByName(blank).select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")).unionByName(unnamed)
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:

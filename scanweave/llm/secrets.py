@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanweave.llm.common import table
+from scanweave.llm.common import SALTS, spread_join, table
 
 
 @dataclass(frozen=True)
@@ -111,7 +111,7 @@ def findings(versions: DataFrame, ledger: DataFrame, path: str = "path", content
     """(path, blob, spans) of every version, from a ledger that covers all blobs."""
     # a run that was repeated may have appended its rows twice; rows of one pair are equal
     known = ledger.filter(F.col("rule_version") == rule_version).groupBy("blob").agg(F.first("spans").alias("spans"))
-    return blobs(versions, path, content).join(known, "blob", "left").select("path", "blob", "spans")
+    return spread_join(blobs(versions, path, content), known, "blob", "path", "left").select("path", "blob", "spans")
 
 
 def update_ledger(spark: SparkSession, versions: DataFrame, folder: str, path: str = "path", content: str = "content", rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
@@ -132,6 +132,9 @@ def redact(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "
     spans: rows (path, blob, spans) as findings() returns them.
     """
     known = spans.filter(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
+    # few texts have findings, so these go to all parts of the rows: the copies of one text don't meet in one task
+    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt")
     t = F.col("text")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     built = F.aggregate(
@@ -142,7 +145,7 @@ def redact(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "
     )
     # other columns go along in one struct, so their names can't clash with ours
     others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("row")
-    rows = docs.select(F.col(text).alias("text"), others, F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("blob")).join(known, "blob", "left")
+    rows = docs.select(F.col(text).alias("text"), others, F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("blob"), salt).join(known, ["blob", "salt"], "left")
     rows = rows.withColumn("text", F.when(F.col("spans").isNotNull(), built).otherwise(t))
     return rows.select(*(F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
