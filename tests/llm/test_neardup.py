@@ -129,3 +129,15 @@ def test_fringe_in_small_blocks_and_pieces(spark, monkeypatch):
             rows.append((first + i, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(N.near_duplicates(docs, 3, 85, cluster=8, fringe=3)) == brute(rows, 3, 85)
+
+
+def test_spread_join_is_a_join(spark):
+    """One key with most rows, a null key, a key without facts and one with two: as a plain join."""
+    from scanweave.llm.common import spread_join
+
+    rows = spark.createDataFrame([(1, i) for i in range(200)] + [(2, 7), (2, None), (3, 8), (None, 9), (4, 10), (1, 5)], "k long, v long")
+    facts = spark.createDataFrame([(1, "a"), (2, "b"), (4, "c"), (4, "d"), (5, "e"), (None, "f")], "k long, f string")
+    for how in ("inner", "left"):
+        plain = sorted(map(str, rows.join(facts, "k", how).select("k", "v", "f").collect()))
+        assert sorted(map(str, spread_join(rows, facts, "k", "v", how).select("k", "v", "f").collect())) == plain
+    assert spread_join(rows.filter("k > 9"), facts, "k", "v", "left").count() == 0
