@@ -149,17 +149,21 @@ def _buckets(regs: list[bytes]) -> np.ndarray:
 
 
 def _bander(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, bucket) of every band."""
+    """The bucket of every band of the registers in the first column, after the other columns."""
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             some = batch.slice(at, 2000)
-            key = _buckets(some.column(1).to_pylist())
-            ids = np.repeat(some.column(0).to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(key.reshape(-1))], names=["doc_id", "bucket"])
+            key = _buckets(some.column(0).to_pylist())
+            row = pa.array(np.repeat(np.arange(some.num_rows), BANDS))
+            carried = [c.take(row) for c in some.columns[1:]]
+            yield pa.RecordBatch.from_arrays([*carried, pa.array(key.reshape(-1))], names=[*batch.schema.names[1:], "bucket"])
 
 
-def banded(reps: DataFrame) -> DataFrame:
-    return reps.select("doc_id", "registers").mapInArrow(_bander, "doc_id long, bucket long")
+def banded(reps: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, carried columns, bucket) of every band of each row."""
+    rows = reps.select("registers", "doc_id", *carried)
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes[1:])
+    return rows.mapInArrow(_bander, f"{schema}, bucket long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -359,28 +363,28 @@ def _meeting(percent: int):
     return run
 
 
-def _meetings(rooted: DataFrame, bands: DataFrame, reps: DataFrame, percent: int, fringe: int, spread: int) -> DataFrame:
+def _meetings(rooted: DataFrame, reps: DataFrame, percent: int, fringe: int, spread: int) -> DataFrame:
     """(cluster, place, doc_id, root, fringe): the groups of one chunk and one block in which the fringe of large clusters is verified.
 
     rooted has (doc_id, cluster, root, chunk) of every member of a large cluster.
     """
     largest = rooted.groupBy("cluster", "root").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max_by("root", F.struct("c", -F.col("root"))).alias("main"))
-    facts = reps.select("doc_id", "n", "registers")
-    sided = rooted.join(largest, "cluster").withColumn("outer", F.col("root") != F.col("main")).join(facts.select("doc_id", "n"), "doc_id")
+    sided = rooted.join(largest, "cluster").withColumn("outer", F.col("root") != F.col("main")).join(reps.select("doc_id", "n", "registers"), "doc_id")
     load = F.greatest(F.count("*") / fringe, F.sum("n") / (fringe * SHINGLES))
     blocks = sided.filter("outer").groupBy("cluster").agg(F.ceil(load).cast("int").alias("n_blocks"))
     block = F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("n_blocks")).cast("int")
-    sided = written(sided.join(blocks, "cluster").withColumn("block", block).select("doc_id", "cluster", "root", "chunk", "outer", "n_blocks", "block"), "sided")
+    sided = written(sided.join(blocks, "cluster").withColumn("block", block).select("doc_id", "n", "registers", "cluster", "root", "chunk", "outer", "n_blocks", "block"), "sided")
 
-    # buckets with fringe members and more than one part, each side dealt into pieces
-    held = written(bands.join(sided, "doc_id").select("bucket", "doc_id", "root", "chunk", "block", "outer"), "held")
+    # buckets with fringe members and more than one part, each side dealt into pieces; the members' bands are
+    # made from their registers once more, as that needs no shuffle of all bands
+    held = written(banded(sided, "root", "chunk", "block", "outer"), "held")
     many = held.groupBy("bucket").agg(F.count("*").alias("m"), F.count_if("outer").alias("f"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("f > 0 AND lo < hi")
     pieces = [F.ceil(F.col(c) / SIDE).cast("int") for c in ("m", "f")]
     dealt = held.join(many.select("bucket", pieces[0].alias("ms"), pieces[1].alias("fs")), "bucket").withColumn("deal", F.xxhash64("doc_id", F.lit("side")))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     inner = dealt.withColumn("fringe", F.lit(False)).withColumn("other", every("fs")).withColumn("piece", F.pmod("deal", "ms") * F.col("fs") + F.col("other"))
     fringed = dealt.filter("outer").withColumn("fringe", F.lit(True)).withColumn("other", every("ms")).withColumn("piece", F.col("other") * F.col("fs") + F.pmod("deal", "fs"))
-    pairs = inner.unionByName(fringed).join(facts, "doc_id").select("bucket", "piece", "doc_id", "n", "registers", "root", "chunk", "block", "outer", "fringe")
+    pairs = inner.unionByName(fringed).join(sided.select("doc_id", "n", "registers"), "doc_id").select("bucket", "piece", "doc_id", "n", "registers", "root", "chunk", "block", "outer", "fringe")
     pairs = pairs.repartition(spread, "bucket", "piece").sortWithinPartitions("bucket", "piece")
     seats = written(pairs.mapInArrow(_meeting(percent), "doc_id long, chunk int, block int, fringe boolean"), "meetings").distinct()
     place = F.col("chunk").cast("long") * F.col("n_blocks") + F.col("block")
@@ -433,7 +437,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
         parts = components(links.join(wide.select(F.col("doc_id").alias("a")).distinct(), "a", "left_semi"))
         rooted = wide.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         rooted = written(rooted.withColumn("home", F.pmod(F.xxhash64("doc_id"), F.col("n_chunks")).cast("int")).filter("home = chunk"), "rooted")
-        met = _meetings(rooted.select("doc_id", "cluster", "root", "chunk"), bands, reps, percent, fringe, spread).join(members, "doc_id")
+        met = _meetings(rooted.select("doc_id", "cluster", "root", "chunk"), reps, percent, fringe, spread).join(members, "doc_id")
         met = met.select("cluster", "place", "doc_id", "text", "registers", "root", "fringe").repartition(spread, "cluster", "place").sortWithinPartitions("cluster", "place", "doc_id")
         links = links.unionByName(written(met.mapInArrow(_fringe_solver(k, percent), LINKS), "fringe"))
         roots = components(links)
