@@ -55,7 +55,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanweave.llm.common import mix64, shared_folder, small_batches, spread_join, table, written
+from scanweave.llm.common import SALTS, mix64, small_batches, spread_join, table, written
 from scanweave.llm.textstats import Text, chunks
 
 BANDS, ROWS = 48, 8
@@ -166,6 +166,16 @@ def banded(reps: DataFrame, *carried: str) -> DataFrame:
     return rows.mapInArrow(_bander, f"{schema}, bucket long")
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """The distinct edges (a, b) with m, the least b of their a.  The edges of one a are dealt to SALTS parts, and only the parts' least ones meet."""
+    salt = F.pmod(F.xxhash64("b", F.lit("salt")), F.lit(SALTS)).cast("int")
+    # one shuffle serves the distinct rows, the parts and the join
+    dealt = edges.withColumn("salt", salt).repartition("a", "salt").distinct()
+    parts = dealt.groupBy("a", "salt").agg(F.min("b").alias("m"))
+    parts = parts.withColumn("m", F.min("m").over(Window.partitionBy("a")))
+    return dealt.join(parts, ["a", "salt"]).drop("salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of links (a, b): root is the least node that it reaches.
 
@@ -174,19 +184,14 @@ def components(links: DataFrame) -> DataFrame:
     round are at most as many as the links; those of a hub are dealt to several
     tasks.  Each round is written to the shared folder.
     """
-    spark = links.sparkSession
-    shared_folder(spark)
-    edges = links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    edges = written(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = spread_join(both, least, "a", "b").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _with_least(both).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).filter("a != b")
         # the smaller neighbours, and the node itself, go to the least of them
-        down = large.filter("a != b").distinct()
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = spread_join(down, low, "a", "b").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = small.unionByName(low.select("a", F.col("m").alias("b"))).distinct().checkpoint()
+        small = _with_least(large).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        edges = written(small.distinct(), "edges")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
