@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from scanweave.llm.centroids import CLUSTERS, DIM, ROUNDS, SCALE, SEED
+from scanweave.llm.decontam import WINDOW
 from scanweave.llm.licenses import COPYRIGHT_LINE, GAPS, PARAGRAPHS, SPELLINGS, variants
 from scanweave.llm.secrets import BASE, RULES
 
@@ -60,3 +62,49 @@ OP10 = """
           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id != q.vec_id AND len(q.v) = len(c.v))
     SELECT query_id, rank::INT AS rank, vec_id, score
     FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+
+OP11 = f"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS no, doc_id, {_TERMS} AS w FROM documents),
+    b AS (SELECT item_id, {_TERMS} AS w FROM benchmark),
+    win AS MATERIALIZED (SELECT DISTINCT item_id, least(len(w), {WINDOW}) AS n, array_to_string(w[i : i + {WINDOW - 1}], ' ') AS s
+            FROM b, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) AS r(i) WHERE len(w) > 0),
+    own AS (SELECT no, i, n, array_to_string(w[i : i + n - 1], ' ') AS s FROM d, (SELECT DISTINCT n FROM win) AS l, unnest(range(1, len(w) - n + 2)) AS r(i)),
+    occ AS MATERIALIZED (SELECT DISTINCT no, i, n, item_id FROM own JOIN win USING (n, s)),
+    hit AS (SELECT no, count(DISTINCT p) AS n_hit FROM occ, unnest(range(i, i + n)) AS r(p) GROUP BY no),
+    named AS (SELECT no, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM occ GROUP BY no)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hit USING (no) LEFT JOIN named USING (no)"""
+
+OP12 = f"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS no, doc_id, {_TERMS} AS w FROM documents),
+    b AS (SELECT DISTINCT item, item_id, unnest(w) AS term FROM (SELECT row_number() OVER () AS item, item_id, {_TERMS} AS w FROM benchmark)),
+    size AS (SELECT count(*) FILTER (len(w) > 0) AS docs, sum(len(w))::BIGINT AS terms FROM d),
+    tf AS MATERIALIZED (SELECT no, doc_id, n, term, count(*) AS tf FROM (SELECT no, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+    weight AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), size),
+    share AS (SELECT no, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms)) AS s FROM tf, size),
+    scored AS (SELECT item, item_id, no, doc_id, sum(w * s)::BIGINT AS score FROM b JOIN weight USING (term) JOIN share USING (term) GROUP BY ALL)
+    SELECT item_id, rank::INT AS rank, doc_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 10"""
+
+
+def _centroids() -> str:
+    steps = [f"""
+    WITH v AS MATERIALIZED (SELECT row_number() OVER () AS no, vec_id, embedding, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE len(embedding) = {DIM} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{SEED}:' || vec_id), embedding) - 1 AS cluster, v AS c FROM v WHERE vec_id IS NOT NULL ORDER BY sha256('{SEED}:' || vec_id), embedding LIMIT {CLUSTERS})"""]
+    for r in range(ROUNDS + 1):
+        steps.append(f"""
+    a{r} AS MATERIALIZED (SELECT no, min(struct_pack(d := list_sum(list_transform(range(1, {DIM} + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT, cluster := cluster)) AS best FROM v, c{r} GROUP BY no)""")
+        if r < ROUNDS:
+            steps.append(f"""
+    s{r} AS (SELECT best.cluster AS cluster, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{r} JOIN v USING (no), unnest(range(1, {DIM} + 1)) AS r(i) GROUP BY ALL),
+    c{r + 1} AS MATERIALIZED (SELECT c{r}.cluster, coalesce(m.c, c{r}.c) AS c FROM c{r} LEFT JOIN (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{r} GROUP BY cluster) AS m USING (cluster))""")
+    return ",".join(steps) + f"""
+    SELECT v.vec_id, best.cluster::INT AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.cluster)::BIGINT AS cluster_inertia, sum(best.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+    FROM a{ROUNDS} JOIN v USING (no) JOIN c{ROUNDS} ON c{ROUNDS}.cluster = best.cluster"""
+
+
+OP13 = _centroids()

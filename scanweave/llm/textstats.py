@@ -61,16 +61,16 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
 
 
 class Text:
-    """One run of texts: its bytes, with a line end after each text, and where words are."""
+    """One run of texts: its bytes, with a line end after each text, and where words are.  gaps flags the bytes between words (by default blanks; a line end must be one)."""
 
-    def __init__(self, raws: list[bytes], lower: bool = False):
+    def __init__(self, raws: list[bytes], lower: bool = False, gaps: np.ndarray | None = None):
         self.n = len(raws)
         self.sizes = np.fromiter(map(len, raws), np.int64, self.n)
         self.begins = np.cumsum(self.sizes + 1) - self.sizes - 1
         self.bytes = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
         if lower:
             self.bytes = _LOWERED[self.bytes]
-        word = ~_BLANK[self.bytes]
+        word = ~(_BLANK if gaps is None else gaps)[self.bytes]
         edge = np.diff(word.view(np.int8), prepend=0, append=0)
         self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         #: words before each text, and in each
