@@ -37,8 +37,8 @@ def luminance(r: Column, g: Column, b: Column) -> Column:
 
 
 def bin_of(lum: Column, bins: int = 64) -> Column:
-    """Histogram bin of a luminance; NaN falls into bin 0 (in Spark NaN is greater than any number)."""
-    return F.when(F.isnan(lum), 0).when(lum >= 1, bins - 1).otherwise((lum * bins).cast("int"))
+    """Histogram bin of a luminance, negative for those below the first; NaN falls into bin 0 (in Spark NaN is greater than any number)."""
+    return F.when(F.isnan(lum), 0).when(lum >= 1, bins - 1).otherwise(F.greatest(lum * bins, F.lit(-(2.0**31))).cast("int"))
 
 
 def to_linear(v: Column) -> Column:

@@ -17,9 +17,9 @@ def normal_path(path: Column) -> Column:
 
 
 def natural_key(path: Column) -> Column:
-    """Sorts case aside and runs of digits by their number: digits get leading zeros up to 20 places."""
-    wide = F.regexp_replace(F.lower(path), r"(\d+)", "00000000000000000000$1")
-    return F.regexp_replace(wide, r"0*(\d{20})(?!\d)", "$1")
+    """Sorts runs of digits by their number, and text between them by Unicode's collation, case and accents aside: digits get leading zeros up to 20 places."""
+    wide = F.regexp_replace(path, r"(\d+)", "00000000000000000000$1")
+    return F.collate(F.regexp_replace(wide, r"0*(\d{20})(?!\d)", "$1"), "UNICODE_CI_AI")
 
 
 def described(files: DataFrame, path: str = "path") -> DataFrame:

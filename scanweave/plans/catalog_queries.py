@@ -44,6 +44,35 @@ def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.ordered_frames(K.described(files(spark, sf_dir))).select("path", "sequence_key", "place")
 
 
+# Names that differ in accents and case, numbers without leading zeros, both kinds of slashes, and files that are no images
+_TAKE = "'Shots' || CASE c_custkey % 2 WHEN 0 THEN '/' ELSE chr(92) END || CASE c_custkey % 3 WHEN 0 THEN replace(n_name, 'A', 'Á') WHEN 1 THEN lower(n_name) ELSE n_name END || '/take' || c_custkey % 23 || CASE c_custkey % 5 WHEN 0 THEN '.EXR' WHEN 1 THEN '.txt' WHEN 2 THEN '.exr.bak' ELSE '.exr' END"
+_TAKES = f"takes AS (SELECT {_TAKE} AS path, c_custkey, c_mktsegment, n_name, c_custkey % 23 AS take FROM customer JOIN nation ON n_nationkey = c_nationkey)"
+
+
+def takes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    k, n = F.col("c_custkey"), F.col("n_name")
+    slash = F.when(F.pmod(k, F.lit(2)) == 0, "/").otherwise("\\")
+    name = F.when(F.pmod(k, F.lit(3)) == 0, F.replace(n, F.lit("A"), F.lit("Á"))).when(F.pmod(k, F.lit(3)) == 1, F.lower(n)).otherwise(n)
+    ext = F.element_at(F.array(*map(F.lit, (".EXR", ".txt", ".exr.bak", ".exr", ".exr"))), (F.pmod(k, F.lit(5)) + 1).cast("int"))
+    return rows.select(F.concat(F.lit("Shots"), slash, name, F.lit("/take"), F.pmod(k, F.lit(23)).cast("string"), ext).alias("path"), k.alias("id"), F.col("c_mktsegment").alias("show"))
+
+
+@query(f"WITH {_TAKES} SELECT c_custkey AS id, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY strip_accents(lower(regexp_replace(n_name, '[0-9]+$', ''))), TRY_CAST(regexp_extract(n_name, '([0-9]+)$', 1) AS INT) NULLS FIRST, take, c_custkey) - 1)::INT AS place FROM takes WHERE lower(path) LIKE '%.exr'")
+def natural_order_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images of each show by natural order of their paths without extension, case, accents and kind of slash aside."""
+    images = takes(spark, sf_dir).filter(K.is_image_path(F.col("path")))
+    stem = F.regexp_replace(K.normal_path(F.col("path")), r"\.[^.]*$", "")
+    place = F.row_number().over(Window.partitionBy("show").orderBy(K.natural_key(stem), "id")) - 1
+    return images.select("id", place.alias("place"))
+
+
+@query(f"WITH {_TAKES} SELECT c_custkey AS id, replace(path, chr(92), '/') AS path, regexp_extract(path, '([^/]*)$', 1) AS name, take AS frame_number FROM takes WHERE lower(path) LIKE '%.exr'")
+def normal_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = takes(spark, sf_dir).filter(K.is_image_path(F.col("path")))
+    return K.described(images).select("id", K.normal_path(F.col("path")).alias("path"), "name", "frame_number")
+
+
 _CHANNELS = "ch AS (SELECT p_brand AS image, p_partkey AS ordinal, replace(p_type, ' ', '_') || '.' || (['R', 'g', 'B', 'A', 'Z', 'Y', 'red'])[(p_size % 7 + 1)::INT] AS name FROM part)"
 
 

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanweave.functions.pixels import half_value
+from scanweave.operators import lines as L
 from scanweave.plans.pixel_queries import PX
-from scanweave.plans.registry import QUERIES, SQL, query, table
-from scanweave.sources import exr
+from scanweave.plans.registry import QUERIES, SQL, query, scratch, table
+from scanweave.sources import exr, ranged, sqltable
 from scanweave.sources.blocks import FLOAT, HALF, UINT
-from scanweave.sources.writer import _attribute, encoded, image_files, multipart_files, single_channel_files
+from scanweave.sources.writer import _attribute, encoded, image_files, multipart_files, saved, single_channel_files
 
 
 def embedding_files(spark: SparkSession, sf_dir: str, compression: int) -> DataFrame:
@@ -257,8 +258,7 @@ def exr_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PX} SELECT 'image/' || vec_id || '.exr' AS path, 'Y' AS channel, x::INT AS x, y::INT AS y, v FROM px")
 def exr_full_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = exr.structure(embedding_files(spark, sf_dir, 3))
-    px = exr.expanded_pixels(exr.scanlines(exr.chunks(s)), s)
+    px = exr.expanded_pixels(exr.full_lines(exr.structure(embedding_files(spark, sf_dir, 3))))
     return px.select("path", "channel", "x", "y", F.col("value").cast("double").alias("v"))
 
 
@@ -335,4 +335,111 @@ def log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exr.log_entries(exr.decode_events(s, exr.scanlines(exr.chunks(s)))).select("path", "seq", "step", "status", "description")
 
 
+# Files on disk, read by offset
+def _on_disk(spark: SparkSession, files: DataFrame, name: str) -> str:
+    folder = scratch(spark, name)
+    saved(files, folder).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+_LOW, _HIGH = 10, 21
+_NAME = r"(image/[^/]*)$"
+
+
+@query(_CODED.replace("(VALUES ('F'), ('H'), ('U')) AS c(channel)", f"(VALUES ('F'), ('H')) AS c(channel) WHERE y BETWEEN {_LOW} AND {_HIGH}"))
+def exr_source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data source with its filters: some channels and lines of files on disk."""
+    ranged.register(spark)
+    lines = spark.read.format("exr_lines").load(_on_disk(spark, _coded_files(spark, sf_dir, 3), "zip"))
+    px = exr.sampled_pixels(lines.filter(F.col("channel").isin("F", "H") & F.col("y").between(_LOW, _HIGH)))
+    return px.select(F.regexp_extract("path", _NAME, 1).alias("path"), "channel", F.col("sx").alias("x"), F.col("sampled_row").alias("y"), F.col("value").cast("double").alias("v"))
+
+
+@query(f"SELECT 'image/' || s_suppkey || '.exr' AS path, {_HIGH - _LOW + 1}::BIGINT AS chunks, {(_HIGH - _LOW + 1) * WIDTH * 10}::BIGINT AS read_bytes, {HEIGHT}::BIGINT AS all_chunks FROM supplier")
+def exr_manifest_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a manifest of files on disk, what is read of each for a range of lines."""
+    rows = ranged.refreshed(spark, _on_disk(spark, _coded_files(spark, sf_dir, 0), "raw"), scratch(spark, "manifest"))
+    read = ranged.fetched(ranged.meeting(rows, _LOW, _HIGH), gap=0).groupBy("path").agg(F.count("*").alias("chunks"), F.sum("read_bytes").alias("read_bytes"))
+    both = read.join(rows.groupBy("path").agg(F.count("*").alias("all_chunks")), "path")
+    return both.withColumn("path", F.regexp_extract("path", _NAME, 1))
+
+
+@query(_CODED.replace("(VALUES ('F'), ('H'), ('U')) AS c(channel)", f"(VALUES ('F'), ('H'), ('U')) AS c(channel) WHERE y BETWEEN {_LOW} AND {_HIGH}"))
+def exr_manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ranged.refreshed(spark, _on_disk(spark, _coded_files(spark, sf_dir, 2), "zips"), scratch(spark, "manifest"))
+    px = exr.sampled_pixels(ranged.lines_between(rows, _LOW, _HIGH))
+    return px.select(F.regexp_extract("path", _NAME, 1).alias("path"), "channel", F.col("sx").alias("x"), F.col("sampled_row").alias("y"), F.col("value").cast("double").alias("v"))
+
+
+@query(f"WITH {_GRID} SELECT 'image/' || s_suppkey || '.exr' AS path, 'H' AS channel, y, sum({_H.format(k=_K)})::DOUBLE AS total, max({_H.format(k=_K)})::DOUBLE AS most FROM px GROUP BY s_suppkey, y")
+def exr_sql_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of lines, in SQL alone."""
+    sqltable.register(spark)
+    return spark.sql(
+        """SELECT f.path, l.channel, l.y, aggregate(l.values, 0D, (a, v) -> a + v) AS total, CAST(array_max(l.values) AS DOUBLE) AS most
+        FROM {files} AS f, LATERAL exr_lines(f.content, 0, 'H') AS l""",
+        files=_coded_files(spark, sf_dir, 5),
+    )
+
+
+# Lines as arrays: no row a pixel between the files and the result
+def _rgb_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.sequence(F.lit(0), F.lit(WIDTH * HEIGHT - 1))
+    x, y, k = lambda i: F.pmod(i, F.lit(WIDTH)), lambda i: F.floor(i / WIDTH), F.pmod(F.col(_K), F.lit(16))
+    plane = lambda f: F.transform(i, lambda p: f(x(p), y(p)).cast("double"))
+    images = table(spark, sf_dir, "supplier").select(_K, plane(lambda x, y: x / 16 - k / 32).alias("r"), plane(lambda x, y: y / 32).alias("g"), plane(lambda x, y: (x + y) / 64).alias("b"))
+    return image_files(images, _K, [("B", FLOAT, "b"), ("G", HALF, "g"), ("R", FLOAT, "r")], WIDTH, 3)
+
+
+_RGB = f"{_GRID}, rgb AS (SELECT s_suppkey, x, y, x / 16.0::DOUBLE - s_suppkey % 16 / 32.0::DOUBLE AS r, y / 32.0::DOUBLE AS g, (x + y) / 64.0::DOUBLE AS b FROM px)"
+_SHOWN = "greatest({c} * 2.0::DOUBLE, 0.0)"
+
+
+@query(
+    f"""WITH {_RGB}, l AS (SELECT s_suppkey, {" + ".join(f"{_SHOWN.format(c=c)} * {w}::DOUBLE" for c, w in zip("rgb", (0.2126, 0.7152, 0.0722), strict=True))} AS lum FROM rgb),
+    n AS (SELECT s_suppkey, CASE WHEN lum >= 1 THEN 31 ELSE trunc(lum * 32)::INT END AS bin, count(*) AS n FROM l GROUP BY ALL)
+    SELECT 'image/' || s.s_suppkey || '.exr' AS path, b::INT AS bin, coalesce(n, 0)::BIGINT AS n FROM (SELECT s_suppkey, b FROM supplier, range(32) AS r(b)) AS s LEFT JOIN n ON n.s_suppkey = s.s_suppkey AND n.bin = s.b"""
+)
+def exr_histogram_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = exr.colour_lines(exr.structure(_rgb_files(spark, sf_dir)))
+    return L.histogram(lines, "display", 1.0, 1.0, 32).select("path", "bin", "n")
+
+
+@query(f"WITH {_RGB} SELECT 'image/' || s_suppkey || '.exr' AS path, y, string_agg({" || ".join(f"printf('%02X', CASE WHEN {_SHOWN.format(c=c)} >= 1 THEN 255 ELSE trunc({_SHOWN.format(c=c)} * 255)::INT END)" for c in "rgb")} || 'FF', '' ORDER BY x) AS rgba FROM rgb GROUP BY s_suppkey, y")
+def exr_tone_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = exr.colour_lines(exr.structure(_rgb_files(spark, sf_dir)))
+    return L.tone_mapped(lines, 1.0, 1.0).select("path", "y", F.hex("rgba").alias("rgba"))
+
+
+# Offsets that are too large to count, and chunks whose lines are given twice
+def odd_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of four lines of three pixels: whole; with an offset beyond 2**53 - 1; with its third chunk over its second one."""
+
+    @F.pandas_udf("binary")
+    def write(ids: pd.Series) -> pd.Series:
+        out = []
+        for i in ids:
+            data = bytearray(encoded([np.arange(12, dtype="<f4").reshape(4, 3) + i % 100], [FLOAT], ["Y"], 0))
+            table_at = len(data) - 4 * (8 + 12 + 8)
+            if i % 3 == 1:
+                data[table_at + 8 : table_at + 16] = struct.pack("<Q", 1 << 53)
+            if i % 3 == 2:
+                data[table_at + 32 + 40 : table_at + 32 + 44] = struct.pack("<i", 1)
+            out.append(bytes(data))
+        return pd.Series(out)
+
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.concat(F.lit("image/"), F.col("vec_id").cast("string"), F.lit(".exr")).alias("path"), write("vec_id").alias("content")).select("path", F.length("content").cast("long").alias("length"), "content")
+
+
+@query(
+    """SELECT 'image/' || vec_id || '.exr' AS path, x::INT AS x, y::INT AS y, (CASE WHEN vec_id % 3 = 1 AND y = 1 THEN 0 WHEN vec_id % 3 = 2 AND y = 2 THEN 0 WHEN vec_id % 3 = 2 AND y = 1 THEN 6 + x + vec_id % 100 ELSE 3 * y + x + vec_id % 100 END)::DOUBLE AS v,
+    CASE WHEN vec_id % 3 = 1 THEN 'MALFORMED_OFFSET_TABLE' END AS code FROM embeddings, range(4) AS r(y), range(3) AS q(x)"""
+)
+def exr_odd_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = exr.structure(odd_files(spark, sf_dir))
+    px = exr.expanded_pixels(exr.full_lines(s)).select("path", "x", "y", F.col("value").cast("double").alias("v"))
+    return px.join(exr.chunks(s).filter("code IS NOT NULL").select("path", "code"), "path", "left")
+
+
 __all__ = ["QUERIES"]

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from scanweave.sources.dwa import planes_of as transform_planes
+from scanweave.sources.halves import half_bits
 from scanweave.sources.header import ExrError
 from scanweave.sources.piz import words as wavelet_words
 
@@ -29,6 +30,7 @@ class Plane:
     ys: tuple[int, ...]
     name: str = ""
     whole: bool = True  # sampled at every pixel
+    compat: bool = False  # halves that a scheme makes round as half_bits(compat) does
 
     @property
     def size(self) -> int:
@@ -120,12 +122,12 @@ def piz(payload: bytes, expected: int, planes: list[Plane]) -> bytes:
     return by_lines(planes, data)
 
 
-def _log_table() -> np.ndarray:
+def _log_table(compat: bool = False) -> np.ndarray:
     """Half bits of 8 * ln(x) for half bits of x, for channels marked as linear; negative and non-finite values become 0."""
     x = np.arange(1 << 16, dtype=np.uint16).view(np.float16).astype(np.float64)
     with np.errstate(divide="ignore", invalid="ignore"):
         out = np.where(np.isfinite(x) & (x >= 0), 8 * np.log(np.abs(x)), 0.0)
-    return out.astype(np.float16).view(np.uint16)
+    return half_bits(out, compat)
 
 
 def b44(payload: bytes, expected: int, planes: list[Plane]) -> bytes:
@@ -144,7 +146,7 @@ def b44(payload: bytes, expected: int, planes: list[Plane]) -> bytes:
         blocks = _b44_blocks(np.frombuffer(payload + b"\0" * 14, np.uint8)[starts[:, None] + np.arange(14)])
         plane = blocks.reshape(down, across, 4, 4).transpose(0, 2, 1, 3).reshape(4 * down, 4 * across)[:rows, : p.width]
         if p.linear:
-            plane = _log_table()[plane]
+            plane = _log_table(p.compat)[plane]
         data.append(np.ascontiguousarray(plane.astype("<u2")))
     out = by_lines(planes, data)
     if len(out) != expected:
@@ -192,7 +194,7 @@ def dwa(payload: bytes, expected: int, planes: list[Plane]) -> bytes:
     rows, width = (len(planes[0].ys), planes[0].width) if planes else (0, 0)
     if not rows or not width:
         return b""
-    data = transform_planes(payload, [p.name for p in planes], [p.kind for p in planes], rows, width, _unpredicted, run_lengths)
+    data = transform_planes(payload, [p.name for p in planes], [p.kind for p in planes], rows, width, _unpredicted, run_lengths, planes[0].compat)
     return by_lines(planes, data)
 
 

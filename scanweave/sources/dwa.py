@@ -15,6 +15,7 @@ import zlib
 import numpy as np
 
 from scanweave.operators.codecs import LEGACY_RULES, zigzag
+from scanweave.sources.halves import INFINITE, half_bits
 from scanweave.sources.piz import unhuffed
 
 UINT, HALF, FLOAT = 0, 1, 2
@@ -104,12 +105,12 @@ def samples(blocks: np.ndarray) -> np.ndarray:
     return BASIS.T @ x.reshape(-1, 8, 8) @ BASIS
 
 
-def laid_out(blocks: np.ndarray, rows: int, width: int) -> np.ndarray:
+def laid_out(blocks: np.ndarray, rows: int, width: int, compat: bool = False) -> np.ndarray:
     """Blocks as a plane of halves, without what lies beyond its edges."""
     down, across = -(-rows // 8), -(-width // 8)
     plane = blocks.reshape(down, across, 8, 8).transpose(0, 2, 1, 3).reshape(8 * down, 8 * across)[:rows, :width]
-    with np.errstate(over="ignore"):
-        return linear(plane).astype("<f2")
+    # the compat rounding has no NaN here
+    return half_bits(linear(plane), compat, INFINITE).view("<f2")
 
 
 def _section(payload: bytes, at: int, size: int) -> bytes:
@@ -118,7 +119,7 @@ def _section(payload: bytes, at: int, size: int) -> bytes:
     return payload[at : at + size]
 
 
-def planes_of(payload: bytes, names: list[str], kinds: list[int], rows: int, width: int, unpredicted, run_lengths) -> list[np.ndarray]:
+def planes_of(payload: bytes, names: list[str], kinds: list[int], rows: int, width: int, unpredicted, run_lengths, compat: bool = False) -> list[np.ndarray]:
     """The samples of each channel, rows x width, as bytes of their type."""
     version, plain, plain_coded, ac_size, dc_size, rle_size, rle_runs, rle_raw, n_ac, n_dc, mode = struct.unpack_from("<11q", payload)
     at = 88
@@ -171,10 +172,10 @@ def planes_of(payload: bytes, names: list[str], kinds: list[int], rows: int, wid
         return [values[:, i] for i in range(n)]
 
     def put(i: int, values: np.ndarray) -> None:
-        half = laid_out(values, rows, width)
+        half = laid_out(values, rows, width, compat)
         out[i] = half if kinds[i] == HALF else half.astype("<f4")
 
-    if set(triple) == {0, 1, 2}:
+    if {0, 1, 2} <= set(triple):
         y, cb, cr = lossy([triple[0], triple[1], triple[2]])
         for i, v in enumerate((y + 1.5747 * cr, y - 0.1873 * cb - 0.4682 * cr, y + 1.8556 * cb)):
             put(triple[i], v)

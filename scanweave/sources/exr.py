@@ -1,9 +1,9 @@
 """OpenEXR files as tables: files, parts, channels, chunks, scanlines, pixels.
 
 A file is a row of Spark's ``binaryFile`` source, or any row (path, content).
-The header walk is the only Python of the scan; offset tables and chunk headers
-are read by expressions over the content, and chunks are the unit of
-parallelism of decoding.  The schema is long (a row a channel and line), as
+Headers are walked once; offset tables and chunk heads are read in one Arrow
+pass over the content, without copies; chunks are the unit of parallelism of
+decoding.  The schema is long (a row a channel and line), as
 channels differ from file to file.
 
 mode PERMISSIVE gives broken files and chunks as rows with an error;
@@ -12,7 +12,7 @@ FAILFAST raises.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,9 @@ from scanweave.functions.pixels import status_of
 from scanweave.operators.catalog import is_image_path
 from scanweave.sources import blocks as B
 from scanweave.sources import header as H
+from scanweave.sources import scan as S
 
+KEPT = "array<struct<lo:int,hi:int>>"
 BOX = "struct<x_min:int,y_min:int,x_max:int,y_max:int>"
 ERROR = "struct<code:string,message:string,details:map<string,string>>"
 CHANNEL = "struct<name:string,pixel_type:int,p_linear:int,x_sampling:int,y_sampling:int>"
@@ -96,16 +98,6 @@ def table_at(header_end: Column, chunks_before: Column) -> Column:
     return (header_end + 8 * F.aggregate(chunks_before, F.lit(0).cast("long"), lambda a, n: a + n)).cast("long")
 
 
-def little(content: Column, at: Column, n: int) -> Column:
-    """An unsigned little-endian integer of n bytes at a place (from 0) of binary content."""
-    byte = lambda i: F.hex(F.substring(content, (at + (i + 1)).cast("int"), F.lit(1)))
-    return F.conv(F.concat(*(byte(i) for i in reversed(range(n)))), 16, 10).cast("decimal(20,0)").cast("long") if n < 8 else F.conv(F.concat(*(byte(i) for i in reversed(range(n)))), 16, 10).cast("decimal(20,0)")
-
-
-def signed32(u: Column) -> Column:
-    return F.when(u >= 2**31, u - 2**32).otherwise(u)
-
-
 _PLAN_ERRORS = (
     ("UNSUPPORTED_PART_TYPE", "p.type IN ('tiledimage', 'deepscanline', 'deeptile') OR (s.flags & 10) != 0"),
     ("UNSUPPORTED_COMPRESSION", "p.compression IS NULL OR NOT known"),
@@ -145,57 +137,103 @@ def expected_size(channels_: Column, window: Column, y: Column, lines: Column) -
     return F.aggregate(channels_, F.lit(0).cast("long"), lambda a, c: a + one(c))
 
 
-def _scanned(structured: DataFrame, part_id: int | Column | None) -> DataFrame:
-    """A row a part, with all its chunks as an array k: their heads, payloads, and errors; chunks of other parts are among them."""
+PLANNED = ("path", "part_id", "compression", "w", "channels", "lines_per", "n_chunks", "part_code")
+_HEADS = "array<struct<chunk_index:int,own:int,chunk_y:int,data_size:int,code:string>>"
+
+
+def _plan_rows(structured: DataFrame, part_id: int | Column | None) -> DataFrame:
+    """A row a part: PLANNED, and what the scan of its chunks needs."""
     plan = _planned(structured, part_id)
-    c, multi = F.col("content"), F.col("s.is_multipart")
-    head = F.when(multi, 12).otherwise(8)
-
-    # step by step, as an expression that is used twice is computed twice inside a lambda function
-    fine = F.col("code").isNull() & (F.col("n_chunks") > 0)
-    steps = plan.select(
-        "path", "content", F.col("asked").alias("part_id"), "p.compression", F.col("p.data_window").alias("w"), F.col("p.channels").alias("channels"), "lines_per", "n_chunks", F.col("code").alias("part_code"), multi.alias("multi"), head.alias("head"),
-        F.when(fine, F.transform(F.sequence(F.lit(0), F.col("n_chunks") - 1), lambda i: little(c, F.col("table_at") + 8 * i, 8))).alias("offsets"),
+    return plan.select(
+        "path", F.col("asked").alias("part_id"), "p.compression", F.col("p.data_window").alias("w"), F.col("p.channels").alias("channels"), "lines_per", "n_chunks", F.col("code").alias("part_code"),
+        F.col("s.is_multipart").alias("multi"), "table_at", F.col("p.data_window.y_min").alias("y_min"), F.col("p.data_window.y_max").alias("y_max"), "content",
     )
-    head, multi = F.col("head"), F.col("multi")
-    steps = steps.withColumn("spots", F.transform("offsets", lambda o: F.struct(F.when(o <= 2**53 - 1, o.cast("long")).alias("at"), F.when(o + head <= F.length(c), o.cast("long")).alias("safe"))))
-    steps = steps.withColumn("heads", F.transform("spots", lambda s: F.struct(s["at"].alias("at"), s["safe"].alias("safe"), F.when(multi, signed32(little(c, s["safe"], 4))).alias("own"), signed32(little(c, s["safe"] + head - 8, 4)).alias("y"), signed32(little(c, s["safe"] + head - 4, 4)).alias("size"))))
-
-    # of lines given twice the later chunk's count; in files whose chunks stand on the usual grid none is
-    grid = F.size(F.array_distinct(F.transform("heads", lambda h: h["y"]))) == F.size("heads")
-    grid = grid & F.forall("heads", lambda h: F.coalesce((h["own"].isNull() | (h["own"] == F.col("part_id"))) & (F.pmod(h["y"] - F.col("w.y_min"), F.col("lines_per")) == 0), F.lit(False)))
-    steps = steps.withColumn("on_grid", F.coalesce(grid, F.lit(True)))
-    own = lambda h: h["own"].isNull() | (h["own"] == F.col("part_id"))
-    later = lambda h, i: F.transform(F.filter("heads", lambda g, j: (j > i) & own(g) & (F.abs(g["y"] - h["y"]) < F.col("lines_per"))), lambda g: g["y"].cast("int"))
-
-    def chunk(h: Column, i: Column) -> Column:
-        fits = (h["size"] >= 0) & (h["safe"] + head + h["size"] <= F.length(c))
-        code = F.when(h["at"].isNull(), "MALFORMED_OFFSET_TABLE").when(F.coalesce(~fits, F.lit(True)), "MALFORMED_CHUNK")
-        return F.struct(
-            i.alias("chunk_index"), h["at"].alias("chunk_offset"), h["own"].alias("own"), h["y"].cast("int").alias("chunk_y"), h["size"].cast("int").alias("data_size"),
-            F.when(fits, F.substring(c, (h["safe"] + head + 1).cast("int"), h["size"].cast("int"))).alias("payload"), code.alias("code"),
-            F.when(~F.col("on_grid"), later(h, i)).alias("later"),
-        )
-
-    # chunks are cut out of the content here, so no row after this one carries a whole file
-    return steps.withColumn("k", F.transform("heads", chunk)).drop("content", "offsets", "spots", "heads", "head")
+
+
+def _parts_of(batch: pa.RecordBatch) -> Iterator[tuple[int, dict, S.Memory, S.Heads | None]]:
+    """(number, plan, content, chunk heads) of each row of a batch."""
+    plans = batch.select(["part_id", "lines_per", "n_chunks", "part_code", "multi", "table_at", "y_min", "y_max"]).to_pylist()
+    for i, p in enumerate(plans):
+        source = S.Memory(batch.column("content")[i].as_buffer() or b"")
+        fine = p["part_code"] is None and p["n_chunks"] > 0
+        yield i, p, source, S.heads(source, p["table_at"], p["n_chunks"], p["multi"], p["part_id"]) if fine else None
+
+
+def _some(values: np.ndarray, there: np.ndarray | None = None) -> pa.Array:
+    return pa.array(values.astype(np.int32), mask=None if there is None else ~there)
+
+
+_SPANS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+
+
+def _spans(lists: list[list[tuple[int, int]] | None]) -> pa.Array:
+    return pa.array([None if x is None else [{"lo": lo, "hi": hi} for lo, hi in x] for x in lists], _SPANS)
+
+
+def _chunk_columns(i: int, p: dict, found: S.Heads, payloads: Callable[[list[int]], list], own: list[int]) -> Iterator[tuple[int, list[pa.Array]]]:
+    """(rows, columns from chunk_index on) of a part's chunks, in batches of a bounded size."""
+    kept = S.kept_spans(found, p["part_id"], p["y_min"], p["lines_per"])
+    for run in S.runs_of([int(found.size[k]) if found.fits[k] else 0 for k in own]):
+        some = own[run.start : run.stop]
+        at = np.array(some)
+        yield len(some), [
+            _some(at), pa.array(found.at[at], mask=~found.known[at]), _some(found.own[at], found.safe[at]), _some(found.y[at], found.safe[at]), _some(found.size[at], found.safe[at]),
+            S.binaries(payloads(some)), _spans([None if kept is None else kept.get(k, []) for k in some]), pa.array([found.code(k) for k in some], pa.string()),
+        ]
+
+
+def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """PLANNED and the columns of one chunk a row; after a part's chunks a row without a chunk, whose spans are the lines that no chunk gives, or the part's error."""
+    names = [*PLANNED, "chunk_index", "chunk_offset", "own", "chunk_y", "data_size", "payload", "kept", "code"]
+    for batch in batches:
+        planned = batch.select(list(PLANNED))
+        for i, p, source, found in _parts_of(batch):
+            one = planned.slice(i, 1)
+            if found:
+                read = lambda some, found=found, source=source: [source.read(found.place(k), int(found.size[k])) if found.fits[k] else None for k in some]
+                for n, cols in _chunk_columns(i, p, found, read, list(range(p["n_chunks"]))):
+                    yield pa.RecordBatch.from_arrays([*one.take(pa.array(np.zeros(n, np.int64))).columns, *cols], names=names)
+            none = [] if p["part_code"] else S.gaps(found, p["part_id"], p["y_min"], p["y_max"], p["lines_per"])
+            null = [pa.nulls(1, t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*one.columns, *null, _spans([none]), pa.nulls(1, pa.string())], names=names)
+
+
+def _header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """PLANNED and k, the heads of all chunks of a part; no payload is read."""
+    for batch in batches:
+        k = []
+        for _, p, _, found in _parts_of(batch):
+            safe = found.safe.tolist() if found else []
+            k.append([{"chunk_index": c, "own": int(found.own[c]) if s and p["multi"] else None, "chunk_y": int(found.y[c]) if s else None, "data_size": int(found.size[c]) if s else None, "code": found.code(c)} for c, s in enumerate(safe)] if found else None)
+        kind = pa.list_(pa.struct([("chunk_index", pa.int32()), ("own", pa.int32()), ("chunk_y", pa.int32()), ("data_size", pa.int32()), ("code", pa.string())]))
+        yield pa.RecordBatch.from_arrays([*batch.select(list(PLANNED)).columns, pa.array(k, kind)], names=[*PLANNED, "k"])
+
+
+def _planned_schema(rows: DataFrame) -> str:
+    return ", ".join(f"{c} {t}" for c, t in rows.dtypes if c in PLANNED)
+
+
+def _chunk_rows(structured: DataFrame, part_id: int | Column | None) -> DataFrame:
+    rows = _plan_rows(structured, part_id)
+    return rows.mapInArrow(_chunker, _planned_schema(rows) + f", chunk_index int, chunk_offset long, own int, chunk_y int, data_size int, payload binary, kept {KEPT}, code string")
 
 
 def _of_chunk(rows: DataFrame) -> DataFrame:
-    """rows with a chunk k and their lines and expected_size."""
-    rows = rows.withColumn("lines", G.lines_in_chunk(F.col("k.chunk_y"), F.col("w.y_max"), F.col("lines_per")))
-    return rows.withColumn("expected_size", expected_size(F.col("channels"), F.col("w"), F.col("k.chunk_y"), F.col("lines")))
+    """Chunk rows with their lines, their expected size, and one code."""
+    rows = rows.withColumn("lines", G.lines_in_chunk(F.col("chunk_y"), F.col("w.y_max"), F.col("lines_per")))
+    rows = rows.withColumn("expected_size", expected_size(F.col("channels"), F.col("w"), F.col("chunk_y"), F.col("lines")))
+    return rows.select("path", "part_id", "chunk_index", "chunk_offset", "chunk_y", "data_size", "lines", "expected_size", (F.col("data_size") == F.col("expected_size")).alias("is_raw"), "compression", "w", "channels", "lines_per", "payload", "kept", F.coalesce("part_code", "code").alias("code"))
 
 
 def chunks(structured: DataFrame, part_id: int | Column | None = None) -> DataFrame:
     """A row a chunk: path, part_id, chunk_index, chunk_y, data_size, lines, expected_size, is_raw, payload, and what decoding needs; broken parts and chunks have an error code.
 
-    Chunks that name another part are left out (decode_events tells of them).
+    kept has the spans of lines that a chunk gives where chunks give lines twice
+    (null: all).  Chunks that name another part are left out (decode_events
+    tells of them).
     """
-    rows = _scanned(structured, part_id).select("path", "part_id", "compression", "w", "channels", "lines_per", "part_code", F.explode_outer("k").alias("k"))
-    rows = rows.filter(F.col("k").isNotNull() | F.col("part_code").isNotNull())
-    rows = _of_chunk(rows.filter(F.col("k.own").isNull() | (F.col("k.own") == F.col("part_id"))))
-    return rows.select("path", "part_id", "k.chunk_index", "k.chunk_offset", "k.chunk_y", "k.data_size", "lines", "expected_size", (F.col("k.data_size") == F.col("expected_size")).alias("is_raw"), "compression", "w", "channels", "k.payload", "k.later", F.coalesce("part_code", "k.code").alias("code"))
+    rows = _chunk_rows(structured, part_id).filter("chunk_index IS NOT NULL OR part_code IS NOT NULL")
+    return _of_chunk(rows.filter("own IS NULL OR own = part_id"))
 
 
 def compressed(chunks_: DataFrame) -> DataFrame:
@@ -207,31 +245,31 @@ SCANLINES = "path string, part_id int, channel string, y int, sampled_row int, v
 _KINDS = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float32()), pa.int32(), pa.string())
 
 
-def _planes(channels_: list[dict], w: dict, y: int, lines: int) -> list[B.Plane]:
+def _planes(channels_: list[dict], w: dict, y: int, lines: int, compat: bool = False) -> list[B.Plane]:
     out = []
     for c in channels_:
         xs, ys = max(1, c["x_sampling"]), max(1, c["y_sampling"])
         first = lambda lo, s: lo + -lo % s
         width = max(0, (w["x_max"] - first(w["x_min"], xs)) // xs + 1)
         top = max(y, w["y_min"])
-        out.append(B.Plane(c["pixel_type"], c["p_linear"], width, tuple(range(first(top, ys), y + lines, ys)) if width else (), c["name"], xs == ys == 1))
+        out.append(B.Plane(c["pixel_type"], c["p_linear"], width, tuple(range(first(top, ys), y + lines, ys)) if width else (), c["name"], xs == ys == 1, compat))
     return out
 
 
-def _lines(row: dict, schemes: dict, wanted: set[str] | None) -> Iterator[tuple]:
-    """The scanlines of one chunk."""
-    w, planes = row["w"], _planes(row["channels"], row["w"], row["chunk_y"], row["lines"])
-    data = B.decoded(schemes.get(row["compression"]), bytes(row["payload"]), row["expected_size"], planes)
-    at, lines = 0, row["lines_per"]
-    covered = [range(y, y + lines) for y in row["later"] or ()]
+def _decoded_lines(row: dict, schemes: dict, payload: pa.Buffer, wanted: set[str] | None, compat: bool) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(channel's number, y, values) of the lines of one chunk."""
+    planes = _planes(row["channels"], row["w"], row["chunk_y"], row["lines"], compat)
+    data = memoryview(B.decoded(schemes.get(row["compression"]), payload.to_pybytes(), row["expected_size"], planes))
+    spans = row["kept"]
     last = {c["name"]: i for i, c in enumerate(row["channels"])}  # of channels of one name the last counts
+    at = 0
     for y, i in sorted((y, i) for i, p in enumerate(planes) for y in p.ys):
         p, c = planes[i], row["channels"][i]
         n = p.width * p.size
         raw, at = data[at : at + n], at + n
         if len(raw) < n:
             raise H.ExrError("MALFORMED_CHUNK", "a line runs past the chunk")
-        if wanted is not None and c["name"] not in wanted or last[c["name"]] != i or any(y in r for r in covered):
+        if wanted is not None and c["name"] not in wanted or last[c["name"]] != i or spans is not None and not any(s["lo"] <= y < s["hi"] for s in spans):
             continue
         if p.kind == B.HALF:
             v = np.frombuffer(raw, "<f2").astype(np.float32)
@@ -239,31 +277,75 @@ def _lines(row: dict, schemes: dict, wanted: set[str] | None) -> Iterator[tuple]
             v = np.frombuffer(raw, "<f4")
         else:
             v = (np.frombuffer(raw, "<u4") * (1 / 4294967295)).astype(np.float32)
-        s = max(1, c["y_sampling"])
-        yield row["path"], row["part_id"], c["name"], y, (y - (w["y_min"] + -w["y_min"] % s)) // s, v, row["chunk_index"], None
+        yield i, y, v
+
+
+class _Out:
+    """Rows that end with an array of floats, gathered into batches of a bounded size."""
+
+    def __init__(self, schema: str, kinds: tuple[pa.DataType, ...], most: int = 1 << 20):
+        self.names, self.kinds, self.most = [f.split()[0] for f in schema.split(", ")], kinds, most
+        self.rows: list[tuple] = []
+        self.size = 0
+
+    def add(self, *row: object) -> bool:
+        """Is it time to hand out a batch?"""
+        self.rows.append(row)
+        self.size += sum(len(v) for v in row if isinstance(v, np.ndarray)) + 8
+        return self.size >= self.most
+
+    def batch(self) -> pa.RecordBatch:
+        cols = list(zip(*self.rows, strict=True)) or [()] * len(self.kinds)
+        out = [floats(c) if t == FLOATS else pa.array(c, t) for c, t in zip(cols, self.kinds, strict=True)]
+        self.rows, self.size = [], 0
+        return pa.RecordBatch.from_arrays(out, names=self.names)
+
+
+FLOATS = pa.list_(pa.float32())
 
 
-def scanlines(chunks_: DataFrame, names: list[str] | None = None, mode: str = "PERMISSIVE") -> DataFrame:
-    """Decoded lines: path, part_id, channel, y, sampled_row, values; what can't be decoded is a row with a code.  names: the channels to keep."""
+def floats(arrays: tuple[np.ndarray | None, ...]) -> pa.Array:
+    """A column of arrays of floats, or nulls."""
+    sizes = [0 if a is None else len(a) for a in arrays]
+    ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.array([*(a is None for a in arrays), False]))
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.float32), *(a for a in arrays if a is not None)]), pa.float32()))
+
+
+_NEEDED = ("path", "part_id", "chunk_index", "chunk_y", "lines", "expected_size", "compression", "w", "channels", "code", "kept", "lines_per", "payload")
+
+
+def scanlines(chunks_: DataFrame, names: list[str] | None = None, mode: str = "PERMISSIVE", compat: bool = False) -> DataFrame:
+    """Decoded lines: path, part_id, channel, y, sampled_row, values; what can't be decoded is a row with a code.
+
+    names: the channels to keep.  compat: schemes that make halves round as
+    functions.pixels.half_bits(compat=True) does.
+    """
     wanted, schemes = set(names) if names else None, dict(B.SCHEMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Out(SCANLINES, _KINDS)
         for batch in batches:
-            for k in range(batch.num_rows):  # one chunk at a time becomes Python objects
-                (row,) = batch.slice(k, 1).to_pylist()
+            for k, row in enumerate(batch.select(list(_NEEDED[:-1])).to_pylist()):
                 try:
                     if row["code"]:
                         raise H.ExrError(row["code"], "found by the scan")
-                    rows = list(_lines(row, schemes, wanted))
+                    rows = []
+                    for i, y, v in _decoded_lines(row, schemes, batch.column("payload")[k].as_buffer(), wanted, compat):
+                        c, lo = row["channels"][i], row["w"]["y_min"]
+                        s = max(1, c["y_sampling"])
+                        rows.append((row["path"], row["part_id"], c["name"], y, (y - (lo + -lo % s)) // s, v, row["chunk_index"], None))
                 except H.ExrError as e:
                     if mode == "FAILFAST":
                         raise
                     rows = [(row["path"], row["part_id"], None, None, None, None, row["chunk_index"], e.code)]
-                cols = list(zip(*rows, strict=True)) or [()] * len(_KINDS)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _KINDS, strict=True)], names=[f.split()[0] for f in SCANLINES.split(", ")])
+                full = False
+                for r in rows:
+                    full |= out.add(*r)
+                if full:
+                    yield out.batch()
+        yield out.batch()
 
-    per = lines_per_chunk(F.col("compression")).alias("lines_per")
-    return chunks_.select("path", "part_id", "chunk_index", "chunk_y", "lines", "expected_size", "compression", "w", "channels", "payload", "code", "later", per).mapInArrow(run, SCANLINES)
+    return chunks_.select(*_NEEDED).mapInArrow(run, SCANLINES)
 
 
 def sampled_pixels(lines: DataFrame) -> DataFrame:
@@ -271,16 +353,115 @@ def sampled_pixels(lines: DataFrame) -> DataFrame:
     return lines.filter("code IS NULL").select("path", "part_id", "channel", F.posexplode("values").alias("sx", "value"), "sampled_row")
 
 
-def expanded_pixels(lines: DataFrame, structured: DataFrame) -> DataFrame:
-    """Every channel at full size: path, part_id, channel, x, y, value; each pixel has the nearest sample, and 0 where a line is missing."""
-    once = lines.filter("code IS NULL").select("path", "part_id", F.col("channel").alias("name"), "sampled_row", "values")
-    each = structured.select("path", F.explode("s.parts").alias("p")).select("path", "p.part_id", F.col("p.data_window").alias("w"), F.inline("p.channels"))
-    axis = lambda a: (G.first_sample(F.col(f"w.{a}_min"), F.col(f"{a}_sampling")).alias(f"origin_{a}"), G.sample_count(F.col(f"w.{a}_min"), F.col(f"w.{a}_max"), F.col(f"{a}_sampling")).alias(f"n_{a}"))
-    grid = each.select("path", "part_id", "name", "w", "x_sampling", "y_sampling", *axis("x"), *axis("y"), F.explode(F.sequence("w.y_min", "w.y_max")).alias("y")).distinct()
-    near = lambda at, a: G.nearest_sample(at, F.col(f"origin_{a}"), F.col(f"{a}_sampling"), F.col(f"n_{a}"))
-    rows = grid.withColumn("sampled_row", near(F.col("y"), "y")).join(once, ["path", "part_id", "name", "sampled_row"], "left")
-    spread = rows.withColumn("x", F.explode(F.sequence("w.x_min", "w.x_max")))
-    return spread.select("path", "part_id", F.col("name").alias("channel"), "x", "y", F.coalesce(F.get("values", near(F.col("x"), "x")), F.lit(0.0).cast("float")).alias("value"))
+FULL_LINES = "path string, part_id int, channel string, y int, x_min int, values array<float>"
+
+
+def _full(row: dict, i: int, decoded: dict[int, np.ndarray], spans: list[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray]]:
+    """(y, values) of channel i at full size: the lines whose nearest sampled line lies in spans; 0 where that was not decoded."""
+    w, c = row["w"], row["channels"][i]
+    xs, ys = max(1, c["x_sampling"]), max(1, c["y_sampling"])
+    x0, y0 = w["x_min"] + -w["x_min"] % xs, w["y_min"] + -w["y_min"] % ys
+    width, n_x, n_y = w["x_max"] - w["x_min"] + 1, max(0, (w["x_max"] - x0) // xs + 1), max(0, (w["y_max"] - y0) // ys + 1)
+    blank = np.zeros(max(0, width), np.float32)
+    near = np.clip(np.floor((np.arange(w["x_min"], w["x_max"] + 1) - x0) / xs + 0.5).astype(np.int64), 0, max(0, n_x - 1)) if xs > 1 else None
+    for lo, hi in spans:
+        for y in range(max(y0, lo + -lo % ys), min(hi, w["y_max"] + 1), ys):
+            r = (y - y0) // ys
+            v = decoded.get(y)
+            v = blank if v is None or not len(v) else v if near is None else v[near]
+            first = w["y_min"] if r == 0 else y0 + r * ys - ys // 2
+            for at in range(first, w["y_max"] + 1 if r == n_y - 1 else y0 + (r + 1) * ys - ys // 2):
+                yield at, v
+
+
+def _full_chunk(row: dict, schemes: dict, payload: pa.Buffer | None, wanted: set[str] | None, compat: bool, mode: str) -> dict[int, list[tuple[int, np.ndarray]]]:
+    """The lines at full size that a chunk row gives, by channel; a row without a chunk gives the lines that no chunk does, and channels without samples."""
+    last = {c["name"]: i for i, c in enumerate(row["channels"])}
+    own = [i for n, i in last.items() if wanted is None or n in wanted]
+    w = row["w"]
+    spans = [(s["lo"], s["hi"]) for s in row["kept"]] if row["kept"] is not None else [(row["chunk_y"], row["chunk_y"] + row["lines_per"])]
+    decoded: dict[int, dict[int, np.ndarray]] = {i: {} for i in own}
+    if row["chunk_index"] is not None:
+        try:
+            if row["code"]:
+                raise H.ExrError(row["code"], "found by the scan")
+            for i, y, v in _decoded_lines(row, schemes, payload, wanted, compat):
+                decoded[i][y] = v
+        except H.ExrError:
+            if mode == "FAILFAST":
+                raise
+            decoded = {i: {} for i in own}
+    out = {i: list(_full(row, i, decoded[i], spans)) for i in own}
+    if row["chunk_index"] is None:
+        for i in own:
+            ys = max(1, row["channels"][i]["y_sampling"])
+            if w["y_min"] + -w["y_min"] % ys > w["y_max"]:  # no line of it is sampled
+                out[i] = [(y, np.zeros(w["x_max"] - w["x_min"] + 1, np.float32)) for y in range(w["y_min"], w["y_max"] + 1)]
+    return out
+
+
+def _full_rows(structured: DataFrame, part_id: int | Column | None) -> DataFrame:
+    """Chunk rows of parts that can be decoded, with the rows for lines that no chunk gives.  A chunk whose head can't be read gives no lines, so these are in such a row."""
+    rows = _chunk_rows(structured, part_id).filter("part_code IS NULL AND (own IS NULL OR own = part_id) AND (chunk_index IS NULL OR chunk_y IS NOT NULL)")
+    return _of_chunk(rows).select(*_NEEDED)
+
+
+def full_lines(structured: DataFrame, names: list[str] | None = None, part_id: int | Column | None = None, mode: str = "PERMISSIVE", compat: bool = False) -> DataFrame:
+    """Every channel at full size: path, part_id, channel, y, x_min, values; each pixel has the nearest sample, and 0 where a line is missing.
+
+    Lines are made where their chunk is decoded, so nothing is shuffled; parts
+    that can't be decoded at all have no lines.
+    """
+    wanted, schemes = set(names) if names else None, dict(B.SCHEMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Out(FULL_LINES, (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), FLOATS))
+        for batch in batches:
+            for k, row in enumerate(batch.select(list(_NEEDED[:-1])).to_pylist()):
+                for i, lines in _full_chunk(row, schemes, batch.column("payload")[k].as_buffer(), wanted, compat, mode).items():
+                    for y, v in lines:
+                        if out.add(row["path"], row["part_id"], row["channels"][i]["name"], y, row["w"]["x_min"], v):
+                            yield out.batch()
+        yield out.batch()
+
+    return _full_rows(structured, part_id).mapInArrow(run, FULL_LINES)
+
+
+COLOUR_LINES = "path string, part_id int, y int, r array<float>, g array<float>, b array<float>, a array<float>"
+
+
+def colour_lines(structured: DataFrame, names: tuple[str | None, ...] = ("R", "G", "B", "A"), part_id: int | Column | None = None, merged: bool = False, mode: str = "PERMISSIVE", compat: bool = False) -> DataFrame:
+    """A row a line: path, part_id, y, and arrays r, g, b, a of the channels of these names (null: not there).
+
+    A chunk holds all channels of its lines, so nothing is shuffled.  Channels
+    that skip lines have lines of their own in other chunks: merged puts these
+    together, with a shuffle of lines; without it such a part raises.
+    """
+    schemes = dict(B.SCHEMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Out(COLOUR_LINES, (pa.string(), pa.int32(), pa.int32(), FLOATS, FLOATS, FLOATS, FLOATS))
+        for batch in batches:
+            for k, row in enumerate(batch.select(list(_NEEDED[:-1])).to_pylist()):
+                if not merged and any(c["name"] in names and c["y_sampling"] > 1 for c in row["channels"]):
+                    raise ValueError(f"{row['path']}: a channel skips lines; use merged=True")
+                got = _full_chunk(row, schemes, batch.column("payload")[k].as_buffer(), {n for n in names if n}, compat, mode)
+                by = {row["channels"][i]["name"]: dict(lines) for i, lines in got.items()}
+                for y in sorted({y for lines in by.values() for y in lines}):
+                    if out.add(row["path"], row["part_id"], y, *(by.get(n, {}).get(y) for n in names)):
+                        yield out.batch()
+        yield out.batch()
+
+    lines = _full_rows(structured, part_id).mapInArrow(run, COLOUR_LINES)
+    if merged:
+        lines = lines.groupBy("path", "part_id", "y").agg(*(F.first(c, ignorenulls=True).alias(c) for c in "rgba"))
+    return lines
+
+
+def expanded_pixels(full: DataFrame) -> DataFrame:
+    """full_lines as a row a pixel: path, part_id, channel, x, y, value."""
+    each = full.select("path", "part_id", "channel", "x_min", "y", F.posexplode("values").alias("i", "value"))
+    return each.select("path", "part_id", "channel", (F.col("x_min") + F.col("i")).alias("x"), "y", "value")
 
 
 def errors(structured: DataFrame, lines: DataFrame) -> DataFrame:
@@ -310,7 +491,8 @@ def decode_events(structured: DataFrame, lines: DataFrame | None = None, part_id
     kind = "struct<level:string,code:string,chunk_index:int,n:bigint>"
     event = lambda level, code, chunk, n: F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), chunk.cast("int").alias("chunk_index"), n.cast("long").alias("n"))
     none = F.lit(None)
-    rows = _scanned(structured, part_id)
+    rows = _plan_rows(structured, part_id)
+    rows = rows.mapInArrow(_header, f"{_planned_schema(rows)}, k {_HEADS}")
     size = lambda k: expected_size(F.col("channels"), F.col("w"), k["chunk_y"], G.lines_in_chunk(k["chunk_y"], F.col("w.y_max"), F.col("lines_per")))
     foreign = lambda k: F.coalesce(k["own"] != F.col("part_id"), F.lit(False))
     heads = F.transform("k", lambda k: F.struct(k["chunk_index"].alias("chunk_index"), k["own"].alias("own"), foreign(k).alias("foreign"), k["code"].alias("code"), k["data_size"].alias("data_size"), F.when(k["code"].isNull() & ~foreign(k) & (F.col("compression") == 0), k["data_size"] - size(k)).alias("trailing")))

@@ -17,6 +17,8 @@ SYMBOLS = WORDS + 1
 # without a code, LONG_RUN for 8 more bits of them.
 SHORT_RUN, LONG_RUN = 59, 63
 LONGEST = 58
+#: Bits that are looked up at once.
+WINDOW = 1 << 18
 BITMAP = 8192
 
 
@@ -94,7 +96,7 @@ def unhuffed(raw: bytes, n_words: int) -> np.ndarray:
     """Words of a Huffman-coded block: a header of five 32-bit numbers, the table of lengths, the codes.
 
     What stands at every bit, and where the next code would begin, is looked up
-    for all bits at once; only the hops from code to code come one by one.
+    for WINDOW bits at once; only the hops from code to code come one by one.
     """
     if len(raw) < 20:
         raise ValueError("codes are cut short")
@@ -109,30 +111,34 @@ def unhuffed(raw: bytes, n_words: int) -> np.ndarray:
     of, length = _tables(symbols, sizes, codes)
     wide = np.frombuffer(data[: -(-n_bits // 8)] + bytes(8), np.uint8).astype(np.int64)
     three = wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]
-    at = np.arange(n_bits)
-    window = three[at >> 3] >> (8 - (at & 7)) & 0xFFFF
-    symbol, size = of[window], length[window]
-    # the greatest symbol repeats the word before, as often as the next 8 bits say
-    repeats = (size > 0) & (symbol == most)
-    hops = np.where(size > 0, at + size + 8 * repeats, -1).tolist()
     longer = {(int(n), int(c)): int(s) for s, n, c in zip(symbols[sizes > LOOK], sizes[sizes > LOOK], codes[sizes > LOOK], strict=True)}
-    found: list[int] = []
+    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     p = 0
     while p < n_bits:
-        found.append(p)
-        q = hops[p]
-        if q < 0:
-            q = _long(longer, data, p, n_bits, symbol, size)
-            if symbol[p] == most:
-                q += 8
-                repeats[p] = True
-        p = q
-    spots = np.array(found, np.int64)
-    own, runs = symbol[spots], repeats[spots]
+        base, end = p, min(p + WINDOW, n_bits)
+        at = np.arange(base, end)
+        window = three[at >> 3] >> (8 - (at & 7)) & 0xFFFF
+        symbol, size = of[window].astype(np.int64), length[window].astype(np.int64)
+        # the greatest symbol repeats the word before, as often as the next 8 bits say
+        repeats = (size > 0) & (symbol == most)
+        hops = np.where(size > 0, at + size + 8 * repeats, -1).tolist()
+        found: list[int] = []
+        while p < end:
+            i = p - base
+            found.append(i)
+            q = hops[i]
+            if q < 0:
+                symbol[i], size[i] = _long(longer, data, p, n_bits)
+                repeats[i] = symbol[i] == most
+                q = p + int(size[i]) + 8 * int(repeats[i])
+            p = q
+        spots = np.array(found, np.int64)
+        done.append((symbol[spots], repeats[spots], spots + base + size[spots]))
+    own, runs, ends = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64))
     if p > n_bits:
         raise ValueError("codes are cut short")
-    count = np.ones(len(spots), np.int64)
-    after = spots[runs] + size[spots[runs]]
+    count = np.ones(len(own), np.int64)
+    after = ends[runs]
     count[runs] = (wide[after >> 3] << 8 | wide[(after >> 3) + 1]) >> (8 - (after & 7)) & 0xFF
     if len(runs) and runs[0]:
         raise ValueError("a run without a word")
@@ -143,8 +149,8 @@ def unhuffed(raw: bytes, n_words: int) -> np.ndarray:
     return np.repeat(own[source], count).astype(np.uint16)
 
 
-def _long(longer: dict[tuple[int, int], int], data: bytes, p: int, n_bits: int, symbol: np.ndarray, size: np.ndarray) -> int:
-    """The end of the code at bit p, which has more than LOOK bits; it is noted in symbol and size."""
+def _long(longer: dict[tuple[int, int], int], data: bytes, p: int, n_bits: int) -> tuple[int, int]:
+    """(symbol, size) of the code at bit p, which has more than LOOK bits."""
     bits = Bits(data)
     for n in range(LOOK + 1, LONGEST + 1):
         if p + n > n_bits:
@@ -152,8 +158,7 @@ def _long(longer: dict[tuple[int, int], int], data: bytes, p: int, n_bits: int,
         bits.at = p
         hit = longer.get((n, bits.take(n)))
         if hit is not None:
-            symbol[p], size[p] = hit, n
-            return p + n
+            return hit, n
     raise ValueError("an unknown code")
 
 

@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import heapq
 import struct
+import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -346,3 +350,25 @@ def multipart_files(images: DataFrame, key: str, parts: list[tuple[str, int, str
     values = F.struct(*(F.col(p[2]).alias(f"c{i}") for i, p in enumerate(parts)))
     out = images.select(F.concat(F.lit("image/"), F.col(key).cast("string"), F.lit(".exr")).alias("path"), write(values).alias("content"))
     return out.select("path", F.length("content").cast("long").alias("length"), "content")
+
+
+def saved(files: DataFrame, folder: str) -> DataFrame:
+    """Write files (path, content) below a folder, each by one task; (path, name, length) of what was written, once it is asked for.
+
+    A file is written under a name of its own and then renamed, so a repeated
+    task leaves a whole file with the same bytes.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            names = batch.column("path").to_pylist()
+            for i, name in enumerate(names):
+                at, part = f"{root}/{name}", f"{root}/{name}.{uuid.uuid4().hex}"
+                system.create_dir(at.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(part) as out:
+                    out.write(batch.column("content")[i].as_buffer())
+                system.move(part, at)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{n}" for n in names], pa.string()), batch.column("path"), pa.array([len(c.as_buffer()) for c in batch.column("content")], pa.int64())], names=["path", "name", "length"])
+
+    return files.select("path", "content").mapInArrow(write, "path string, name string, length long")

@@ -134,7 +134,7 @@ def test_lines_given_twice(spark):
     good[at + 16 : at + 20] = (0).to_bytes(4, "little")  # the second chunk says that it is line 0
     assert values(decode(spark, bytes(good))[1]) == {("R", 0): [2, 2], ("R", 2): [3, 3]}
     s, lines = decode(spark, bytes(good))
-    assert {(r.x, r.y): r.value for r in exr.expanded_pixels(lines, s).collect()}[0, 1] == 0
+    assert {(r.x, r.y): r.value for r in exr.expanded_pixels(exr.full_lines(s)).collect()}[0, 1] == 0
 
 
 def test_long_headers_are_walked_whole(spark, monkeypatch):
@@ -165,7 +165,7 @@ def test_subsampled_channel(spark):
     s = np.array([[0, 2], [20, 22]], "<f4")
     files, lines = decode(spark, encoded([s], [2], ["S"], 0, sampling=2, size=(4, 4)))
     assert values(lines) == {("S", 0): [0, 2], ("S", 1): [20, 22]}
-    full = {(r.x, r.y): r.value for r in exr.expanded_pixels(lines, files).collect()}
+    full = {(r.x, r.y): r.value for r in exr.expanded_pixels(exr.full_lines(files)).collect()}
     assert len(full) == 16
     assert (full[0, 0], full[1, 0], full[3, 3], full[2, 1]) == (0, 2, 22, 22)
 
