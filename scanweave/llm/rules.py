@@ -1,8 +1,10 @@
 """Quality rules whose cutoffs are controlled for risk.
 
 A rule rejects a text whose value exceeds a cutoff.  Cutoffs come from labelled
-texts: of the good ones of a stratum (a language), all rules together may
-reject a share of at most ``risk``.  The cutoffs of all rules are steps of one
+texts that the base rules keep: of the good ones of a stratum (a language), all
+rules together may reject a share of at most ``risk``.  What the base rules
+reject is no rejection of these rules, so such texts are no part of the sample,
+and the certificate holds for the texts that the rules decide on.  The cutoffs of all rules are steps of one
 fixed sequence (see ``steps``), each of which makes one rule stricter.  A step
 is certified if, were the true share of all that is rejected so far just at
 the limit, so few false rejections among so many good texts would have at most
@@ -118,7 +120,7 @@ def counted(docs: DataFrame, text: str = "text", keep: bool = False) -> DataFram
 
 
 def cutoffs(labelled: DataFrame, stratum: str = "lang", label: str = "quality", risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """(limit_of, good, false, max_<rule> ...) of each stratum with a certificate, from labelled rows with COUNTS: its good texts, how many of them the cutoffs reject, and the cutoffs (null: none).
+    """(limit_of, good, false, max_<rule> ...) of each stratum with a certificate, from labelled rows with COUNTS: its good texts, how many of them the cutoffs reject, and the cutoffs (null: none).  Rows that fail the base rules are left out.
 
     Labelled rows are counted by step first, so what is certified is a row a
     stratum, in tasks by stratum; any number of strata will do.
@@ -126,7 +128,7 @@ def cutoffs(labelled: DataFrame, stratum: str = "lang", label: str = "quality",
     own, sequence = rules(), steps()
     # the first step that rejects a text: from there on it is rejected
     first = F.least(*(F.when(own[name][0] > own[name][1][i], t).otherwise(len(sequence)) for t, (name, i) in enumerate(sequence)))
-    each = labelled.select(F.col(stratum).cast("string").alias("stratum"), (F.col(label) == 1).alias("good"), first.alias("first"))
+    each = labelled.filter(~base_failed()).select(F.col(stratum).cast("string").alias("stratum"), (F.col(label) == 1).alias("good"), first.alias("first"))
     counts = each.groupBy("stratum", "good", "first").agg(F.count("*").alias("n"))
     # at most two entries a step
     rows = written(counts.groupBy("stratum").agg(F.collect_list(F.struct("good", "first", "n")).alias("steps")), "steps")
