@@ -7,11 +7,16 @@
    the targets.  What a source has drawn over its quota in the last shards
    goes to the sources that are short, in a closing shard, so the mix hits its
    targets whatever the draw.
-3. The slots of a source are numbered through all shards.  Slot number n reads
-   block perm(n mod blocks) in round n div blocks, where perm is a keyed
-   pseudorandom permutation of that source's blocks and round (a Feistel
-   network with cycle walking), so no list of blocks is ever shuffled.
-4. Slots and blocks meet in an equi-join by source and block index.
+3. The slots of a source are numbered through all shards, so the draws say
+   which shard a slot lies in.  Slot number n reads block perm(n mod blocks) in
+   round n div blocks, where perm is a keyed pseudorandom permutation of that
+   source's blocks and round (a Feistel network with cycle walking), so no list
+   of blocks is ever shuffled.  Within its shard a slot has a place, by a
+   permutation of the shard's places.
+4. Slots and blocks meet in an equi-join by source and block index.  What comes
+   out is the mix: rows by shard and place, each with the words of a document
+   that it reads.  How much the mix takes of a document, and the documents that
+   it reads, are summed up from these rows.
 
 Targets share the size of all sources by weight; a target stops at ``most``
 times its source's size, and the rest is shared again by weight.  A block is
@@ -104,7 +109,7 @@ def sources(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
 
 
 def shards(known: DataFrame, seed: int = SEED, group: int = GROUP) -> DataFrame:
-    """(shard, no, blocks, first, slots): the slots of each source in each output shard, first being the number of the source's slots before."""
+    """(shard, no, blocks, first, slots, at, size): the slots of each source in each output shard; first is the number of the source's slots in shards before, at that of the shard's slots of sources before, size that of all its slots."""
     spark = known.sparkSession
     entries = F.sort_array(F.collect_list(F.struct("no", "quota", "blocks")))
     groups = known.filter("quota > 0").groupBy(F.expr(f"no div {group}").alias("g")).agg(entries.alias("own"), F.sum("quota").alias("n"))
@@ -138,25 +143,30 @@ def shards(known: DataFrame, seed: int = SEED, group: int = GROUP) -> DataFrame:
     kept = kept.withColumn("slots", F.least("slots", F.col("quota") - F.col("first"))).filter("slots > 0").select("shard", "no", "blocks", "first", "slots")
     got = dealt.groupBy("no").agg(F.sum("slots").alias("got"))
     short = known.join(got, "no", "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("quota > got")
-    return kept.unionByName(short.select(F.lit(n).cast("long").alias("shard"), "no", "blocks", F.col("got").alias("first"), (F.col("quota") - F.col("got")).alias("slots")))
+    closing = short.select(F.lit(n).cast("long").alias("shard"), "no", "blocks", F.col("got").alias("first"), (F.col("quota") - F.col("got")).alias("slots"))
+    # a shard has at most as many sources as slots, and the closing one a row a source
+    own = Window.partitionBy("shard")
+    before = own.orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    return kept.unionByName(closing).withColumn("at", F.coalesce(F.sum("slots").over(before), F.lit(0).cast("long"))).withColumn("size", F.sum("slots").over(own))
 
 
-def slots(known: DataFrame, seed: int = SEED) -> DataFrame:
-    """The mix: (shard, no, slot, round, block), the block that each slot of each shard reads."""
+def slots(known: DataFrame, seed: int = SEED, group: int = GROUP) -> DataFrame:
+    """(shard, place, no, slot, round, block): the block that each slot of each shard reads."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for shard, no, blocks, first, count in batch[["shard", "no", "blocks", "first", "slots"]].itertuples(index=False):
+            for shard, no, blocks, first, count, before, size in batch[["shard", "no", "blocks", "first", "slots", "at", "size"]].itertuples(index=False):
                 for at in range(first, first + count, 65_536):
                     slot = np.arange(at, min(first + count, at + 65_536))
                     round_, n = np.divmod(slot, blocks)
                     block = np.empty(len(slot), np.int64)
                     for r in np.unique(round_):
                         block[round_ == r] = permuted(n[round_ == r], int(blocks), ((seed * 1_000_003 + int(no)) * 64 + int(r)))
-                    yield pd.DataFrame({"shard": shard, "no": no, "slot": slot, "round": round_, "block": block})
+                    place = permuted(slot - first + before, int(size), -(seed * 1_000_003 + int(shard)) - 1)
+                    yield pd.DataFrame({"shard": shard, "place": place, "no": no, "slot": slot, "round": round_, "block": block})
 
     spread = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shards(known, seed).repartition(spread, "shard", "no").mapInPandas(read, "shard long, no long, slot long, round int, block long")
+    return shards(known, seed, group).repartition(spread, "shard", "no").mapInPandas(read, "shard long, place long, no long, slot long, round int, block long")
 
 
 def streams(sized: DataFrame, known: DataFrame) -> DataFrame:
@@ -174,17 +184,33 @@ def streams(sized: DataFrame, known: DataFrame) -> DataFrame:
     return inside.join(ranges.hint("merge"), ["no", "range"]).withColumn("begin", F.col("begin") + F.col("base")).drop("base", "range", "tie")
 
 
-def drawn_from(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """Rows (row_id, doc_id, source, size, tie) with size, source_size, target, begin, and draws: the parts (from, words, times) in blocks that the mix reads."""
+def placed(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(streams of the documents, the sources' table)."""
     known = written(sources(sized, weights, most, block), "sources")
-    placed = streams(sized, known)
-    parts = placed.filter("size > 0").select("row_id", "no", "begin", "size", F.explode(F.sequence(F.expr(f"begin div {block}"), F.expr(f"(begin + size - 1) div {block}"))).alias("block"))
-    times = slots(known, seed).groupBy("no", "block").agg(F.count("*").cast("int").alias("times"))
+    return streams(sized, known), known
+
+
+def mix(streamed: DataFrame, known: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """The mix: (shard, place, part, no, round, block, row_id, from, words), a row for each document that a slot's block reads, part by part; written by shard."""
+    parts = streamed.filter("size > 0").select("row_id", "no", "begin", "size", F.explode(F.sequence(F.expr(f"begin div {block}"), F.expr(f"(begin + size - 1) div {block}"))).alias("block"))
     first = F.greatest(F.col("begin"), F.col("block") * block)
+    parts = parts.select("row_id", "no", "block", (first - F.col("block") * block).cast("int").alias("part"), (first - F.col("begin")).alias("from"), (F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - first).alias("words"))
     # either side grows with the words, so neither is broadcast
-    drawn = parts.join(times.hint("merge"), ["no", "block"]).select("row_id", F.struct((first - F.col("begin")).alias("from"), (F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - first).alias("words"), "times").alias("draw"))
-    drawn = drawn.groupBy("row_id").agg(F.sort_array(F.collect_list("draw")).alias("draws"))
-    return placed.join(drawn.hint("merge"), "row_id", "left").select("row_id", "doc_id", "size", "source_size", "target", "no", "begin", "draws")
+    rows = parts.join(slots(known, seed).hint("merge"), ["no", "block"])
+    return written(rows.select("shard", "place", "part", "no", "round", "block", "row_id", "from", "words"), "mix")
+
+
+def drawn(mixture: DataFrame) -> DataFrame:
+    """(row_id, draws): what the mix reads of each document, as parts (from, words, times)."""
+    times = mixture.groupBy("row_id", "from", "words").agg(F.count("*").cast("int").alias("times"))
+    return times.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("from", "words", "times"))).alias("draws"))
+
+
+def drawn_from(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """Rows (row_id, doc_id, source, size, tie) with size, source_size, target, begin, and draws, from the rows of the mix."""
+    streamed, known = placed(sized, weights, most, block)
+    draws = drawn(mix(streamed, known, block, seed))
+    return streamed.join(draws.hint("merge"), "row_id", "left").select("row_id", "doc_id", "size", "source_size", "target", "no", "begin", "draws")
 
 
 def _sized(docs: DataFrame, key: str, text: str, source: str) -> list[Column]:
