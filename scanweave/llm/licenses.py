@@ -45,12 +45,15 @@ SPELLINGS = (
 )
 #: A line that starts by naming a holder: the word alone may start a line of a wrapped licence text.
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright *(\(c\)|[0-9©])|\(c\) *[0-9]|© *[0-9]|all rights reserved)[^\n]*$"
+#: The same without a year or sign, where the line is a paragraph of its own, as no line of a wrapped licence text is.
+COPYRIGHT_PARAGRAPH = r"(^|\n[ \t\r]*\n)[^a-z0-9\n]*copyright [^\n]*(\n[ \t\r]*\n|\n?\z)"
 #: What such a line holds, one of them at least.
 HOLDER_WORDS = ("copyright", "(c)", "©", "all rights reserved")
 #: Punctuation and white space: ASCII's, no-break spaces, dashes, curly quotes, bullets and ellipses.
 GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\x{A0}\x{2010}-\x{2015}\x{2018}-\x{201F}\x{2022}\x{2026}\x{202F}]+"
-#: Between paragraphs.
+#: Between paragraphs, and between clauses.
 PARAGRAPHS = r"\n[ \t\r]*\n"
+CLAUSES = r"[.;!?]+[ \t\r\n]+|[ \t]+[-–—]+[ \t]+"
 
 _AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 _ISC_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
@@ -82,16 +85,57 @@ KNOWN = (
     ("LGPL-3.0-or-later", _FREE.format("Lesser General Public License", "3")),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC0-1.0", "Released under CC0 1.0."),
+    ("AGPL-3.0-or-later", _FREE.format("Affero General Public License", "3") + _HOPE.format("Affero General Public License")),
+    ("LGPL-3.0-or-later", _FREE.format("Lesser General Public License", "3") + _HOPE.format("Lesser General Public License")),
+    ("LGPL-2.1-or-later", _FREE.replace("This program", "This library").replace("software:", "software;").format("Lesser General Public License", "2.1")),
+)
+
+# Names of licences as notices have them.
+NAMES = {
+    "MIT": ("MIT License", "MIT"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0 License"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL v2", "GPL-2.0 License", "GPLv2"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL v3", "GPL-3.0 License", "GPLv3"),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPLv3"),
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPLv3"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License"),
+    "ISC": ("ISC License",),
+    "Zlib": ("zlib License",),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "MPL 2.0"),
+    "BSL-1.0": ("Boost Software License 1.0", "Boost Software License, Version 1.0"),
+    "Unlicense": ("Unlicense",),
+    "CC-BY-4.0": ("CC BY 4.0", "Creative Commons Attribution 4.0 International License"),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal"),
+}
+#: Subjects and verbs of notices; "the" may stand before a name.
+SUBJECTS = ("", "This project is ", "This software is ", "This work is ", "This code is ", "This program is ", "This file is ")
+VERBS = ("licensed under ", "released under ", "distributed under ", "available under ", "licensed under the terms of ", "released under the terms of ", "distributed under the terms of ")
+
+# Digests of the canonical forms of long texts, each whole and up to its last term.
+DIGESTS: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "4a0b5a7831e63e1ffbd7a198ec456bccf641ded314e1fac6acdf940a4e7b13ed"),
+    ("Apache-2.0", "e97ca4bf9c5da617e106b78ef392942804a5a9b4f89e4c95b5afa136a38391ac"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "d0d142139ba117e0fbb63d29df37776bc9c765c015720dc0ed43bceea6416494"),
+    ("GFDL-1.3", "2cdb48855af1603586f28b20f0095e588a4bd77ee484d2c3b89bc3b1f0b61da5"),
+    ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "24cd241e223e73eb1af195b9e4c0baf03a79bbbb39987eca0e347c1e490442aa"),
+    ("GPL-3.0", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.0", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "e4d7347f1855f056365c08ad8030307f5cda3d38c9658d4f4db9a7c0aaac6c53"),
+    ("MPL-2.0", "b59ad31436b35a95a00cff48e84c1f014339f59fac784c1935fc6f7dc34abf70"),
 )
 
 # Titles that stand over these texts.
@@ -108,7 +152,13 @@ TITLES = {
 }
 
 #: Stems that a known text's raw forms share whatever their spelling.
-_STEMS = ("licen", "permi", "redistribut", "released")
+_STEMS = ("licen", "permi", "redistribut", "released", "distributed", "available")
+
+
+def notices() -> list[tuple[str, str]]:
+    """(license, text) of the lines that name a licence: by subject, verb and name, and by identifier."""
+    out = [(license_, f"{subject}{verb}{the}{name}") for license_, names in NAMES.items() for name in names for subject in SUBJECTS for verb in VERBS for the in ("", "the ")]
+    return out + [(license_, f"SPDX-License-Identifier: {license_}{more}") for license_ in NAMES for more in ("", "-only", "-or-later") if not more or "GPL" in license_]
 
 
 def variants(known: tuple[tuple[str, str], ...] = KNOWN) -> list[tuple[str, str]]:
@@ -117,7 +167,7 @@ def variants(known: tuple[tuple[str, str], ...] = KNOWN) -> list[tuple[str, str]
     for name, text in known:
         for body in dict.fromkeys((text, re.sub(r"(?<=[:.] )\d\. ", "", text))):
             out += [(name, body), *((name, f"{title}\n\n{body}") for title in TITLES.get(name, ()) if len(text) > 300)]
-    return out
+    return out + (notices() if known is KNOWN else [])
 
 
 def stems(known: list[tuple[str, str]]) -> list[str]:
@@ -140,7 +190,7 @@ def without_holders(low: Column) -> Column:
     may = F.lit(False)
     for w in HOLDER_WORDS:
         may = may | F.contains(low, F.lit(w))
-    return F.when(may, F.regexp_replace(low, "(?d)" + COPYRIGHT_LINE, " ")).otherwise(low)
+    return F.when(may, F.regexp_replace(F.regexp_replace(low, "(?d)" + COPYRIGHT_LINE, " "), "(?d)" + COPYRIGHT_PARAGRAPH, "\n\n")).otherwise(low)
 
 
 def even(low: Column) -> Column:
@@ -155,14 +205,26 @@ def digest(low: Column) -> Column:
     return F.sha2(even(without_holders(low)).cast("binary"), 256)
 
 
+#: Where the last term of a long text ends.
+LAST_TERM = "end of terms and conditions"
+
+
+def digests_of(texts: DataFrame) -> DataFrame:
+    """(license, digest) of texts (license, text): whole, and up to the line that ends the terms where there is one."""
+    low = lowered(F.col("text"))
+    forms = F.array(low, F.when(F.contains(low, F.lit(LAST_TERM)), F.concat(F.substring_index(low, LAST_TERM, 1), F.lit(LAST_TERM))))
+    each = texts.select("license", F.explode(forms).alias("low")).filter("low IS NOT NULL")
+    return each.select("license", digest(F.col("low")).alias("digest")).distinct()
+
+
 def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(license, digest) of known texts."""
-    rows = spark.createDataFrame(texts or variants(), "license string, text string")
-    return rows.select("license", digest(lowered(F.col("text"))).alias("digest")).distinct()
+    """(license, digest) of known texts: those given, or all of this module."""
+    rows = spark.createDataFrame(texts or variants(), "license string, text string").select("license", digest(lowered(F.col("text"))).alias("digest"))
+    return (rows if texts else rows.unionByName(spark.createDataFrame([*DIGESTS], "license string, digest string"))).distinct()
 
 
 def found(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text", held: list[str] | None = None) -> DataFrame:
-    """(key, digest, license, notices) of every document: the licence whose text it is, and those that its paragraphs and lines name.
+    """(key, digest, license, notices) of every document: the licence whose text it is, and those that its paragraphs, lines and clauses name.
 
     held: stems of which each known text has one; those of KNOWN by default.
     """
@@ -177,7 +239,7 @@ def found(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "t
 
     low = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("hash"), lowered(F.col(text)).alias("low"))
     whole = low.select("key", "hash", digest(F.col("low")).alias("digest"))
-    parts = F.concat(F.split("low", "\n", -1), F.split("low", PARAGRAPHS, -1))
+    parts = F.concat(F.split("low", "\n", -1), F.split("low", PARAGRAPHS, -1), F.split("low", CLAUSES, -1))
     lines = low.filter(may(F.col("low"))).select("key", "hash", F.explode(F.array_distinct(F.filter(parts, may))).alias("line"))
     named = lines.select("key", "hash", digest(F.col("line")).alias("digest")).join(table_, "digest")
     named = named.groupBy("key", "hash").agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices")).select(F.col("key").alias("named"), F.col("hash").alias("in"), "notices")

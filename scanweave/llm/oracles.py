@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from scanweave.llm.centroids import CLUSTERS, DIM, ROUNDS, SCALE, SEED
 from scanweave.llm.decontam import WINDOW
-from scanweave.llm.licenses import COPYRIGHT_LINE, GAPS, PARAGRAPHS, SPELLINGS, variants
+from scanweave.llm.licenses import CLAUSES, COPYRIGHT_LINE, COPYRIGHT_PARAGRAPH, DIGESTS, GAPS, PARAGRAPHS, SPELLINGS, variants
 from scanweave.llm.secrets import BASE, RULES
 
 
@@ -36,7 +36,7 @@ OP2 = _secrets()
 
 
 def _canonical(text: str) -> str:
-    t = f"regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE}', ' ', 'g')"
+    t = f"regexp_replace(regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE}', ' ', 'g'), '{COPYRIGHT_PARAGRAPH}', chr(10) || chr(10), 'g')"
     for spelling, same in SPELLINGS:
         t = f"replace({t}, '{spelling}', '{same}')"
     return f"trim(regexp_replace({t}, '{GAPS}', ' ', 'g'))"
@@ -45,8 +45,9 @@ def _canonical(text: str) -> str:
 def _licenses() -> str:
     known = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in variants())
     return f"""
-    WITH known AS (SELECT sha256({_canonical("t")}) AS digest, min(license) AS license FROM (VALUES {known}) AS v(license, t) GROUP BY 1),
-    parts AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10)) || string_split_regex(text, '{PARAGRAPHS}')) AS part FROM documents),
+    WITH texts AS (SELECT sha256({_canonical("t")}) AS digest, license FROM (VALUES {known}) AS v(license, t) UNION ALL FROM (VALUES {", ".join(f"('{d}', '{n}')" for n, d in DIGESTS)})),
+    known AS (SELECT digest, min(license) AS license FROM texts GROUP BY 1),
+    parts AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10)) || string_split_regex(text, '{PARAGRAPHS}') || string_split_regex(text, '{CLAUSES}')) AS part FROM documents),
     named AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
               FROM (SELECT doc_id, sha256({_canonical("part")}) AS digest FROM parts WHERE part != '') JOIN known USING (digest) GROUP BY 1)
     SELECT d.doc_id, sha256({_canonical("text")}) AS digest, k.license, coalesce(n.notices, '') AS notices
