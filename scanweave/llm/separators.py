@@ -31,9 +31,12 @@ from pyspark.sql import functions as F
 
 from scanweave.llm.common import small_batches, table, written
 from scanweave.llm.tokens import encoder, with_end
+from scanweave.sources.scan import Ranges
 
 BLOCK_IDS = 1 << 18
 GROUP = 1024
+#: Blocks that one task reads one after the other.
+RUN = 64
 
 BLOCKS = "file int, block long, ids binary"
 
@@ -45,10 +48,26 @@ def end_of(file: str) -> tuple[int, str]:
 
 
 def read_flat(spark: SparkSession, path: str, width: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """The blocks (file, block, ids) of flat token files at path (each of at most 2 GB, what Spark holds of one file); file is its path."""
+    """The blocks (file, block, ids) of flat token files at path, of any size; file is its path.
+
+    Spark lists the files; runs of RUN blocks are dealt to tasks, each of which
+    reads its runs by offset, so no byte is read twice and no task holds more
+    than a block.
+    """
     size = width * block_ids
-    files = spark.read.format("binaryFile").load(path).filter("length > 0").select(F.col("path").alias("file"), "content", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {size}"))).alias("block"))
-    return files.select("file", "block", F.substring("content", (F.col("block") * size + 1).cast("int"), F.lit(size)).alias("ids"))
+    files = spark.read.format("binaryFile").load(path).filter("length > 0").select(F.col("path").alias("file"), "length")
+    runs = files.select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {size * RUN}"))).alias("run"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, length, run in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with Ranges(file, length) as source:
+                    for block in range(run * RUN, min((run + 1) * RUN, -(-length // size))):
+                        ids = source.read(block * size, min(size, length - block * size))
+                        yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([bytes(ids)], pa.binary())], names=["file", "block", "ids"])
+
+    spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return runs.repartition(spread, "file", "run").mapInArrow(read, "file string, block long, ids binary")
 
 
 def flat_files(docs: DataFrame, file: str, block_ids: int = BLOCK_IDS, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
