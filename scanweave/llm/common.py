@@ -47,13 +47,23 @@ def small_batches(spark: SparkSession) -> None:
 _written: list[str] = []
 
 
-def release(spark: SparkSession) -> int:
-    """Remove the folders that operators of this session have written, once their results are read or written; how many there were."""
-    n = len(_written)
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def mark() -> int:
+    """How many folders operators of this session have written so far."""
+    return len(_written)
+
+
+def release(spark: SparkSession, first: int = 0, keep: int = 0) -> int:
+    """Remove the folders that operators of this session have written, once what reads them is read or written; how many there were.
+
+    first: a mark() before which folders stay; keep: how many of the last ones
+    stay, too.
+    """
+    gone = _written[first : len(_written) - keep]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    del _written[first : first + len(gone)]
+    return len(gone)
 
 
 def written(df: DataFrame, tag: str, **options: str) -> DataFrame:

@@ -46,6 +46,27 @@ def test_documents(spark, sf_dir, k, percent, cluster):
     assert got(N.near_duplicates(docs, k, percent, cluster=cluster)) == brute(rows, k, percent)
 
 
+def test_op1_keeps_the_least_of_each_group(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    want = {i: (n, root, root == i) for i, (n, root) in brute(rows, 3, 85).items()}
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in N.op1_minhash(spark, sf_dir).collect()} == want
+    assert not all(kept for _, _, kept in want.values())
+
+
+def test_recall_of_the_bands(spark):
+    """Pairs of all similarities from the limit up, a few hundred: none is lost."""
+    rng, rows = np.random.default_rng(11), []
+    for i in range(300):
+        words = [f"p{i}w{j}" for j in range(200)]
+        other = list(words)
+        # one edit costs up to three shingles of 198
+        for at in rng.choice(np.arange(0, 200, 5), int(rng.integers(0, 6)), replace=False):
+            other[at] = f"p{i}new{at}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(N.near_duplicates(docs, 3, 85)) == brute(rows, 3, 85)
+
+
 def test_chain_of_edits_in_small_chunks(spark):
     """Near copies where few are similar to each other: links form chains, clusters are cut into many chunks."""
     rng, words, rows = np.random.default_rng(5), [f"w{i}" for i in range(120)], []

@@ -79,6 +79,77 @@ def test_rows_of_one_id_keep_their_own_draws(spark):
     assert all(len({w[0] for w in t.split()}) == 1 for t in texts)
 
 
+def plain_mix(rows, known, block, seed):
+    """The mix by plain loops: draws shard by shard, slots numbered by source, streams cut into blocks."""
+    quota = {k.no: k.quota for k in known if k.quota}
+    order, total = sorted(quota), sum(quota.values())
+    shards_, left = [], total
+    for shard in range(-(-total // M.SHARD_SLOTS)):
+        n = min(M.SHARD_SLOTS, left)
+        left -= n
+        # one group of sources: its draw is all of n, and the sources' draw has a seed of its own
+        drawn = np.random.default_rng([seed, shard, 0, 1]).multinomial(n, np.array([quota[k] for k in order]) / total)
+        shards_.append(dict(zip(order, drawn.tolist(), strict=True)))
+    used, slots = dict.fromkeys(order, 0), []
+    for shard, drawn in enumerate(shards_):
+        for no, n in drawn.items():
+            take = min(n, quota[no] - used[no])
+            slots += [(shard, no, used[no] + i) for i in range(take)]
+            used[no] += take
+    slots += [(len(shards_), no, used[no] + i) for no in order for i in range(quota[no] - used[no])]
+    blocks = {k.no: k.blocks for k in known}
+    holds = {}
+    for r in rows:
+        for w in range(r.size):
+            holds.setdefault((r.no, (r.begin + w) // block), []).append((r.row_id, w))
+    read = {}
+    for shard, no, slot in slots:
+        round_, n = divmod(slot, blocks[no])
+        at = int(M.permuted(np.array([n]), blocks[no], (seed * 1_000_003 + no) * 64 + round_)[0])
+        read.setdefault((shard, no), []).extend(sorted(holds[no, at]))
+    return {k: sorted(v) for k, v in read.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mix_equals_a_plain_one(spark, sf_dir, odd, seed):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source").limit(120).unionByName(odd.select("doc_id", "text", "source"))
+    sized = M.written(docs.select(*M._sized(docs, "doc_id", "text", "source")).withColumn("row_id", F.monotonically_increasing_id()), "sizes")
+    streamed, known = M.placed(sized, block=16)
+    # streams: by range of a hash, then by id
+    want, begins = {}, streamed.withColumn("r", F.pmod(F.xxhash64("doc_id", F.lit(0)), F.lit(1))).collect()
+    for r in sized.select("row_id", "doc_id", "source", "size", "tie", F.pmod(F.xxhash64("doc_id", "tie", F.lit(M.SEED)), F.lit(M.DEALT)).alias("range")).collect():
+        want.setdefault(r.source, []).append((r.range, r.doc_id is not None, r.doc_id or 0, r.size, r.tie, r.row_id))
+    begin = {}
+    for own in want.values():
+        at = 0
+        for *_, size, _, row in sorted(own):
+            begin[row], at = at, at + size
+    assert {r.row_id: r.begin for r in begins} == begin
+    rows = M.mix(streamed, known, 16, seed).collect()
+    got = {}
+    for r in rows:
+        got.setdefault((r.shard, r.no), []).extend((r.row_id, r["from"] + i) for i in range(r.words))
+    plain = plain_mix(begins, known.collect(), 16, seed)
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in plain.items() if v}
+    for shard in {r.shard for r in rows}:  # every place of a shard is taken once
+        places = sorted({r.place for r in rows if r.shard == shard})
+        assert places == list(range(len(places)))
+    taken = {}
+    for words in plain.values():
+        for row, _ in words:
+            taken[row] = taken.get(row, 0) + 1
+    drawn = M.drawn_from(sized, block=16, seed=seed).select("row_id", M.taken().alias("t")).collect()
+    assert {r.row_id: r.t for r in drawn if r.t} == taken
+
+
+def test_seed_of_the_draw_changes_the_shards(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(640)), f"s{i % 3}") for i in range(900)], "doc_id long, text string, source string")
+    sized = M.written(docs.select(*M._sized(docs, "doc_id", "text", "source")).withColumn("row_id", F.monotonically_increasing_id()), "sizes")
+    streamed, known = M.placed(sized)
+    counts = [{(r.shard, r.no): r.n for r in M.mix(streamed, known, seed=s).groupBy("shard", "no").agg(F.countDistinct("place").alias("n")).collect()} for s in (1, 1, 2)]
+    assert counts[0] == counts[1] != counts[2]
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 17, 1000, 4097])
 def test_permutation(size):
     got = M.permuted(np.arange(size), size, 99)
@@ -215,7 +286,7 @@ def test_topk_in_small_buckets(spark):
             want.setdefault(q, []).extend((-int(a @ b), i) for i, b in sound if i != q and len(a) == len(b))
     # an id that stands twice gathers the candidates of both its rows
     want = sorted((q, n + 1, i, -s) for q, c in want.items() for n, (s, i) in enumerate(sorted(c)[:5]))
-    assert [g for g in got if g[0] != 250] == [w for w in want if w[0] != 250]
+    assert got == want
     assert K.search(df.filter("vec_id < 0"), F.col("id") % 50 == 0).count() == 0
 
 
@@ -266,6 +337,18 @@ def test_flat_files_are_read_as_blocks(spark, tmp_path):
     assert [r.n_tokens for r in T.token_counts(blocks, 0).orderBy("doc_no").collect()] == [5, 1, 40, 3]
 
 
+def test_flat_files_beyond_two_gigabytes(spark, tmp_path):
+    """A sparse file of zeros but for its ends: read by offset, block by block."""
+    end = 0xFFFF
+    spots = [3, (1 << 30) + 5, (1 << 30) + (1 << 28)]
+    with open(tmp_path / "huge.bin", "wb") as f:
+        for at in spots:
+            f.seek(2 * at)
+            f.write(end.to_bytes(2, "little"))
+    got = T.token_counts(T.read_flat(spark, f"file://{tmp_path}", 2, block_ids=1 << 24), end).orderBy("doc_no").collect()
+    assert [r.n_tokens for r in got] == [4, (1 << 30) + 2, (1 << 28) - 5] and all(r.ended for r in got)
+
+
 def test_any_id_is_an_id(spark):
     rows = [(-1, "a b"), (None, "c"), (-(2**63), "d"), (2**63 - 1, "e"), (0, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -273,17 +356,3 @@ def test_any_id_is_an_id(spark):
     assert [r.doc_id for r in got] == [None, -(2**63), -1, 0, 2**63 - 1]
 
 
-def test_pipeline(spark, sf_dir):
-    import corpus_pipeline
-    from scanweave.llm.common import written
-
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near duplicates", "secret scans", "mixing", "packing"]
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, docs = docs, written(stage(spark, docs, sf_dir), "t")
-        assert docs.columns == before.columns, name
-        if name in ("quality rules", "near duplicates"):
-            assert docs.join(before, docs.columns, "left_anti").count() == 0
-    rows = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
-    assert {crc for (crc,) in rows.select(F.crc32("ids")).distinct().collect()} and zlib.crc32(b"") == 0
-    assert rows.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
