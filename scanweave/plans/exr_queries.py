@@ -73,10 +73,12 @@ def exr_roundtrip_b44a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'image/' || vec_id || '.exr' AS path, 0 AS part_id, 'ZIP' AS compression, 8 AS width, 8 AS height, 1 AS channels, 'Y' AS first_channel, FALSE AS multipart FROM embeddings")
 def exr_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = exr.structure(embedding_files(spark, sf_dir, 3))
-    p = exr.parts(s).select("path", "part_id", exr.compression_name(F.col("compression")).alias("compression"), (F.col("data_window.x_max") - F.col("data_window.x_min") + 1).alias("width"), (F.col("data_window.y_max") - F.col("data_window.y_min") + 1).alias("height"))
-    c = exr.channels(s).groupBy("path").agg(F.count("*").cast("int").alias("channels"), F.min_by("name", "ordinal").alias("first_channel"))
-    return p.join(c, "path").join(s.select("path", F.col("s.is_multipart").alias("multipart")), "path")
+    s = exr.structure(embedding_files(spark, sf_dir, 3)).select("path", F.col("s.is_multipart").alias("multipart"), F.explode("s.parts").alias("p"))
+    w = F.col("p.data_window")
+    return s.select(
+        "path", "p.part_id", exr.compression_name(F.col("p.compression")).alias("compression"), (w["x_max"] - w["x_min"] + 1).alias("width"), (w["y_max"] - w["y_min"] + 1).alias("height"),
+        F.size("p.channels").alias("channels"), F.get("p.channels", F.lit(0))["name"].alias("first_channel"), "multipart",
+    )
 
 
 @query("SELECT 'image/' || vec_id || '.exr' AS path, 0 AS part_id, y::INT AS chunk_index, y::INT AS chunk_y, 32 AS data_size, 1 AS lines, 32::BIGINT AS expected_size, TRUE AS is_raw FROM embeddings, range(8) AS r(y)")
@@ -442,4 +444,32 @@ def exr_odd_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.join(exr.chunks(s).filter("code IS NOT NULL").select("path", "code"), "path", "left")
 
 
+# Values whose logarithms round up to a power of two: x, its 8 * ln(x) as a half, and the same with the compat rounding, which loses the carry
+_CARRIES = ((0.77880859375, -2.0, -1.0), (0.367919921875, -8.0, -4.0), (54.59375, 32.0, 16.0), (1.0, 0.0, 0.0))
+
+
+def linear_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat images of blocks, whose channel is marked as linear."""
+
+    @F.pandas_udf("binary")
+    def write(ids: pd.Series) -> pd.Series:
+        out = []
+        for i in ids:
+            data = bytearray(encoded([np.full((4, 4), _CARRIES[i % 4][0], "<f2")], [HALF], ["Y"], 6))
+            data[data.index(b"Y\0\x01\0\0\0") + 6] = 1
+            out.append(bytes(data))
+        return pd.Series(out)
+
+    e = table(spark, sf_dir, "supplier")
+    return e.select(F.concat(F.lit("image/"), F.col(_K).cast("string"), F.lit(".exr")).alias("path"), write(_K).alias("content")).select("path", F.length("content").cast("long").alias("length"), "content")
+
+
+@query(f"SELECT 'image/' || s_suppkey || '.exr' AS path, y::INT AS y, ({[c[1] for c in _CARRIES]})[(s_suppkey % 4 + 1)::INT]::DOUBLE AS ieee, ({[c[2] for c in _CARRIES]})[(s_suppkey % 4 + 1)::INT]::DOUBLE AS compat FROM supplier, range(4) AS r(y)")
+def exr_compat_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of linear channels with either rounding of halves."""
+    c = exr.chunks(exr.structure(linear_files(spark, sf_dir)))
+    one = lambda name, **o: exr.scanlines(c, **o).select("path", "y", F.array_max("values").cast("double").alias(name))
+    return one("ieee").join(one("compat", compat=True), ["path", "y"])
+
+
 __all__ = ["QUERIES"]
