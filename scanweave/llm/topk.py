@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanweave.llm.common import table, written
+from scanweave.llm.common import spread_join, table, written
 
 K = 5
 SCALE = 256
@@ -49,6 +49,8 @@ BUCKET, QUERIES = 2048, 256
 #: Blocks of a row and buckets of a column of the grid.
 ROWS, COLUMNS = 16, 64
 COORDINATE, LEADING = 0.8, 16
+#: Bytes of the longest buckets of all dimensions that are broadcast at most.
+BROADCAST = 32 << 20
 SLACK = 1e-9  # for rounding in bounds; scores themselves are exact
 #: Products of lengths below this are exact sums of doubles; below the next, of 64-bit integers.
 DOUBLES, LONGS = 2.0**52, 2.0**62
@@ -205,15 +207,18 @@ def _searched(k: int):
     return run
 
 
-def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = K, scale: int = SCALE, bucket: int = BUCKET, block: int = QUERIES, rows: int = ROWS, columns: int = COLUMNS) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = K, scale: int = SCALE, bucket: int = BUCKET, block: int = QUERIES, rows: int = ROWS, columns: int = COLUMNS, broadcast: int = BROADCAST) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all vectors for each of those whose id `queries` accepts (a condition on column id)."""
     spark = vectors.sparkSession
     all_ = quantised(vectors, key, vector, scale)
     buckets = written(packed(all_, bucket), "buckets")
     blocks = packed(all_.filter(queries), block)
-    # one bucket a dimension, of at most `bucket` vectors
+    # one bucket a dimension, of at most `bucket` vectors: few are broadcast, many are brought to the parts that blocks are dealt into
     longest = buckets.groupBy("dim").agg(F.max_by(F.struct("n", "ids", "payload"), F.struct("top", -F.col("no"))).alias("b"))
-    seeds = blocks.join(F.broadcast(longest), "dim").select("no", "dim", "n", "top", "ids", "payload", "b.n", "b.ids", "b.payload").toDF("no", "dim", "n", "top", "ids", "payload", "b_n", "b_ids", "b_payload")
+    bytes_ = longest.agg(F.coalesce(F.sum(F.length("b.payload") + F.length("b.ids")), F.lit(0)).alias("n")).first()["n"]
+    # blocks that are read twice are written first, as numbers of blocks may differ from one run to the next
+    first = blocks.join(F.broadcast(longest), "dim") if bytes_ <= broadcast else spread_join(written(blocks, "queries"), longest, "dim", "no")
+    seeds = first.select("no", "dim", "n", "top", "ids", "payload", "b.n", "b.ids", "b.payload").toDF("no", "dim", "n", "top", "ids", "payload", "b_n", "b_ids", "b_payload")
     needs = written(seeds.mapInArrow(_needs(k), "block long, dim int, n int, ids binary, payload binary, need binary, least double"), "blocks")
 
     # places in the grid: heads are a row a block or bucket; neighbours in it have similar lengths

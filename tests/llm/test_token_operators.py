@@ -287,6 +287,8 @@ def test_topk_in_small_buckets(spark):
     # an id that stands twice gathers the candidates of both its rows
     want = sorted((q, n + 1, i, -s) for q, c in want.items() for n, (s, i) in enumerate(sorted(c)[:5]))
     assert got == want
+    dealt = K.search(df, F.col("id") % 50 == 0, bucket=32, block=4, broadcast=0)
+    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in dealt.collect()) == want
     assert K.search(df.filter("vec_id < 0"), F.col("id") % 50 == 0).count() == 0
 
 
