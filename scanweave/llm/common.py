@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +46,24 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
 
 
+def trim() -> None:
+    """Give memory that is free in this process back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow that leaves its worker small: workers live on between tasks, several in an executor."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        trim()
+
+    return tidied
+
+
 #: Folders that this process has written.
 _written: list[str] = []
 
@@ -75,16 +96,21 @@ def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Parts that the rows of each key are dealt into where one key may hold a large share of all rows.
+#: Least number of parts that the rows of each key are dealt into where one key may hold a large share of all rows.
 SALTS = 16
 
 
+def salts(spark: SparkSession) -> int:
+    """Parts for the rows of each key: as many as a shuffle has partitions, so that one key can fill them all."""
+    return max(SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread_join(rows: DataFrame, facts: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """rows joined to facts on key, where one key may hold many rows: these are dealt into SALTS parts by their column `by`.
+    """rows joined to facts on key, where one key may hold many rows: these are dealt into parts (see salts) by their column `by`.
 
     Facts are brought to the parts that rows have, so a key that has few rows costs few copies.
     """
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by, F.lit("salt")), F.lit(SALTS)).cast("int"))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by, F.lit("salt")), F.lit(salts(rows.sparkSession))).cast("int"))
     seats = dealt.select(key, "_salt").distinct().join(facts, key)
     return dealt.join(seats, [key, "_salt"], how).drop("_salt")
 

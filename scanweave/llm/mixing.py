@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from scanweave.llm.common import BLANK_CLASS, BLANKS, mix64, small_batches, table, written
+from scanweave.llm.common import BLANK_CLASS, BLANKS, mix64, small_batches, table, tidy, written
 from scanweave.llm.textstats import Text
 
 BLOCK = 64
@@ -258,7 +258,7 @@ def mixed_texts(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     base = written(docs.select(kept, F.col(text).alias("text"), *_sized(docs, "doc_id", text, "source")).withColumn("row_id", F.monotonically_increasing_id()), "documents", compression="zstd")
     got = drawn_from(base.select("row_id", "doc_id", "source", "size", "tie"), **options).filter("draws IS NOT NULL").select("row_id", "draws")
     both = base.select("row_id", "row", "text").join(got.hint("merge"), "row_id").select("row", "text", "draws")
-    cut = both.mapInArrow(_cut, StructType([StructField("row", base.schema["row"].dataType), StructField("cut", StringType())]))
+    cut = both.mapInArrow(tidy(_cut), StructType([StructField("row", base.schema["row"].dataType), StructField("cut", StringType())]))
     new = {text: F.col("cut"), "n_chars": F.length("cut").cast("long")}
     return cut.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 

@@ -55,7 +55,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanweave.llm.common import SALTS, mix64, small_batches, spread_join, table, written
+from scanweave.llm.common import SALTS, mix64, salts, small_batches, spread_join, table, tidy, written
 from scanweave.llm.textstats import Text, chunks
 
 BANDS, ROWS = 48, 8
@@ -136,7 +136,7 @@ def _sketcher(k: int):
 
 def sketched(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """SKETCH of every document: number of shingles, a digest of its word sequence, and its registers."""
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_sketcher(k), SKETCH)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(_sketcher(k)), SKETCH)
 
 
 def _buckets(regs: list[bytes]) -> np.ndarray:
@@ -163,12 +163,12 @@ def banded(reps: DataFrame, *carried: str) -> DataFrame:
     """(doc_id, carried columns, bucket) of every band of each row."""
     rows = reps.select("registers", "doc_id", *carried)
     schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes[1:])
-    return rows.mapInArrow(_bander, f"{schema}, bucket long")
+    return rows.mapInArrow(tidy(_bander), f"{schema}, bucket long")
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    """The distinct edges (a, b) with m, the least b of their a.  The edges of one a are dealt to SALTS parts, and only the parts' least ones meet."""
-    salt = F.pmod(F.xxhash64("b", F.lit("salt")), F.lit(SALTS)).cast("int")
+    """The distinct edges (a, b) with m, the least b of their a.  The edges of one a are dealt to parts, and only the parts' least ones meet."""
+    salt = F.pmod(F.xxhash64("b", F.lit("salt")), F.lit(salts(edges.sparkSession))).cast("int")
     # one shuffle serves the distinct rows, the parts and the join
     dealt = edges.withColumn("salt", salt).repartition("a", "salt").distinct()
     parts = dealt.groupBy("a", "salt").agg(F.min("b").alias("m"))
@@ -391,7 +391,7 @@ def _meetings(rooted: DataFrame, reps: DataFrame, percent: int, fringe: int, spr
     fringed = dealt.filter("outer").withColumn("fringe", F.lit(True)).withColumn("other", every("ms")).withColumn("piece", F.col("other") * F.col("fs") + F.pmod("deal", "fs"))
     pairs = inner.unionByName(fringed).join(sided.select("doc_id", "n", "registers"), "doc_id").select("bucket", "piece", "doc_id", "n", "registers", "root", "chunk", "block", "outer", "fringe")
     pairs = pairs.repartition(spread, "bucket", "piece").sortWithinPartitions("bucket", "piece")
-    seats = written(pairs.mapInArrow(_meeting(percent), "doc_id long, chunk int, block int, fringe boolean"), "meetings").distinct()
+    seats = written(pairs.mapInArrow(tidy(_meeting(percent)), "doc_id long, chunk int, block int, fringe boolean"), "meetings").distinct()
     place = F.col("chunk").cast("long") * F.col("n_blocks") + F.col("block")
     return seats.join(sided.select("doc_id", "cluster", "root", "n_blocks"), "doc_id").select("cluster", place.alias("place"), "doc_id", "root", "fringe")
 
@@ -424,8 +424,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     dealt = clusters.join(sizes, "cluster").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("n_chunks")).cast("int"))
     weights = shared.groupBy("doc_id").agg(F.sum("weight").alias("weight"))
     big = dealt.filter("n_chunks > 1")
-    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("weight"), F.asc("doc_id")))
-    hubs = big.join(weights, "doc_id").withColumn("rank", rank).filter(F.col("rank") <= HUBS)
+    # the first of each part of a cluster, and of these the first of all
+    best = lambda rows, *by: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("weight"), F.asc("doc_id")))).filter(F.col("rank") <= HUBS)
+    weighed = big.join(weights, "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(SALTS)))
+    hubs = best(best(weighed, "cluster", "part"), "cluster")
     more = hubs.select("doc_id", "cluster", "n_chunks", "chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("other")).filter("other != chunk")
     seats = written(dealt.select("doc_id", "cluster", "chunk", "n_chunks").unionByName(more.select("doc_id", "cluster", F.col("other").cast("int").alias("chunk"), "n_chunks")), "seats")
 
@@ -434,7 +436,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     members = written(texts.join(clusters.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")).join(facts, "doc_id"), "members")
     seated = seats.join(members, "doc_id")
     placed = seated.select("cluster", "chunk", "doc_id", "text", "registers").repartition(spread, "cluster", "chunk").sortWithinPartitions("cluster", "chunk", "doc_id")
-    links = written(placed.mapInArrow(_solver(k, percent), LINKS), "links")
+    links = written(placed.mapInArrow(tidy(_solver(k, percent)), LINKS), "links")
 
     # what is outside the largest part of a large cluster meets the members of other parts that share a bucket
     wide = seats.filter("n_chunks > 1")
@@ -444,7 +446,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
         rooted = written(rooted.withColumn("home", F.pmod(F.xxhash64("doc_id"), F.col("n_chunks")).cast("int")).filter("home = chunk"), "rooted")
         met = _meetings(rooted.select("doc_id", "cluster", "root", "chunk"), reps, percent, fringe, spread).join(members, "doc_id")
         met = met.select("cluster", "place", "doc_id", "text", "registers", "root", "fringe").repartition(spread, "cluster", "place").sortWithinPartitions("cluster", "place", "doc_id")
-        links = links.unionByName(written(met.mapInArrow(_fringe_solver(k, percent), LINKS), "fringe"))
+        links = links.unionByName(written(met.mapInArrow(tidy(_fringe_solver(k, percent)), LINKS), "fringe"))
         roots = components(links)
     else:  # every cluster was solved in one piece: a link's end is the root
         roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))

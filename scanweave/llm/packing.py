@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanweave.llm.common import small_batches, table, written
+from scanweave.llm.common import small_batches, table, tidy, written
 from scanweave.llm.tokens import encoder, with_end
 
 LENGTH = 2048
@@ -63,9 +63,10 @@ def tokenised(docs: DataFrame, file: str, length: int = LENGTH, end: int = END,
             ids = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(flat.astype("<u4"))])
             cols = [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(piece * length), pa.array(size, pa.int32()), ids, pa.array(np.full(len(size), part), pa.int32()), pa.array(seq)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids", "part", "seq"])
+        enc.forget()
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), PIECES)
 
 
 class RoomTree:

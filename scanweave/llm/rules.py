@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from scanweave.llm.common import small_batches, table, written
+from scanweave.llm.common import small_batches, table, tidy, written
 from scanweave.llm.textstats import COUNTS, add_counts, with_counts
 
 RISK = 0.03
@@ -116,7 +116,7 @@ def counted(docs: DataFrame, text: str = "text", keep: bool = False) -> DataFram
     own = [f for f in docs.schema.fields if f.name != text and f.name not in COUNTS]
     read = docs.select(F.col(text), *(F.col(f"`{f.name}`") for f in own))
     schema = StructType([*read.schema.fields[0 if keep else 1 :], *(StructField(c, LongType()) for c in COUNTS)])
-    return read.mapInArrow(with_counts if keep else add_counts, schema)
+    return read.mapInArrow(tidy(with_counts if keep else add_counts), schema)
 
 
 def cutoffs(labelled: DataFrame, stratum: str = "lang", label: str = "quality", risk: float = RISK, level: float = LEVEL) -> DataFrame:

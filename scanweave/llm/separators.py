@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanweave.llm.common import small_batches, table, written
+from scanweave.llm.common import small_batches, table, tidy, written
 from scanweave.llm.tokens import encoder, with_end
 from scanweave.sources.scan import Ranges
 
@@ -99,9 +99,10 @@ def flat_files(docs: DataFrame, file: str, block_ids: int = BLOCK_IDS, key: str
             rest, block, place = rest[n * width :], block + n, place + batch.num_rows
         if rest:
             yield rows([rest], pa.nulls(0, pa.int64()))
+        enc.forget()
 
     small_batches(docs.sparkSession)
-    both = written(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "file int, block long, ids binary, doc_no long, doc_id long"), "flat", compression="zstd")
+    both = written(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), "file int, block long, ids binary, doc_no long, doc_id long"), "flat", compression="zstd")
     return both.filter("block IS NOT NULL").select("file", "block", "ids"), both.filter("doc_no IS NOT NULL").select("file", "doc_no", "doc_id")
 
 

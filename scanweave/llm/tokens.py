@@ -29,6 +29,9 @@ import pyarrow.compute as pc
 #: Pieces that one worker remembers: of two generations of at most so many each, the older one is forgotten.
 MEMO_PIECES = 400_000
 
+#: Pieces that a worker remembers from one task to the next, at most.
+KEPT_PIECES = 50_000
+
 #: Longer pieces are not remembered.
 MEMO_BYTES = 64
 
@@ -163,6 +166,11 @@ class Encoder:
         recent.update((p, ids) for p, ids in learnt.items() if len(p) <= MEMO_BYTES)
         return [recent[p] if p in recent else learnt[p] for p in pieces]
 
+    def forget(self, most: int = KEPT_PIECES) -> None:
+        """Drop a memo of more than `most` pieces, at the end of a task: an idle worker would keep some 200 MB for it."""
+        if len(self.recent) + len(self.older) > most:
+            self.recent, self.older = {}, {}
+
     def _inner(self, data: np.ndarray, cut: np.ndarray, raw: bytes) -> np.ndarray:
         """Places of what makes a piece odd: white space and control characters but for one blank in front, and added tokens."""
         kind = _KIND[data]

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanweave.llm.common import small_batches, table, written
+from scanweave.llm.common import small_batches, table, tidy, written
 from scanweave.llm.tokens import encoder, with_end
 
 MAGIC = b"SWWM0002"
@@ -193,8 +193,9 @@ def encode_shards(docs: DataFrame, file: str, key: str = "doc_id", text: str = "
                     names, held, lengths, size, shard = [], [], [], 0, shard + 1
         if names:
             yield image()
+        enc.forget()
 
-    return ordered.mapInArrow(run, "part int, shard int, first_doc long, n_ids long, image binary")
+    return ordered.mapInArrow(tidy(run), "part int, shard int, first_doc long, n_ids long, image binary")
 
 
 def places(shards: DataFrame) -> DataFrame:
