@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanweave.llm.common import small_batches, table
+from scanweave.llm.common import SALTS, small_batches, table
 from scanweave.llm.decontam import runs, slices
 from scanweave.llm.postings import blocks_of, found, lists, row_of, spread, stored, terms_of
 
@@ -195,8 +195,9 @@ def search(impacts: DataFrame, items: DataFrame, n_docs: int, n_terms: int, key:
         weights = np.array([weight(n_docs, int(d)) if d else 0 for d in df], np.int64)
         shared = spark.sparkContext.broadcast((terms, places, weights))
         got = impacts.mapInArrow(_searcher(shared, n_docs, n_terms, k), "no long, doc_id long, score long")
-        rank = F.row_number().over(Window.partitionBy("no").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
-        best = got.withColumn("rank", rank).filter(F.col("rank") <= k)
+        # every task gives k rows an item: the best of parts of the tasks first, then of all
+        ranked = lambda rows, *by: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))).filter(F.col("rank") <= k)
+        best = ranked(ranked(got.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(SALTS))), "no", "part"), "no")
         # a row for each item of the slice
         names = spark.createDataFrame([(i, r["item_id"]) for i, r in enumerate(rows)], "no long, item_id long")
         out.append(best.join(F.broadcast(names), "no").select("item_id", "rank", "doc_id", "score"))
