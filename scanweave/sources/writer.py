@@ -314,6 +314,12 @@ def multipart(parts: list[tuple[list[np.ndarray], list[int], list[str], int]], n
 FORMS = {HALF: "<f2", FLOAT: "<f4"}
 
 
+def spread(images: DataFrame) -> DataFrame:
+    """A table of few partitions, dealt to as many tasks as run at once: to encode and decode an image costs far more than to move its row."""
+    n = images.sparkSession.sparkContext.defaultParallelism
+    return images.repartition(n) if images.rdd.getNumPartitions() < n else images
+
+
 def image_files(images: DataFrame, key: str, channels: list[tuple[str, int, str]], width: int, compression: int, **options: int) -> DataFrame:
     """(path, length, content): a file for each row; channels are (name, pixel type, column of row-major values)."""
     names, kinds = [c[0] for c in channels], [c[1] for c in channels]
@@ -327,7 +333,7 @@ def image_files(images: DataFrame, key: str, channels: list[tuple[str, int, str]
         return pd.Series(out)
 
     values = F.struct(*(F.col(c[2]).alias(f"c{i}") for i, c in enumerate(channels)))
-    out = images.select(F.concat(F.lit("image/"), F.col(key).cast("string"), F.lit(".exr")).alias("path"), write(values).alias("content"))
+    out = spread(images).select(F.concat(F.lit("image/"), F.col(key).cast("string"), F.lit(".exr")).alias("path"), write(values).alias("content"))
     return out.select("path", F.length("content").cast("long").alias("length"), "content")
 
 
@@ -348,7 +354,7 @@ def multipart_files(images: DataFrame, key: str, parts: list[tuple[str, int, str
         return pd.Series(out)
 
     values = F.struct(*(F.col(p[2]).alias(f"c{i}") for i, p in enumerate(parts)))
-    out = images.select(F.concat(F.lit("image/"), F.col(key).cast("string"), F.lit(".exr")).alias("path"), write(values).alias("content"))
+    out = spread(images).select(F.concat(F.lit("image/"), F.col(key).cast("string"), F.lit(".exr")).alias("path"), write(values).alias("content"))
     return out.select("path", F.length("content").cast("long").alias("length"), "content")
 
 
