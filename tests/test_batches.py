@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanweave.plans import QUERIES
-from scanweave.sources import exr, writer
+from scanweave.sources import blocks as B
+from scanweave.sources import exr, piz, writer
 from scanweave.sources.blocks import FLOAT, HALF, UINT
 from scanweave.sources.writer import encoded, multipart
 
@@ -56,3 +57,22 @@ def test_chunks_of_a_batch_equal_those_of_each_file(spark):
     of = lambda batches: sorted((repr(sorted((k, v) for k, v in r.items())) for b in batches for r in b.to_pylist()))
     assert of(at_once) == of(each)
     assert len(exr._usual(batch)[0]) >= 6
+
+
+def test_chunks_of_the_same_bytes_are_decoded_once():
+    calls = []
+    scheme = B.Scheme("TWICE", 1, lambda payload, expected, planes: calls.append(payload) or payload * 2)
+
+    def fail(payload, expected, planes):
+        raise ValueError("no")
+
+    assert B.decoded_many(scheme, [b"a", b"b", b"a", b"cd", b"b"], 2, []) == [b"aa", b"bb", b"aa", b"cd", b"bb"]
+    assert calls == [b"a", b"b"]
+    assert B.decoded_many(B.Scheme("BAD", 1, fail), [b"a", b"cd", b"a"], 2, []) == [None, b"cd", None]
+
+
+def test_huffman_codes_of_few_and_many_words():
+    rng = np.random.default_rng(4)
+    for words in (np.full(64, 7), rng.integers(0, 3, 2000), rng.integers(0, 65536, 5000), np.repeat(rng.integers(0, 65536, 9), 700)):
+        words = words.astype(np.uint16)
+        assert piz.unhuffed(writer._huffed(words), len(words)).tolist() == words.tolist()
