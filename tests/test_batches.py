@@ -145,3 +145,19 @@ def test_block_chunks_of_a_batch_are_undone_at_once(monkeypatch, flat):
             assert B.b44_many(payloads, expected, planes) == want
             some = [p for p in payloads if len(p) != expected]
             assert B.decoded_many(B.SCHEMES[7], some, expected, planes) == [w for p, w in zip(payloads, want, strict=True) if len(p) != expected]
+
+
+def test_rows_of_one_row_group_are_dealt(spark, tmp_path):
+    spark.range(0, 40000, 1, 1).withColumn("v", F.rand(1)).write.parquet(f"{tmp_path}/t")  # read in several partitions, of which one has all rows
+    with_small = {"spark.sql.files.maxPartitionBytes": "65536", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "6"}
+    before = {k: spark.conf.get(k, None) for k in with_small}
+    for k, v in with_small.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.read.parquet(f"{tmp_path}/t")
+        assert rows.rdd.getNumPartitions() >= 4 and rows.select(F.spark_partition_id()).distinct().count() == 1
+        counts = [r["count"] for r in writer.made(rows, writer.image_name("id"), [F.col("id")], lambda i: b"x").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(counts) >= 4 and max(counts) < 15000
