@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scanweave.plans import QUERIES
 from scanweave.sources import blocks as B
 from scanweave.sources import exr, piz, writer
+from scanweave.sources import scan as S
 from scanweave.sources.blocks import FLOAT, HALF, UINT
 from scanweave.sources.writer import encoded, multipart
 
@@ -161,3 +162,37 @@ def test_rows_of_one_row_group_are_dealt(spark, tmp_path):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert len(counts) >= 4 and max(counts) < 15000
+
+
+def test_broken_files_of_a_batch_go_out_together(spark):
+    planes = [np.arange(6 * 5).reshape(6, 5).astype("<f4")]
+    good, two = encoded(planes, [FLOAT], ["Y"], 0), multipart([(planes, [FLOAT], ["H"], 3), (planes, [FLOAT], ["F"], 0)], [0, 0])
+    table_at = len(good) - 6 * 36
+    late, far = bytearray(good), bytearray(good)
+    late[-28 - 8 : -28 - 4] = b"\1\0\0\0"  # the last chunk says that it is line 1
+    far[table_at : table_at + 8] = b"\xff" * 8
+    files = [good, good[:-1], bytes(late), bytes(far), two, two[:-3], good[: table_at + 5]] * 40
+    df = spark.createDataFrame([(f"f{i}.exr", len(c), bytearray(c)) for i, c in enumerate(files)], "path string, length long, content binary").coalesce(1)
+    batch = exr._plan_rows(exr.structure(df), None).toArrow().combine_chunks().to_batches()[0]
+    out = list(exr._chunker(iter([batch])))
+    assert len(out) <= 4
+    want, told = [], []
+    for p in batch.to_pylist():
+        if p["part_code"]:
+            told.append((p["path"], p["part_id"], None))
+            continue
+        found = S.heads(S.Memory(p["content"]), p["table_at"], p["n_chunks"], p["multi"], p["part_id"])
+        spans = S.kept_spans(found, p["part_id"], p["y_min"], p["lines_per"])
+        each = []
+        for k in range(p["n_chunks"]):
+            s, f = bool(found.safe[k]), bool(found.fits[k])
+            own, y, size = (int(v[k]) if s else None for v in (found.own, found.y, found.size))
+            each.append((k, own if p["multi"] else None, y, size, found.code(k)))
+            kept = None if spans is None else [{"lo": lo, "hi": hi} for lo, hi in spans.get(k, [])]
+            want.append((p["path"], p["part_id"], k, int(found.at[k]) if found.known[k] else None, own, y, size, bytes(p["content"][found.place(k) :][:size]) if f else None, kept, found.code(k)))
+        told.append((p["path"], p["part_id"], each))
+    columns = ["path", "part_id", *exr._CHUNK_COLUMNS]
+    got = [tuple(r[c] for c in columns) for b in out for r in b.to_pylist() if r["chunk_index"] is not None]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len({r[-1] for r in got}) == 3
+    heads = [(r["path"], r["part_id"], None if r["k"] is None else [tuple(k.values()) for k in r["k"]]) for b in exr._header(iter([batch])) for r in b.to_pylist()]
+    assert heads == told
