@@ -196,3 +196,8 @@ def test_broken_files_of_a_batch_go_out_together(spark):
     assert sorted(got, key=repr) == sorted(want, key=repr) and len({r[-1] for r in got}) == 3
     heads = [(r["path"], r["part_id"], None if r["k"] is None else [tuple(k.values()) for k in r["k"]]) for b in exr._header(iter([batch])) for r in b.to_pylist()]
     assert heads == told
+
+
+def test_parts_and_channels_come_of_one_walk(spark, sf_dir):
+    plan = spark._jvm.PythonSQLUtils.explainString(QUERIES["exr_multipart_structure"](spark, sf_dir)._jdf.queryExecution(), "simple")
+    assert plan.count("write(") == 1 and "Join" not in plan
