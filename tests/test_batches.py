@@ -33,6 +33,20 @@ def test_rows_go_to_python_in_batches_of_bounded_size(spark):
     assert max(r.n for r in sizes) * 80_000 <= 2 * writer.BATCH_BYTES and sum(r.n for r in sizes) == 400
 
 
+def test_batches_between_the_steps_hold_a_megabyte_at_most(spark):
+    values = F.transform(F.sequence(F.lit(0), F.lit(9999)), lambda i: (i * (F.col("id") + 1)).cast("double"))  # files of 40 KB that all differ
+    files = writer.image_files(spark.range(0, 400, 1, 1), "id", [("Y", FLOAT, values)], 100, 0).coalesce(1)
+    told = lambda df: df.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"bytes": [b.nbytes]}) for b in batches), "bytes long").collect()
+    assert max(r.bytes for r in told(files)) <= 1.2 * (1 << 20)
+    planes = [np.arange(64 * 5000, dtype="<f4").reshape(64, 5000)]  # 64 chunks of 20 KB
+    content = encoded(planes, [FLOAT], ["Y"], 0)
+    df = spark.createDataFrame([(f"f{i}.exr", len(content), bytearray(content)) for i in range(4)], "path string, length long, content binary").coalesce(1)
+    batches = exr._plan_rows(exr.structure(df), None).toArrow().combine_chunks().to_batches()
+    out = list(exr._chunker(iter(batches)))
+    assert max(b.nbytes for b in out) <= 1.2 * (1 << 20) and sum(b.num_rows for b in out) == 4 * 65
+    assert max(r.bytes for r in told(exr.scanlines(exr.chunks(exr.structure(df))))) <= 1.2 * (1 << 20)
+
+
 def test_headers_that_are_alike_are_walked_once(monkeypatch):
     walks = []
     one = exr._structure
